@@ -62,9 +62,8 @@ def with_stem(df, src: str, dst: str):
     Each step is its own projection over named columns, so no step's
     expression is repeated inside the next one: the optimizer keeps the
     projections apart because the regex steps are not cheap to duplicate.
-    Every step is null-free for a non-null token, so a join on the stem
-    infers no ``isnotnull`` filter that would be pushed (and inlined) below
-    these projections.
+    Callers materialize the stemmed rows (see ``CorpusIndex.build``) before
+    joining on them, so no inferred filter is pushed below these projections.
     """
     V, C = f"[{VOWELS}]", f"[^{VOWELS}]"
     t = "__stem_"
@@ -72,7 +71,9 @@ def with_stem(df, src: str, dst: str):
     w = F.replace(F.col(src), F.lit("ё"), F.lit("е"))
     out = (df
            .withColumn(t + "cyr", F.col(src).rlike("[а-яё]"))
-           .withColumn(t + "w", w)
+           # null for a token without Cyrillic letters: every later step is
+           # then null too and costs nothing
+           .withColumn(t + "w", F.when(c("cyr"), w))
            .withColumn(t + "pre", F.regexp_extract(c("w"), f"^({C}*{V})", 1))
            .withColumn(t + "r2", F.length(F.regexp_extract(c("w"), f"^(.*?{V}{C}.*?{V}{C})", 1)))
            .withColumn(t + "rv", F.when(c("pre") == "", F.lit(""))

@@ -106,7 +106,10 @@ class CorpusIndex:
         post = raw.filter(F.col("term").isNotNull())
         lengths = raw.groupBy("doc_id").agg(F.max("dl").alias("dl"))
         n = docs.select(F.count(F.lit(1)).cast("double")).scalar()
-        return cls(tok, post, lengths, doc_freq(post, n), n)
+        dfs = doc_freq(post, n)
+        if materialized:
+            lengths, dfs = materialize(lengths), materialize(dfs)
+        return cls(tok, post, lengths, dfs, n)
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         """Persist the stores. Postings are range-partitioned and sorted by
@@ -133,18 +136,19 @@ def candidate_cells(cands: DataFrame, qterms: DataFrame, index: CorpusIndex,
     """Per candidate pair and distinct query term: ``(query_id, doc_id, term,
     mult, qlen, dl, tf[, positions])``; ``tf`` is 0 when the doc lacks the term.
 
-    Every candidate keeps its rows even when it shares no term (scores 0).
-    The postings are cut to the candidate cells by an inner join whose small
-    side is broadcast only after a size check, so the index is never shuffled
-    for a batch of queries; the left join that restores the zero cells is
-    between two small sides.
+    Every candidate keeps its rows even when it shares no term (it scores 0).
+    The postings are first cut map-side to the batch's query terms and
+    candidate documents (both sides broadcast after a size check on their
+    materialized rows), so the index itself is never shuffled; only the two
+    reduced sides meet in the final join. The result is materialized because
+    every ranker reads it more than once (per-query averages, local df).
     """
     pairs = cands.select("query_id", "doc_id").distinct()
-    pairs = pairs.join(broadcast_if_small(pairs.select("doc_id").distinct())
-                       .join(index.lengths, "doc_id"), "doc_id")
-    cells = pairs.join(qterms, "query_id")
-    keys = cells.select("doc_id", "term").distinct()
+    docs = broadcast_if_small(pairs.select("doc_id").distinct())
+    terms = broadcast_if_small(qterms.select("term").distinct())
     cols = ["doc_id", "term", "tf"] + (["positions"] if positions else [])
-    hits = index.postings.select(*cols).join(broadcast_if_small(keys), ["doc_id", "term"])
+    hits = index.postings.select(*cols).join(terms, "term").join(docs, "doc_id")
+    lens = index.lengths.join(docs, "doc_id")
+    cells = pairs.join(lens, "doc_id").join(qterms, "query_id")
     out = cells.join(hits, ["doc_id", "term"], "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
-    return out
+    return materialize(out)

@@ -14,7 +14,8 @@ from ..functions.text import clean_string, stop_words, word_count
 from ..operators import relevance as R
 from ..operators.index import CorpusIndex, query_terms
 from ..sources import tables as S
-from ..util import broadcast_if_small, top_k
+from ..util import broadcast_if_small, materialize, top_k
+from . import stores
 
 CAND_K = 50        # candidates per question for the re-rankers
 TOP_K = 10         # length of a published top-k report
@@ -26,11 +27,11 @@ def rkey(c: str):
 
 
 def _index(spark, sf) -> CorpusIndex:
-    return CorpusIndex.build(S.documents(spark, sf))
+    return stores.corpus_index(spark, sf)
 
 
 def _qterms(spark, sf, stop_list=()) -> DataFrame:
-    return query_terms(S.questions(spark, sf), "query_id", "query", stop_list)
+    return stores.question_terms(spark, sf, tuple(stop_list))
 
 
 def match_candidates(qterms: DataFrame, index: CorpusIndex, k: int = CAND_K) -> DataFrame:
@@ -43,8 +44,8 @@ def match_candidates(qterms: DataFrame, index: CorpusIndex, k: int = CAND_K) ->
     qt = broadcast_if_small(qterms.select("query_id", "term"))
     counts = index.postings.select("doc_id", "term").join(qt, "term") \
         .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_match"))
-    return top_k(counts, ["query_id"], [F.col("n_match").desc(), F.col("doc_id")], k, "cand_rank") \
-        .select("query_id", "doc_id", "cand_rank")
+    return materialize(top_k(counts, ["query_id"], [F.col("n_match").desc(), F.col("doc_id")], k, "cand_rank")
+                       .select("query_id", "doc_id", "cand_rank"))
 
 
 def _publish(df: DataFrame, score: str, rank: bool = True) -> DataFrame:

@@ -47,14 +47,20 @@ def round6(c) -> Column:
     return F.round(c, 6)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def materialize(df: DataFrame, sort_by=None) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared checkpoint folder and
+    read it back.
 
-    Used for the stores the reference keeps on disk (postings, query terms):
-    later plans start from the written rows, a lost executor does not force
+    Used for the stores the reference keeps on disk (postings, df table,
+    query terms, candidates): later plans start from the written rows with
+    column pruning and pushed filters, a lost executor does not force
     recomputing the tokenizer, and the optimizer cannot inline the token
     expressions into filters of the queries that use them.
     """
-    from .session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    from .session import scratch_path
+    path = scratch_path(df.sparkSession, f"table-{uuid.uuid4().hex}")
+    out = df.sortWithinPartitions(*sort_by) if sort_by else df
+    out.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
