@@ -148,3 +148,41 @@ ORACLE = {
     "bm25_proximity": with_base(ranked("SELECT b.query_id, b.doc_id, b.bm25 + 0.6 * p.proximity AS score FROM bm25g b "
                                        "JOIN prox p ON p.query_id = b.query_id AND p.doc_id = b.doc_id", "score"), PROX),
 }
+
+
+VEC = {
+    "comp": "SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, "
+            "unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY label, i",
+    "cen": "SELECT label AS query_id, list(x ORDER BY i) AS v FROM comp GROUP BY label",
+    "cq": "SELECT query_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS q "
+          "FROM cen",
+    "dist": "SELECT cq.query_id, e.vec_id, e.label, e.embedding::DOUBLE[] AS x, cq.q, "
+            "list_distance(cq.q, e.embedding::DOUBLE[]) ^ 2 AS d2 FROM cq, embeddings e",
+    "vk": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), vec_id) AS rank "
+          "FROM dist) WHERE rank <= 20",
+    "shd": "SELECT * FROM (SELECT *, vec_id % 9 AS shard, row_number() OVER (PARTITION BY query_id, vec_id % 9 "
+           "ORDER BY round(d2, 9), vec_id) AS srank FROM dist) WHERE srank <= 3",
+}
+
+ORACLE.update({
+    "vector_topk": with_base("SELECT query_id, vec_id, round(d2, 6) AS d2, rank FROM vk", VEC),
+    "vector_similarity": with_base(
+        "SELECT query_id, vec_id, round(1.0 / (1.0 + 4.0 * d2 * d2), 6) AS similarity, rank FROM vk", VEC),
+    "vector_topk_sharded": with_base(
+        "SELECT query_id, vec_id, shard::INT AS shard, round(d2, 6) AS d2, row_number() OVER "
+        "(PARTITION BY query_id ORDER BY round(d2, 9), vec_id) AS rank FROM shd", VEC),
+    "cosine_rerank": with_base(
+        "SELECT query_id, vec_id, round(c, 6) AS cosine, row_number() OVER (PARTITION BY query_id "
+        "ORDER BY round(c, 9) DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, "
+        "list_dot_product(q, x) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(x, x))) AS c FROM vk)", VEC),
+    "vector_label_precision": with_base(
+        "SELECT query_id, round(avg(CASE WHEN label = query_id THEN 1.0 ELSE 0.0 END), 6) AS precision, "
+        "count(*) AS n FROM vk GROUP BY query_id", VEC),
+    "self_recall": "WITH d AS (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id "
+                   "ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ^ 2, 9), b.vec_id) "
+                   "AS rank FROM embeddings a, embeddings b), s AS (SELECT query_id, rank FROM d "
+                   "WHERE query_id = vec_id AND rank <= 12), q AS (SELECT e.vec_id AS query_id, s.rank FROM "
+                   "embeddings e LEFT JOIN s ON s.query_id = e.vec_id) SELECT count(*) AS n, "
+                   "round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, "
+                   "round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall_at_12 FROM q",
+})

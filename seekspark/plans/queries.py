@@ -149,3 +149,82 @@ QUERIES = {
     "proximity": q_proximity,
     "bm25_proximity": _bm25("global", True),
 }
+
+
+# --- vector search ----------------------------------------------------------
+
+VEC_K = 20
+SHARDS = 9
+
+
+def _vec_inputs(spark, sf):
+    from ..operators.vector import centroids
+    emb = S.vectors(spark, sf)
+    q = materialize(centroids(emb, "label").withColumnRenamed("label", "query_id"))
+    return emb, q
+
+
+def q_vector_topk(spark, sf):
+    from ..operators.vector import vector_topk
+    emb, q = _vec_inputs(spark, sf)
+    hits = vector_topk(emb, q, VEC_K, id_col="vec_id")
+    return hits.select("query_id", "vec_id", F.round("d2", 6).alias("d2"), "rank")
+
+
+def q_vector_similarity(spark, sf):
+    from ..operators.vector import similarity, vector_topk
+    emb, q = _vec_inputs(spark, sf)
+    hits = vector_topk(emb, q, VEC_K, id_col="vec_id")
+    return hits.select("query_id", "vec_id", F.round(similarity("d2"), 6).alias("similarity"), "rank")
+
+
+def q_vector_topk_sharded(spark, sf):
+    from ..operators.vector import sharded_topk
+    emb, q = _vec_inputs(spark, sf)
+    emb = emb.withColumn("shard", F.pmod("vec_id", F.lit(SHARDS)).cast("int"))
+    hits = sharded_topk(emb, q, 3 * SHARDS, SHARDS, id_col="vec_id")
+    return hits.select("query_id", "vec_id", "shard", F.round("d2", 6).alias("d2"), "rank")
+
+
+def q_cosine_rerank(spark, sf):
+    from ..operators.vector import cosine, vector_topk
+    emb, q = _vec_inputs(spark, sf)
+    hits = vector_topk(emb, q, VEC_K, id_col="vec_id").select("query_id", "vec_id")
+    scored = hits.join(emb.select("vec_id", F.col("embedding").alias("x")), "vec_id") \
+        .join(broadcast_if_small(q.select("query_id", F.col("embedding").alias("qv"))), "query_id") \
+        .withColumn("cosine", cosine("qv", "x"))
+    ranked = top_k(scored, ["query_id"], [rkey("cosine").desc(), F.col("vec_id")], None, "rank")
+    return ranked.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def q_vector_label_precision(spark, sf):
+    """Share of each centroid's top-k that carries the centroid's label."""
+    from ..operators.vector import vector_topk
+    emb, q = _vec_inputs(spark, sf)
+    hits = vector_topk(emb, q, VEC_K, id_col="vec_id").join(emb.select("vec_id", "label"), "vec_id")
+    return hits.groupBy("query_id").agg(
+        F.round(F.avg((F.col("label") == F.col("query_id")).cast("double")), 6).alias("precision"),
+        F.count(F.lit(1)).alias("n"))
+
+
+def q_self_recall(spark, sf):
+    """EVA-10 over the whole store: is each vector its own nearest neighbour?"""
+    from ..operators.vector import vector_topk
+    emb = S.vectors(spark, sf)
+    q = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = vector_topk(emb, q, 12, id_col="vec_id")
+    self_rank = hits.filter(F.col("query_id") == F.col("vec_id")).select("query_id", "rank")
+    per_q = q.select("query_id").join(self_rank, "query_id", "left")
+    return per_q.agg(F.count(F.lit(1)).alias("n"),
+                     F.round(F.avg((F.col("rank") == 1).cast("double")), 6).alias("recall_at_1"),
+                     F.round(F.avg(F.col("rank").isNotNull().cast("double")), 6).alias("recall_at_12"))
+
+
+QUERIES.update({
+    "vector_topk": q_vector_topk,
+    "vector_similarity": q_vector_similarity,
+    "vector_topk_sharded": q_vector_topk_sharded,
+    "cosine_rerank": q_cosine_rerank,
+    "vector_label_precision": q_vector_label_precision,
+    "self_recall": q_self_recall,
+})
