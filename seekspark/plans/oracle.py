@@ -186,3 +186,139 @@ ORACLE.update({
                    "round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, "
                    "round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall_at_12 FROM q",
 })
+
+
+# --- full-text search, fusion, hybrid search ---------------------------------
+
+def ctes(pairs) -> str:
+    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in pairs)
+
+
+def scoring(p: str, cand: str) -> list:
+    """Cells, per-query stats, BM25 (global) and proximity over candidate table ``cand``."""
+    return [
+        (f"{p}cells", f"SELECT c.query_id, c.doc_id, qt.term, qt.mult, qt.qlen, l.dl, coalesce(po.tf, 0) AS tf "
+                      f"FROM {cand} c JOIN qt ON qt.query_id = c.query_id JOIN lens l ON l.doc_id = c.doc_id "
+                      f"LEFT JOIN post po ON po.doc_id = c.doc_id AND po.term = qt.term"),
+        (f"{p}perq", f"SELECT query_id, avg(dl) AS avgdl FROM (SELECT DISTINCT query_id, doc_id, dl FROM {p}cells) "
+                     f"GROUP BY query_id"),
+        (f"{p}bm", f"SELECT c.query_id, c.doc_id, sum(c.mult * CASE WHEN c.tf > 0 THEN coalesce(d.idf, 0.0) * "
+                   f"(c.tf * 2.5) / (c.tf + 1.5 * (1 - 0.75 + 0.75 * c.dl / q.avgdl)) ELSE 0 END) AS bm25 "
+                   f"FROM {p}cells c LEFT JOIN dfs d ON d.term = c.term JOIN {p}perq q ON q.query_id = c.query_id "
+                   f"GROUP BY 1, 2"),
+        (f"{p}rel", f"SELECT c.query_id, c.doc_id, CASE WHEN sum(c.mult * coalesce(d.idf, 1.0)) <> 0 THEN "
+                    f"sum(CASE WHEN c.tf > 0 THEN c.mult * coalesce(d.idf, 1.0) ELSE 0 END) / "
+                    f"sum(c.mult * coalesce(d.idf, 1.0)) END AS relevance FROM {p}cells c "
+                    f"LEFT JOIN dfs d ON d.term = c.term GROUP BY 1, 2"),
+        (f"{p}pocc", f"SELECT c.query_id, c.doc_id, o.term, o.pos FROM {cand} c JOIN qt ON qt.query_id = c.query_id "
+                     f"JOIN occ o ON o.doc_id = c.doc_id AND o.term = qt.term"),
+        (f"{p}padj", f"SELECT query_id, doc_id, term, pos - lag(pos) OVER w AS d, lag(term) OVER w AS pt "
+                     f"FROM {p}pocc WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY pos)"),
+        (f"{p}pd", f"SELECT query_id, doc_id, min(d) AS d FROM {p}padj WHERE pt IS NOT NULL AND pt <> term "
+                   f"GROUP BY 1, 2"),
+        (f"{p}pdup", f"SELECT DISTINCT query_id, doc_id FROM {p}cells WHERE mult >= 2 AND tf > 0"),
+        (f"{p}prox", f"SELECT c.query_id, c.doc_id, CASE WHEN u.doc_id IS NOT NULL THEN 1.0 WHEN x.d IS NULL "
+                     f"THEN 0.0 ELSE 1.0 / (1 + x.d) END AS proximity FROM {cand} c "
+                     f"LEFT JOIN {p}pdup u ON u.query_id = c.query_id AND u.doc_id = c.doc_id "
+                     f"LEFT JOIN {p}pd x ON x.query_id = c.query_id AND x.doc_id = c.doc_id"),
+        (f"{p}bmp", f"SELECT b.query_id, b.doc_id, b.bm25, b.bm25 + 0.6 * x.proximity AS bmp FROM {p}bm b "
+                    f"JOIN {p}prox x ON x.query_id = b.query_id AND x.doc_id = b.doc_id"),
+    ]
+
+
+_BASE_HEAD = [(k, BASE[k]) for k in ("docs_tok", "occ", "post", "lens", "dfs", "q_tok", "qt")]
+_SW_RU = stop_words("russian")
+
+TEXT = [
+    ("qw_tok", f"SELECT item_id AS query_id, {tok('text', _SW_RU)} AS t FROM benchmark"),
+    ("conds", "SELECT query_id, lvl AS level, st AS start, "
+              "list_distinct(list_slice(t, st + 1, st + len(t) - lvl)) AS terms "
+              "FROM qw_tok, range(0, 3) a(lvl), range(0, 3) b(st) "
+              "WHERE len(t) >= 1 AND lvl <= least(2, len(t) - 1) AND st <= lvl"),
+    ("ctm", "SELECT query_id, level, start, len(terms) AS need, unnest(terms) AS term FROM conds"),
+    ("pt", "SELECT p.doc_id, p.term, p.tf, p.dl, ln((SELECT count(*)::DOUBLE FROM documents) / (d.df + 1.0)) + 1.0 "
+           "AS idf FROM post p JOIN dfs d ON d.term = p.term WHERE p.term IN (SELECT term FROM ctm)"),
+    ("rhits", "SELECT c.query_id, c.level, c.start, pt.doc_id, count(*) AS got, any_value(c.need) AS need, "
+              "sum(pt.idf * (pt.tf * (1.2 + 1)) / (pt.tf + 1.2 * ((1 - 0.75) + 0.75 * pt.dl / "
+              "(SELECT avg(dl) FROM lens)))) / (1.0 + c.level) AS score FROM ctm c JOIN pt ON pt.term = c.term "
+              "GROUP BY 1, 2, 3, 4"),
+    ("rtop", "SELECT * FROM (SELECT query_id, level, start, doc_id, score, row_number() OVER (PARTITION BY query_id, "
+             "level, start ORDER BY round(score, 9) DESC, doc_id) AS hit_rank FROM rhits WHERE got = need) "
+             "WHERE hit_rank <= 10"),
+    ("tnorm", "SELECT r.query_id, r.level, r.start, r.doc_id, r.score, (r.score - m.mn + 0.1) / (m.mx - m.mn + 0.5) "
+              "AS text_score FROM rtop r JOIN (SELECT query_id, min(score) AS mn, max(score) AS mx FROM rtop "
+              "GROUP BY 1) m ON m.query_id = r.query_id"),
+]
+
+HVEC = [
+    ("dv", "SELECT doc_id, b, sum(tf)::DOUBLE AS v FROM (SELECT doc_id, tf, "
+           "('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b FROM post) GROUP BY 1, 2"),
+    ("qv", "SELECT query_id, b, sum(tf)::DOUBLE AS v FROM (SELECT query_id, mult AS tf, "
+           "('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b FROM qt) GROUP BY 1, 2"),
+    ("dnv", "SELECT doc_id, b, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS u FROM dv"),
+    ("qnv", "SELECT query_id, b, v / sqrt(sum(v * v) OVER (PARTITION BY query_id)) AS u FROM qv"),
+    ("dss", "SELECT doc_id, sum(u * u) AS ss FROM dnv GROUP BY 1"),
+    ("qss", "SELECT query_id, sum(u * u) AS ss FROM qnv GROUP BY 1"),
+    ("dots", "SELECT q.query_id, d.doc_id, sum(q.u * d.u) AS dot FROM qnv q JOIN dnv d ON d.b = q.b GROUP BY 1, 2"),
+    ("vd", "SELECT q.query_id, d.doc_id, greatest(q.ss + d.ss - 2 * coalesce(o.dot, 0), 0) AS d2 FROM qss q "
+           "CROSS JOIN dss d LEFT JOIN dots o ON o.query_id = q.query_id AND o.doc_id = d.doc_id"),
+    ("vtop", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), doc_id) "
+             "AS vr FROM vd) WHERE vr <= 50"),
+    ("fu", "SELECT query_id, doc_id, sum(w) AS fused FROM (SELECT query_id, doc_id, 1.0 / (1.0 + 4.0 * d2 * d2) AS w "
+           "FROM vtop UNION ALL SELECT query_id, doc_id, text_score AS w FROM tnorm) GROUP BY 1, 2"),
+    ("fk", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, doc_id) "
+           "AS fused_rank FROM fu) WHERE fused_rank <= 50"),
+]
+
+HYB = _BASE_HEAD + TEXT + HVEC + scoring("f_", "fk") + [
+    ("kept", "SELECT k.query_id, k.doc_id, k.fused_rank FROM fk k JOIN f_rel r ON r.query_id = k.query_id "
+             "AND r.doc_id = k.doc_id WHERE r.relevance > 0.0"),
+] + scoring("k_", "kept") + [
+    ("hs", "SELECT b.query_id, b.doc_id, b.bmp AS score, row_number() OVER (PARTITION BY b.query_id ORDER BY "
+           "round(b.bmp, 9) DESC, k.fused_rank, b.doc_id) AS rank FROM k_bmp b JOIN kept k "
+           "ON k.query_id = b.query_id AND k.doc_id = b.doc_id"),
+    ("meta", "SELECT doc_id, concat_ws('/', source, doc_id::VARCHAR) AS url, lang, n_chars, text AS article "
+             "FROM documents"),
+]
+
+CASC = _BASE_HEAD + [("cand", BASE["cand"])] + scoring("c1_", "cand") + [
+    ("r1", "SELECT b.query_id, b.doc_id, b.bm25 AS score, row_number() OVER (PARTITION BY b.query_id ORDER BY "
+           "round(b.bm25, 9) DESC, c.cand_rank, b.doc_id) AS rank, count(*) OVER (PARTITION BY b.query_id) AS n "
+           "FROM c1_bm b JOIN cand c ON c.query_id = b.query_id AND c.doc_id = b.doc_id"),
+    ("st2", "SELECT * FROM r1 WHERE floor(n * 0.1) + 1 > 1 AND rank <= floor(n * 0.1) + 1"),
+] + scoring("c2_", "st2") + [
+    ("casc", "SELECT b.query_id, b.doc_id, b.bmp AS score, row_number() OVER (PARTITION BY b.query_id ORDER BY "
+             "round(b.bmp, 9) DESC, s.rank, b.doc_id) AS final_rank FROM c2_bmp b JOIN st2 s "
+             "ON s.query_id = b.query_id AND s.doc_id = b.doc_id "
+             "UNION ALL SELECT query_id, doc_id, score, rank AS final_rank FROM r1 WHERE floor(n * 0.1) + 1 <= 1"),
+]
+
+ORACLE.update({
+    "relaxed_and_conditions": ctes(_BASE_HEAD + TEXT) + "\nSELECT query_id AS item_id, level, start, "
+                              "len(terms) AS n_terms, array_to_string(list_sort(terms), ' ') AS terms FROM conds",
+    "relaxed_and_search": ctes(_BASE_HEAD + TEXT) + "\nSELECT query_id AS item_id, level, start, doc_id, "
+                          "round(score, 6) AS score, hit_rank FROM rtop",
+    "text_score_norm": ctes(_BASE_HEAD + TEXT) + "\nSELECT query_id AS item_id, level, start, doc_id, "
+                       "round(text_score, 6) AS text_score FROM tnorm",
+    "hybrid_fusion": ctes(HYB) + "\nSELECT query_id AS item_id, doc_id, round(fused, 6) AS fused, fused_rank FROM fk",
+    "metadata_lookup": ctes(HYB) + "\nSELECT k.query_id AS item_id, k.fused_rank, k.doc_id, coalesce(m.url, 'stub') "
+                       "AS url, coalesce(m.lang, 'stub') AS lang, m.n_chars FROM fk k LEFT JOIN meta m "
+                       "ON m.doc_id = k.doc_id",
+    "hybrid_search": ctes(HYB) + "\nSELECT query_id AS item_id, doc_id, rank, round(score, 6) AS score FROM hs",
+    "cascade_rerank": ctes(CASC) + "\nSELECT query_id AS item_id, doc_id, final_rank, round(score, 6) AS score "
+                      "FROM casc",
+    "answer_text": ctes(HYB) + "\nSELECT b.item_id AS item_id, CASE WHEN u.urls IS NOT NULL AND len(u.urls) > 0 THEN "
+                   "'Ответ на вопрос ' || b.text || ': - \n\n' || array_to_string(u.urls, chr(10)) ELSE "
+                   "'Ответ на вопрос ' || b.text || ': ничего не найдено' END AS response FROM benchmark b "
+                   "LEFT JOIN (SELECT h.query_id, list(m.url ORDER BY h.rank) AS urls FROM hs h JOIN meta m "
+                   "ON m.doc_id = h.doc_id GROUP BY h.query_id) u ON u.query_id = b.item_id",
+    "history_split": "WITH u AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM "
+                     "conversations WHERE role = 'user' GROUP BY conv_id), "
+                     "qs AS (SELECT conv_id, unnest(string_split(body, chr(10) || chr(10))) AS query, "
+                     "unnest(generate_series(0, len(string_split(body, chr(10) || chr(10))) - 1)) AS q_no FROM u), "
+                     "nx AS (SELECT role, text, lead(role) OVER w AS nr FROM conversations "
+                     "WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), "
+                     "h AS (SELECT DISTINCT text AS query FROM nx WHERE role = 'user' AND nr = 'assistant') "
+                     "SELECT conv_id, q_no, CASE WHEN query IN (SELECT query FROM h) THEN 1 ELSE 0 END AS from_history "
+                     "FROM qs",
+})

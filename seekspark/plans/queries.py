@@ -228,3 +228,142 @@ QUERIES.update({
     "vector_label_precision": q_vector_label_precision,
     "self_recall": q_self_recall,
 })
+
+
+# --- full-text search, fusion, hybrid search, cascade, answers ----------------
+
+def _search_inputs(spark, sf):
+    from .search import prepare
+    k = stores._key(spark, sf, "benchmark", "search_inputs")
+    if k not in stores._CACHE:
+        stores._CACHE[k] = prepare(S.questions(spark, sf))
+    return stores._CACHE[k]
+
+
+def _doc_vectors(spark, sf):
+    from ..operators.vector import hashed_tf_vectors
+    k = stores._key(spark, sf, "documents", "hashed_vectors")
+    if k not in stores._CACHE:
+        stores._CACHE[k] = materialize(hashed_tf_vectors(_index(spark, sf).postings))
+    return stores._CACHE[k]
+
+
+def q_relaxed_and_conditions(spark, sf):
+    from ..operators.textsearch import conditions
+    c = conditions(_search_inputs(spark, sf).words)
+    return c.select(F.col("query_id").alias("item_id"), "level", "start", F.size("terms").alias("n_terms"),
+                    F.array_join(F.array_sort("terms"), " ").alias("terms"))
+
+
+def q_relaxed_and_search(spark, sf):
+    from ..operators.textsearch import conditions, relaxed_and_search
+    h = relaxed_and_search(conditions(_search_inputs(spark, sf).words), _index(spark, sf))
+    return h.select(F.col("query_id").alias("item_id"), "level", "start", "doc_id",
+                    F.round("score", 6).alias("score"), "hit_rank")
+
+
+def q_text_score_norm(spark, sf):
+    from .search import text_hits
+    h = text_hits(_search_inputs(spark, sf), _index(spark, sf), 2)
+    return h.select(F.col("query_id").alias("item_id"), "level", "start", "doc_id",
+                    F.round("text_score", 6).alias("text_score"))
+
+
+def _fused(spark, sf):
+    from .search import SearchOptions, fused_candidates
+    return fused_candidates(_search_inputs(spark, sf), _index(spark, sf), _doc_vectors(spark, sf), SearchOptions())
+
+
+def q_hybrid_fusion(spark, sf):
+    f = _fused(spark, sf)
+    return f.select(F.col("query_id").alias("item_id"), "doc_id", F.round("fused", 6).alias("fused"), "fused_rank")
+
+
+def q_metadata_lookup(spark, sf):
+    from ..functions.text import fill_stub
+    f = _fused(spark, sf)
+    meta = S.doc_meta(spark, sf).select("doc_id", "url", "lang", "n_chars")
+    out = f.join(broadcast_if_small(f.select("doc_id").distinct()).join(meta, "doc_id"), "doc_id", "left")
+    return fill_stub(out.select(F.col("query_id").alias("item_id"), "fused_rank", "doc_id", "url", "lang", "n_chars"),
+                     ["url", "lang"])
+
+
+def _search(spark, sf, **kw):
+    from .search import SearchOptions, search
+    return search(None, _index(spark, sf), _doc_vectors(spark, sf), SearchOptions(**kw), _search_inputs(spark, sf))
+
+
+def q_hybrid_search(spark, sf):
+    r = _search(spark, sf)
+    return r.select(F.col("query_id").alias("item_id"), "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_cascade_rerank(spark, sf):
+    """RNK-11 on the first-stage candidates: BM25, then BM25 + proximity on
+    the first int(n * 0.1) + 1 of them."""
+    from ..operators.rerank import cascade, rank_by
+    idx, qt, cands = _rerank_inputs(spark, sf)
+    ranked = rank_by(R.bm25(cands, qt, idx, "global"), "score", "cand_rank")
+
+    def second(c):
+        return R.bm25_proximity(c, qt, idx, "global", col="score2")
+    out = cascade(ranked, "rank", second, 0.1)
+    return out.select(F.col("query_id").alias("item_id"), "doc_id", "final_rank",
+                      F.round("score", 6).alias("score"))
+
+
+def q_answer_text(spark, sf):
+    from ..operators.answer import answer_text, url_lists
+    r = _search(spark, sf)
+    meta = S.doc_meta(spark, sf).select("doc_id", "url")
+    urls = url_lists(r.join(broadcast_if_small(r.select("doc_id").distinct()).join(meta, "doc_id"), "doc_id"))
+    ans = answer_text(S.questions(spark, sf), urls)
+    return ans.select(F.col("query_id").alias("item_id"), "response")
+
+
+def q_summary_context(spark, sf):
+    from ..operators.answer import summary_context
+    r = _search(spark, sf)
+    meta = S.doc_meta(spark, sf).select("doc_id", "article")
+    top = r.filter(F.col("rank") <= 5)
+    ctx = summary_context(top.join(broadcast_if_small(top.select("doc_id").distinct()).join(meta, "doc_id"),
+                                   "doc_id"), S.questions(spark, sf))
+    return ctx.select(F.col("query_id").alias("item_id"), "context")
+
+
+def q_history_split(spark, sf):
+    """JOI-4 over conversations: a request per conversation (its user turns
+    joined by blank lines); the history maps a user turn to the assistant
+    turn after it. Each question of a request is answered from the history
+    or goes on to search."""
+    from ..operators.answer import split_requests, use_history
+    from pyspark.sql import Window
+    conv = S.table(spark, sf, "conversations")
+    users = conv.filter(F.col("role") == "user")
+    req = users.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l")) \
+        .select(F.col("conv_id").alias("request_id"), F.array_join(F.transform("l", lambda s: s["text"]), "\n\n")
+                .alias("body"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    nxt = conv.withColumn("next_role", F.lead("role").over(w)).withColumn("next_text", F.lead("text").over(w))
+    hist = nxt.filter((F.col("role") == "user") & (F.col("next_role") == "assistant")) \
+        .select(F.col("text").alias("query"), F.col("next_text").alias("response")) \
+        .groupBy("query").agg(F.min("response").alias("response"))
+    qs = split_requests(req)
+    answered, to_search = use_history(qs, hist)
+    return answered.select(F.col("request_id").alias("conv_id"), "q_no", F.lit(1).alias("from_history")) \
+        .unionByName(to_search.select(F.col("request_id").alias("conv_id"), "q_no", F.lit(0).alias("from_history")))
+
+
+QUERIES.update({
+    "relaxed_and_conditions": q_relaxed_and_conditions,
+    "relaxed_and_search": q_relaxed_and_search,
+    "text_score_norm": q_text_score_norm,
+    "hybrid_fusion": q_hybrid_fusion,
+    "metadata_lookup": q_metadata_lookup,
+    "hybrid_search": q_hybrid_search,
+    "cascade_rerank": q_cascade_rerank,
+    "answer_text": q_answer_text,
+    "summary_context": q_summary_context,
+    "history_split": q_history_split,
+})

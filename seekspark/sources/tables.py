@@ -43,3 +43,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
+
+
+def doc_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI-1 metadata store: ``(doc_id, url, lang, n_chars, article)``; the
+    url is ``source/doc_id`` (the test table has no url column)."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("url"), "lang", "n_chars",
+        F.col("text").alias("article"))
