@@ -322,3 +322,123 @@ ORACLE.update({
                      "SELECT conv_id, q_no, CASE WHEN query IN (SELECT query FROM h) THEN 1 ELSE 0 END AS from_history "
                      "FROM qs",
 })
+
+
+# --- ingestion and evaluation ---------------------------------------------------
+
+_LI = "(?s)<li[^>]*>.*?<a[^>]*>(.*?)</a>"
+PAGES = [
+    ("blk", "SELECT page_id, regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1) AS b FROM pages"),
+    ("items", f"SELECT page_id, unnest(regexp_extract_all(b, '{_LI}', 1)) AS x, "
+              f"unnest(generate_series(1, len(regexp_extract_all(b, '{_LI}', 1)))) AS i FROM blk WHERE b <> ''"),
+    ("hd", "SELECT page_id, i, trim(regexp_replace(trim(x), '^\\S+\\s+', '')) || '.' AS heading FROM items "
+           "WHERE trim(x) <> ''"),
+    ("hf", "SELECT page_id, heading, min(i) AS i FROM hd GROUP BY 1, 2"),
+    ("heads", "SELECT b.page_id, coalesce(h.hs, []) AS headings FROM blk b LEFT JOIN (SELECT page_id, "
+              "list(heading ORDER BY i) AS hs FROM hf GROUP BY 1) h ON h.page_id = b.page_id WHERE b.b <> ''"),
+    ("pl", "SELECT page_id, url, regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<.*?>', '', 'g') "
+           "AS title, list_filter(list_transform(string_split(replace(regexp_replace(regexp_replace(regexp_replace("
+           "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '(?s)<h1[^>]*>.*?</h1>', '', 'g'), "
+           "'<br>|</p>|</li>|</h[1-6]>', chr(10), 'g'), '<.*?>', '', 'g'), chr(160), ' '), chr(10)), "
+           "lambda l: trim(l)), lambda l: l <> '') AS lines FROM pages"),
+    ("ln", "SELECT p.page_id, p.url, p.title, h.headings, unnest(p.lines) AS line, "
+           "unnest(generate_series(0, len(p.lines) - 1)) AS i FROM pl p JOIN heads h ON h.page_id = p.page_id"),
+    ("lh", "SELECT *, CASE WHEN length(line) < 100 AND list_contains(headings, line) THEN 1 ELSE 0 END AS h FROM ln"),
+    ("ls", "SELECT *, sum(h) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT "
+           "AS section_no FROM lh"),
+    ("sb", "SELECT page_id, section_no, any_value(url) AS url, any_value(title) AS title, "
+           "string_agg(line, ' ' ORDER BY i) AS body FROM ls WHERE h = 0 GROUP BY 1, 2"),
+    ("sh", "SELECT page_id, section_no, line AS heading FROM ls WHERE h = 1"),
+    ("sec0", "SELECT b.page_id, b.section_no, b.url, b.title, coalesce(s.heading, '') AS heading, b.body FROM sb b "
+             "LEFT JOIN sh s ON s.page_id = b.page_id AND s.section_no = b.section_no"),
+    ("sec", f"SELECT page_id, section_no, CASE WHEN length(heading) > 0 THEN url || '#' || "
+            f"replace(substr(heading, 1, length(heading) - 1), ' ', '_') ELSE url END AS url, "
+            f"CASE WHEN length(heading) > 0 THEN title || '. ' || heading ELSE title END AS title, "
+            f"title || '. ' || heading || ' ' || body AS article FROM sec0"),
+    ("secp", f"SELECT *, array_to_string({tok('article', stop_words('russian'))}, ' ') AS proc_article FROM sec"),
+]
+
+TRUTH = [
+    ("tr", "SELECT b.item_id AS query_id, d.doc_id, d.source AS page FROM benchmark b, documents d "
+           "WHERE instr(d.text, b.text) > 0"),
+]
+
+ORACLE.update({
+    "toc_headings": ctes(PAGES) + "\nSELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 "
+                    "AS heading_no, heading FROM hf",
+    "strip_tags": "SELECT page_id, regexp_replace(html, '<.*?>', '', 'g') AS text FROM pages",
+    "first_url": "SELECT page_id, regexp_extract(html, 'http([^\"]+)', 0) AS url FROM pages",
+    "sections": ctes(PAGES) + "\nSELECT page_id, section_no, url, title, proc_article, "
+                "len(string_split(proc_article, ' ')) AS proc_len FROM secp",
+    "dense_ids": ctes(PAGES) + "\nSELECT row_number() OVER (ORDER BY page_id, section_no) - 1 AS doc_id, page_id, "
+                 "section_no FROM sec",
+    "store_consistency": ctes(PAGES + [("st", f"SELECT len({tok('article')}) AS n FROM sec")])
+                         + "\nSELECT sum(CASE WHEN n > 0 THEN 1 ELSE 0 END)::BIGINT AS n_vectors, count(*) AS n_meta, "
+                         "sum(CASE WHEN n > 0 THEN 1 ELSE 0 END)::BIGINT AS n_both, 0::BIGINT AS only_vectors, "
+                         "sum(CASE WHEN n > 0 THEN 0 ELSE 1 END)::BIGINT AS only_meta FROM st",
+    "split_articles": ctes(PAGES + [
+        ("dd", "SELECT floor(page_id / 100)::BIGINT AS file, page_id, '<doc id=\"' || page_id::VARCHAR || "
+               "'\" url=\"' || url || '\" title=\"' || title || '\">' || chr(10) || title || chr(10) || chr(10) || "
+               "array_to_string(lines, chr(10)) || chr(10) || '</doc>' || chr(10) AS d FROM pl"),
+        ("du", "SELECT file, string_agg(d, '' ORDER BY page_id) AS value FROM dd GROUP BY file"),
+        ("pc", "SELECT file, unnest(string_split(value, '<doc id=')) AS piece, "
+               "unnest(generate_series(1, len(string_split(value, '<doc id=')))) AS n FROM du"),
+        ("ar", "SELECT file, row_number() OVER (PARTITION BY file ORDER BY n) AS article_no, '<doc id=' || piece "
+               "AS article FROM pc WHERE piece <> ''"),
+    ]) + "\nSELECT file, article_no, regexp_extract(article, 'http([^\"]+)', 0) AS url, "
+         "coalesce(string_split(article, chr(10))[2], '') AS title, length(article) AS n_chars FROM ar "
+         "WHERE length(article) >= 500",
+    "title_leak": ctes(PAGES) + "\nSELECT page_id, CASE WHEN len(list_filter(lines, lambda l: NOT contains(lower(l), "
+                  "lower(title)))) = 0 THEN 1 ELSE 0 END AS leak FROM pl WHERE len(lines) > 0",
+    "passage_truth": ctes(TRUTH) + "\nSELECT query_id AS item_id, doc_id FROM tr",
+    "latency_report": "SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, "
+                      "round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max "
+                      "FROM events GROUP BY event_type",
+})
+
+EVAL = HYB + TRUTH + [
+    ("res", "SELECT h.query_id, h.doc_id, h.rank, d.source AS page FROM hs h JOIN documents d ON d.doc_id = h.doc_id"),
+    ("fs", "SELECT r.query_id, min(r.rank) AS s FROM res r JOIN (SELECT DISTINCT query_id, doc_id FROM tr) t "
+           "ON t.query_id = r.query_id AND t.doc_id = r.doc_id GROUP BY 1"),
+    ("fl", "SELECT r.query_id, min(r.rank) AS l FROM res r JOIN (SELECT DISTINCT query_id, page FROM tr) t "
+           "ON t.query_id = r.query_id AND t.page = r.page GROUP BY 1"),
+    ("mp", "SELECT q.query_id, coalesce(fs.s - 1, -1) AS pos_strong, coalesce(fl.l - 1, -1) AS pos_light FROM "
+           "(SELECT DISTINCT query_id FROM tr) q LEFT JOIN fs ON fs.query_id = q.query_id "
+           "LEFT JOIN fl ON fl.query_id = q.query_id"),
+    ("mv", "SELECT m.metric, CASE m.metric WHEN 'inv_5' THEN CASE WHEN pos_strong = -1 THEN 0.0 ELSE "
+           "5.0 / (pos_strong + 5) END ELSE (pos_strong > -1 AND pos_strong < m.k)::DOUBLE END AS s, "
+           "CASE m.metric WHEN 'inv_5' THEN CASE WHEN pos_light = -1 THEN 0.0 ELSE 5.0 / (pos_light + 5) END "
+           "ELSE (pos_light > -1 AND pos_light < m.k)::DOUBLE END AS l FROM mp, (VALUES ('in_top_5', 5), "
+           "('in_top_15', 15), ('in_top_30', 30), ('inv_5', 0)) m(metric, k)"),
+]
+
+ROC = [
+    ("ds", "SELECT doc_id, round(count(*) / any_value(dl), 6) AS score FROM post GROUP BY doc_id"),
+    ("lab", "SELECT l.quality AS label, s.score FROM labels l JOIN ds s ON s.doc_id = l.doc_id"),
+    ("g", "SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM lab GROUP BY score"),
+    ("cum", "SELECT *, sum(pos) OVER (ORDER BY score) AS cum_pos, sum(neg) OVER (ORDER BY score) AS cum_neg FROM g"),
+    ("tot", "SELECT sum(pos)::DOUBLE AS P, sum(neg)::DOUBLE AS N FROM g"),
+    ("pts", "SELECT score::DOUBLE AS score, (P - cum_pos) / P AS tpr, (N - cum_neg) / N AS fpr, "
+            "(P - (cum_pos - pos)) / P AS prev_tpr, (N - (cum_neg - neg)) / N AS prev_fpr FROM cum, tot"),
+]
+
+NEG = TRUTH + [
+    ("tq", "SELECT t.query_id, t.doc_id, b.text AS query, t.query_id % 9 AS file FROM tr t "
+           "JOIN benchmark b ON b.item_id = t.query_id"),
+    ("tn", "SELECT *, row_number() OVER (PARTITION BY file ORDER BY query_id, doc_id) - 1 AS row_no FROM tq"),
+    ("sz", "SELECT file, count(*) AS n FROM tn GROUP BY file"),
+    ("want", "SELECT t.doc_id, (t.file + 5) % 9 AS tf, CASE WHEN s.n > 1 THEN (t.doc_id * 7919 + t.row_no * 104729) "
+             "% (s.n - 1) ELSE 0 END AS pick FROM tn t JOIN sz s ON s.file = (t.file + 5) % 9"),
+]
+
+ORACLE.update({
+    "match_positions": ctes(EVAL) + "\nSELECT query_id AS item_id, pos_strong, pos_light FROM mp",
+    "metrics": ctes(EVAL) + "\nSELECT metric, round(avg(s), 6) AS strong, round(avg(l), 6) AS light FROM mv "
+               "GROUP BY metric",
+    "roc_curve": ctes(_BASE_HEAD + ROC) + "\nSELECT NULL::DOUBLE AS score, 1.0 AS tpr, 1.0 AS fpr UNION ALL "
+                 "SELECT score, round(tpr, 6), round(fpr, 6) FROM pts",
+    "roc_auc": ctes(_BASE_HEAD + ROC) + "\nSELECT round(sum((prev_fpr - fpr) * (prev_tpr + tpr) / 2.0), 6) AS auc "
+               "FROM pts",
+    "negative_pairs": ctes(NEG) + "\nSELECT doc_id, query, 1 AS relevant FROM tn UNION ALL SELECT w.doc_id, "
+                      "t.query, 0 AS relevant FROM want w JOIN tn t ON t.file = w.tf AND t.row_no = w.pick",
+})

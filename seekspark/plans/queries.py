@@ -367,3 +367,214 @@ QUERIES.update({
     "summary_context": q_summary_context,
     "history_split": q_history_split,
 })
+
+
+# --- ingestion ------------------------------------------------------------------
+
+def _pages(spark, sf):
+    return S.spread(S.table(spark, sf, "pages").select("page_id", "url", "html"), "page_id")
+
+
+def q_toc_headings(spark, sf):
+    from ..functions.text import toc_headings
+    p = _pages(spark, sf).select("page_id", toc_headings("html").alias("h"))
+    return p.select("page_id", F.posexplode("h").alias("heading_no", "heading"))
+
+
+def q_strip_tags(spark, sf):
+    from ..functions.text import strip_tags
+    return _pages(spark, sf).select("page_id", strip_tags("html").alias("text"))
+
+
+def q_first_url(spark, sf):
+    from ..functions.text import first_url
+    return _pages(spark, sf).select("page_id", first_url("html").alias("url"))
+
+
+def _sections(spark, sf):
+    from ..functions.text import toc_headings
+    from ..operators.ingest import page_lines, sections
+    pages = _pages(spark, sf)
+    heads = pages.select("page_id", toc_headings("html").alias("headings")).filter(F.col("headings").isNotNull())
+    return sections(page_lines(pages), heads, stop_list=stop_words("russian"))
+
+
+def q_sections(spark, sf):
+    return _sections(spark, sf).select("page_id", "section_no", "url", "title", "proc_article", "proc_len")
+
+
+def q_dense_ids(spark, sf):
+    from ..operators.ingest import dense_ids
+    return dense_ids(_sections(spark, sf).select("page_id", "section_no"), ["page_id", "section_no"]) \
+        .select("doc_id", "page_id", "section_no")
+
+
+def q_store_consistency(spark, sf):
+    from ..operators.index import doc_tokens, postings
+    from ..operators.ingest import dense_ids, store_consistency
+    from ..operators.vector import hashed_tf_vectors
+    meta = dense_ids(_sections(spark, sf), ["page_id", "section_no"])
+    vecs = hashed_tf_vectors(postings(doc_tokens(meta, "article", "doc_id"), with_positions=False))
+    return store_consistency(vecs, meta)
+
+
+def q_split_articles(spark, sf):
+    """SRC-2 on dump text that Spark writes from the pages (one dump per
+    hundred page ids), split back into articles with url and title."""
+    from ..operators.ingest import article_fields, page_lines, split_articles
+    pl = page_lines(_pages(spark, sf))
+    doc = F.concat(F.lit('<doc id="'), F.col("page_id").cast("string"), F.lit('" url="'), F.col("url"),
+                   F.lit('" title="'), F.col("title"), F.lit('">\n'), F.col("title"), F.lit("\n\n"),
+                   F.array_join("lines", "\n"), F.lit("\n</doc>\n"))
+    dumps = pl.select(F.floor(F.col("page_id") / 100).cast("long").alias("file"), "page_id", doc.alias("d")) \
+        .groupBy("file").agg(F.array_sort(F.collect_list(F.struct("page_id", "d"))).alias("l")) \
+        .select("file", F.array_join(F.transform("l", lambda s: s["d"]), "").alias("value"))
+    arts = article_fields(split_articles(dumps))
+    return arts.select("file", "article_no", "url", "title", F.length("article").alias("n_chars"))
+
+
+def q_title_leak(spark, sf):
+    from ..operators.evaluate import title_leak
+    from ..operators.ingest import page_lines
+    pl = page_lines(_pages(spark, sf)).filter(F.size("lines") > 0)
+    return title_leak(pl, "title", "lines").select("page_id", F.col("leak").cast("int").alias("leak"))
+
+
+QUERIES.update({
+    "toc_headings": q_toc_headings,
+    "strip_tags": q_strip_tags,
+    "first_url": q_first_url,
+    "sections": q_sections,
+    "dense_ids": q_dense_ids,
+    "store_consistency": q_store_consistency,
+    "split_articles": q_split_articles,
+    "title_leak": q_title_leak,
+})
+
+
+# --- evaluation -------------------------------------------------------------------
+
+def passage_truth(spark, sf) -> DataFrame:
+    """Right answers of each benchmark question: documents that contain the
+    whole passage. Candidates come from the index (documents holding every
+    inner token of the passage; the first and last may be glued to
+    neighbouring text), so no question is compared with every document."""
+    from ..operators.index import doc_tokens
+    idx = _index(spark, sf)
+    toks = doc_tokens(S.questions(spark, sf), "query", "query_id", id_out="query_id")
+    inner = toks.select("query_id", F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(0))).alias("t"))
+    need = inner.select("query_id", F.explode(F.array_distinct("t")).alias("term"))
+    n_need = need.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
+    got = idx.postings.select("doc_id", "term").join(broadcast_if_small(need), "term") \
+        .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("got")) \
+        .join(broadcast_if_small(n_need), "query_id").filter(F.col("got") == F.col("need"))
+    texts = S.table(spark, sf, "documents").select("doc_id", "text", "source")
+    q = S.questions(spark, sf)
+    cand = got.select("query_id", "doc_id").join(texts, "doc_id").join(broadcast_if_small(q), "query_id")
+    return materialize(cand.filter(F.instr("text", F.col("query")) > 0)
+                       .select("query_id", "doc_id", F.col("source").alias("page")))
+
+
+def q_passage_truth(spark, sf):
+    return passage_truth(spark, sf).select(F.col("query_id").alias("item_id"), "doc_id")
+
+
+def _positions(spark, sf, results):
+    from ..operators.evaluate import match_positions
+    src = S.table(spark, sf, "documents").select("doc_id", F.col("source").alias("page"))
+    res = results.join(src, "doc_id")
+    return match_positions(res, passage_truth(spark, sf))
+
+
+def q_match_positions(spark, sf):
+    p = _positions(spark, sf, _search(spark, sf))
+    return p.select(F.col("query_id").alias("item_id"), "pos_strong", "pos_light")
+
+
+def q_metrics(spark, sf):
+    from ..operators.evaluate import metric_table
+    t = metric_table(_positions(spark, sf, _search(spark, sf)))
+    return t.select("metric", F.round("strong", 6).alias("strong"), F.round("light", 6).alias("light"))
+
+
+GRID_RANKERS = (None, "bm25_proximity", "idf")
+GRID_KS = (20, 50)
+
+
+def q_metrics_grid(spark, sf):
+    """EVA-4/6: every (ranker, k) of the grid. Vector hits are taken once at
+    the largest k and cut per k before fusion; text hits are shared."""
+    from ..operators.evaluate import metric_table
+    from ..operators import relevance as RR
+    from ..operators.rerank import rank_by
+    from ..operators.textsearch import fuse
+    from .search import score_candidates, text_hits, vector_hits
+    inp, idx = _search_inputs(spark, sf), _index(spark, sf)
+    vh = materialize(vector_hits(inp, _doc_vectors(spark, sf), max(GRID_KS), 64))
+    th = materialize(text_hits(inp, idx, 2))
+    src = S.table(spark, sf, "documents").select("doc_id", F.col("source").alias("page"))
+    from ..operators.evaluate import match_positions
+    truth = passage_truth(spark, sf)
+    tables = []
+    for k in GRID_KS:
+        fused = materialize(fuse(vh.filter(F.col("rank") <= k), th, k))
+        kept = materialize(RR.quorum_filter(RR.quorum_relevance(fused, inp.qterms, idx, "idf"), 0.0))
+        for rk in GRID_RANKERS:
+            if rk:
+                ranked = rank_by(score_candidates(kept, inp.qterms, idx, rk), "score", "fused_rank")
+            else:
+                ranked = rank_by(kept.withColumn("score", F.col("fused")), "score")
+            pos = match_positions(ranked.join(src, "doc_id"), truth)
+            tables.append(metric_table(pos).withColumn("ranker", F.lit(rk or "none")).withColumn("k", F.lit(k)))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.select("ranker", "k", "metric", F.round("strong", 6).alias("strong"), F.round("light", 6).alias("light"))
+
+
+def _doc_scores(spark, sf):
+    """A per-document score for ROC: share of distinct terms among tokens."""
+    idx = _index(spark, sf)
+    d = idx.postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("v"), F.first("dl").alias("dl"))
+    return d.select("doc_id", F.round(F.col("v") / F.col("dl"), 6).alias("score"))
+
+
+def q_roc_curve(spark, sf):
+    from ..operators.evaluate import roc_curve
+    lab = S.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    c = roc_curve(lab.join(_doc_scores(spark, sf), "doc_id"))
+    return c.select("score", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+def q_roc_auc(spark, sf):
+    from ..operators.evaluate import roc_auc, roc_curve
+    lab = S.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return roc_auc(roc_curve(lab.join(_doc_scores(spark, sf), "doc_id"))).select(F.round("auc", 6).alias("auc"))
+
+
+def q_negative_pairs(spark, sf):
+    from pyspark.sql import Window
+    from ..operators.evaluate import negative_pairs
+    t = passage_truth(spark, sf).join(S.questions(spark, sf), "query_id")
+    t = t.withColumn("file", F.pmod("query_id", F.lit(9)).cast("int"))
+    t = t.withColumn("row_no", F.row_number().over(Window.partitionBy("file").orderBy("query_id", "doc_id")) - 1)
+    return negative_pairs(t.select("file", "row_no", "query", "doc_id"))
+
+
+def q_latency_report(spark, sf):
+    from ..operators.evaluate import stage_report
+    ev = S.table(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
+    r = stage_report(ev)
+    return r.select("stage", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+QUERIES.update({
+    "passage_truth": q_passage_truth,
+    "match_positions": q_match_positions,
+    "metrics": q_metrics,
+    "metrics_grid": q_metrics_grid,
+    "roc_curve": q_roc_curve,
+    "roc_auc": q_roc_auc,
+    "negative_pairs": q_negative_pairs,
+    "latency_report": q_latency_report,
+})
