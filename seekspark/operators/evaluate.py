@@ -118,7 +118,7 @@ def prefix_sums(df: DataFrame, order_col: str, cols, ranges: int | None = None)
     w = Window.partitionBy("__r").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     out = r
     for c in cols:
-        m = F.create_map(*[x for k, v in offs[c] for x in (F.lit(k), F.lit(v))]) if offs[c] else F.create_map()
+        m = F.create_map(*[x for k, v in offs[c] for x in (F.lit(k), F.lit(v))]) if offs[c] else F.create_map().cast("map<int,bigint>")
         out = out.withColumn(f"cum_{c}", F.coalesce(m[F.col("__r")], F.lit(0)) + F.sum(c).over(w))
     return out.drop("__r")
 

@@ -101,7 +101,7 @@ def dense_ids(df: DataFrame, order_cols, start=0, id_col: str = "doc_id", partit
     for r, c in counts:
         offs[r] = acc
         acc += c
-    off_col = F.create_map(*[x for r, o in offs.items() for x in (F.lit(r), F.lit(o))]) if offs else F.create_map()
+    off_col = F.create_map(*[x for r, o in offs.items() for x in (F.lit(r), F.lit(o))]) if offs else F.create_map().cast("map<int,bigint>")
     w = Window.partitionBy("__r").orderBy(*order_cols)
     return ranged.withColumn(id_col, (off_col[F.col("__r")] + F.row_number().over(w) - 1).cast("bigint")).drop("__r")
 
