@@ -32,7 +32,7 @@ def _with_idf(cells: DataFrame, index: CorpusIndex, missing: float) -> DataFrame
 
 
 def quorum_relevance(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, kind: str = "idf",
-                     col: str = "relevance") -> DataFrame:
+                     col: str = "relevance", cells: DataFrame | None = None) -> DataFrame:
     """REL-1 (``vanilla``), REL-2 (``idf``), REL-3 (``tfidf``).
 
     vanilla: share of distinct query words present in the doc.
@@ -40,7 +40,7 @@ def quorum_relevance(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, ki
     tfidf:   sum(mult * tf/dl * idf) / sum(mult * mult/qlen * idf).
     A zero denominator gives null (the reference's NaN), which no threshold keeps.
     """
-    cells = candidate_cells(cands, qterms, index)
+    cells = cells if cells is not None else candidate_cells(cands, qterms, index)
     if kind == "vanilla":
         agg = F.try_divide(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).cast("double"),
                            F.count(F.lit(1)).cast("double"))
@@ -79,7 +79,7 @@ def _bm25_term(tf, dl, avgdl, idf, k1, b):
 
 
 def bm25(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, variant: str = "global",
-         k1: float = BM25_K1, b: float = BM25_B, col: str = "score") -> DataFrame:
+         k1: float = BM25_K1, b: float = BM25_B, col: str = "score", cells: DataFrame | None = None) -> DataFrame:
     """REL-4 (``global``: idf from the corpus table, missing -> 0),
     REL-5 (``local``: ``ln(N/(df+1)+1)`` over the candidate set),
     REL-7 (``okapi``: ``ln(N-df+.5)-ln(df+.5)`` over the candidates' whole
@@ -88,7 +88,7 @@ def bm25(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, variant: str =
     Query duplicates count once per occurrence; ``avgdl`` is the mean length
     of the query's candidates. An empty candidate list gives no rows.
     """
-    cells = candidate_cells(cands, qterms, index)
+    cells = cells if cells is not None else candidate_cells(cands, qterms, index)
     per_q = cells.select(*QD, "dl").distinct().groupBy("query_id").agg(
         F.avg("dl").alias("avgdl"), F.count(F.lit(1)).cast("double").alias("n_cand"))
     cells = cells.join(per_q, "query_id")
@@ -122,7 +122,8 @@ def _okapi_idf(cands: DataFrame, index: CorpusIndex) -> DataFrame:
         F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("avg_idf")).otherwise(F.col("idf")).alias("idf"))
 
 
-def proximity(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, col: str = "proximity") -> DataFrame:
+def proximity(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, col: str = "proximity",
+              cells: DataFrame | None = None) -> DataFrame:
     """RNK-15: ``1/(1+d)``, d = least distance between positions of two
     query-term slots in the doc, 0 when no pair exists.
 
@@ -130,7 +131,8 @@ def proximity(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, col: str
     distance between different terms is reached by two neighbours in position
     order, so one ``lag`` over the sorted positions finds it: no pairs.
     """
-    cells = candidate_cells(cands, qterms, index, positions=True).filter(F.col("tf") > 0)
+    cells = (cells if cells is not None else candidate_cells(cands, qterms, index, positions=True)) \
+        .filter(F.col("tf") > 0)
     dup = cells.filter(F.col("mult") >= 2).select(*QD).distinct().withColumn("dup", F.lit(True))
     occ = cells.select(*QD, "term", F.explode("positions").alias("pos"))
     w = Window.partitionBy(*QD).orderBy("pos")
@@ -144,11 +146,12 @@ def proximity(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, col: str
 
 
 def bm25_proximity(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, variant: str = "global",
-                   weight: float = PROXIMITY_WEIGHT, col: str = "score") -> DataFrame:
+                   weight: float = PROXIMITY_WEIGHT, col: str = "score", cells: DataFrame | None = None) -> DataFrame:
     """REL-6: BM25 + weight * proximity (``variant='local'`` is the older
     notebook's class, with candidate-local idf)."""
-    s = bm25(cands, qterms, index, variant, col="bm25")
-    p = proximity(cands.select(*QD), qterms, index).select(*QD, "proximity")
+    cells = cells if cells is not None else candidate_cells(cands, qterms, index, positions=True)
+    s = bm25(cands, qterms, index, variant, col="bm25", cells=cells)
+    p = proximity(cands.select(*QD), qterms, index, cells=cells).select(*QD, "proximity")
     return s.join(p, QD).withColumn(col, F.col("bm25") + weight * F.col("proximity"))
 
 

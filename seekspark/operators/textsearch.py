@@ -55,20 +55,32 @@ def bm25f_term(tf, dl, avgdl, df, n_docs) -> F.Column:
 def relaxed_and_search(conds: DataFrame, index: CorpusIndex, per_condition: int = HITS_PER_CONDITION) -> DataFrame:
     """RNK-3 + RNK-4: ``(query_id, level, start, doc_id, score, hit_rank)``.
 
-    ``score`` already carries the level factor ``1/(1+level)``. The
-    condition-term table is the small side of the postings join (broadcast
-    after a size check); the postings stream through it map-side.
+    ``score`` already carries the level factor ``1/(1+level)``. A document
+    can only match a condition if it holds at least as many of the
+    question's distinct words as the smallest condition has, so (question,
+    doc) pairs are first counted (one partially aggregated pass over the
+    postings of the question words, broadcast after a size check) and only
+    the pairs that pass meet the conditions. Exact: no match is lost.
     """
     cond_terms = materialize(conds.select("query_id", "level", "start", F.size("terms").alias("need"),
                                           F.explode("terms").alias("term")))
-    terms = broadcast_if_small(cond_terms.select("term").distinct())
+    qwords = materialize(cond_terms.select("query_id", "term").distinct())
+    min_need = conds.groupBy("query_id").agg(F.min(F.size("terms")).alias("min_need"))
+    pairs = index.postings.select("doc_id", "term").join(broadcast_if_small(qwords), "term") \
+        .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("got")) \
+        .join(broadcast_if_small(min_need), "query_id").filter(F.col("got") >= F.col("min_need")) \
+        .select("query_id", "doc_id")
+    pairs = materialize(pairs)
+    terms = broadcast_if_small(qwords.select("term").distinct())
+    docs = broadcast_if_small(pairs.select("doc_id").distinct())
     avgdl = index.lengths.select(F.avg("dl")).scalar()
     stats = index.dfs.join(terms, "term").select("term", "df")
-    per_term = index.postings.select("doc_id", "term", "tf", "dl").join(terms, "term") \
+    per_term = index.postings.select("doc_id", "term", "tf", "dl").join(terms, "term").join(docs, "doc_id") \
         .join(broadcast_if_small(stats), "term") \
         .withColumn("s", bm25f_term(F.col("tf"), F.col("dl"), avgdl, F.col("df"), index.n_docs)) \
         .select("doc_id", "term", "s")
-    hits = per_term.join(broadcast_if_small(cond_terms), "term") \
+    cells = pairs.join(per_term, "doc_id").join(qwords, ["query_id", "term"])
+    hits = cells.join(cond_terms, ["query_id", "term"]) \
         .groupBy("query_id", "level", "start", "doc_id") \
         .agg(F.count(F.lit(1)).alias("got"), F.first("need").alias("need"), F.sum("s").alias("s")) \
         .filter(F.col("got") == F.col("need")) \

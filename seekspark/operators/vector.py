@@ -132,15 +132,19 @@ def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") ->
 def hashed_tf_vectors(postings: DataFrame, id_col: str = "doc_id", dim: int = 64) -> DataFrame:
     """ING-4 default encoder: hashed term counts, L2-normalised, dense.
 
-    bucket = first 8 hex digits of md5(term) mod ``dim``. A user encoder
-    replaces this through ``encode_with`` (a pandas function per batch).
+    bucket = first 8 hex digits of md5(term) mod ``dim``. The norm comes
+    from the sparse (doc, bucket) sums, so the dense array is built once
+    from already normalised values. A user encoder replaces this through
+    ``encode_with`` (a pandas function per batch).
     """
     bucket = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-    sparse = postings.select(id_col, bucket.alias("b"), "tf").groupBy(id_col, "b").agg(F.sum("tf").alias("v"))
-    m = sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", F.col("v").cast("double"))))
-                                   .alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    return m.select(id_col, l2_normalize(dense).alias("embedding"))
+    sparse = postings.select(id_col, bucket.alias("b"), "tf").groupBy(id_col, "b") \
+        .agg(F.sum("tf").cast("double").alias("v"))
+    m = sparse.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"),
+                                   F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                        lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("norm"))
+    return m.select(id_col, dense.alias("embedding"))
 
 
 def encode_with(df: DataFrame, text_col: str, encoder, dim: int, id_col: str = "doc_id") -> DataFrame:

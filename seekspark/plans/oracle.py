@@ -442,3 +442,9 @@ ORACLE.update({
     "negative_pairs": ctes(NEG) + "\nSELECT doc_id, query, 1 AS relevant FROM tn UNION ALL SELECT w.doc_id, "
                       "t.query, 0 AS relevant FROM want w JOIN tn t ON t.file = w.tf AND t.row_no = w.pick",
 })
+
+ORACLE["summary_context"] = ctes(HYB) + (
+    "\nSELECT b.item_id, array_to_string(list_slice(regexp_split_to_array(trim('Нади ответ на вопрос:  ' || b.text || "
+    "chr(10) || d.docs), '\\s+'), 1, 512), ' ') AS context FROM benchmark b JOIN (SELECT h.query_id, "
+    "string_agg(m.article, chr(10) ORDER BY h.rank) AS docs FROM hs h JOIN meta m ON m.doc_id = h.doc_id "
+    "WHERE h.rank <= 5 GROUP BY h.query_id) d ON d.query_id = b.item_id")

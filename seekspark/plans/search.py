@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stop_words
 from ..operators import relevance as R
-from ..operators.index import CorpusIndex, query_terms
+from ..operators.index import CorpusIndex, candidate_cells, query_terms
 from ..operators.rerank import cascade, rank_by
 from ..operators.textsearch import (DEPTH, conditions, fuse, normalize_text_scores, question_words,
                                     relaxed_and_search)
@@ -37,20 +37,23 @@ class SearchOptions:
     dim: int = 64
 
 
-def score_candidates(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, ranker: str) -> DataFrame:
-    """Candidates + ``score`` by a named built-in ranker."""
+def score_candidates(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, ranker: str,
+                     cells: DataFrame | None = None) -> DataFrame:
+    """Candidates + ``score`` by a named built-in ranker (REL-1..7, REL-11:
+    the quorum relevances can rank too). ``cells`` may pass the candidate x
+    term matrix already built for these candidates (with positions)."""
     if ranker in ("bm25", "bm25_global"):
-        return R.bm25(cands, qterms, index, "global", col="score")
+        return R.bm25(cands, qterms, index, "global", col="score", cells=cells)
     if ranker == "bm25_proximity":
-        return R.bm25_proximity(cands, qterms, index, "global", col="score")
+        return R.bm25_proximity(cands, qterms, index, "global", col="score", cells=cells)
     if ranker == "bm25_local":
-        return R.bm25_proximity(cands, qterms, index, "local", col="score")
+        return R.bm25_proximity(cands, qterms, index, "local", col="score", cells=cells)
     if ranker == "bm25_okapi":
-        return R.bm25(cands, qterms, index, "okapi", col="score")
+        return R.bm25(cands, qterms, index, "okapi", col="score", cells=cells)
     if ranker in ("vanilla", "idf", "tfidf"):
-        return R.quorum_relevance(cands, qterms, index, ranker, col="score")
+        return R.quorum_relevance(cands, qterms, index, ranker, col="score", cells=cells)
     if ranker == "proximity":
-        return R.proximity(cands, qterms, index, col="score")
+        return R.proximity(cands, qterms, index, col="score", cells=cells)
     raise ValueError(ranker)
 
 
@@ -101,9 +104,16 @@ def search(questions: DataFrame, index: CorpusIndex, doc_vectors: DataFrame,
     opt = opt or SearchOptions()
     inp = inputs or prepare(questions)
     fused = fused_candidates(inp, index, doc_vectors, opt)
-    kept = materialize(R.quorum_filter(R.quorum_relevance(fused, inp.qterms, index, "idf"), opt.threshold))
+    # the candidate x query-term matrix is built once; the kept rows are a
+    # semi-join of it, and every scorer reads it (the ranker's statistics
+    # are then taken over the kept candidates only, as in the reference)
+    cells = candidate_cells(fused, inp.qterms, index, positions=True)
+    kept = materialize(R.quorum_filter(R.quorum_relevance(fused, inp.qterms, index, "idf", cells=cells),
+                                       opt.threshold))
+    kept_cells = cells.join(kept.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     if opt.ranker:
-        ranked = rank_by(score_candidates(kept, inp.qterms, index, opt.ranker), "score", "fused_rank")
+        ranked = rank_by(score_candidates(kept, inp.qterms, index, opt.ranker, cells=kept_cells),
+                         "score", "fused_rank")
     else:   # no ranker: the fused order stands
         ranked = rank_by(kept.withColumn("score", F.col("fused")), "score")
     if opt.ranker2:
