@@ -66,8 +66,8 @@ def clean_tokens(c, stop_list: Iterable[str] = (), min_len: int = MIN_TOKEN_LEN,
     sensitive, before lower-casing) -> lower -> keep tokens of length
     ``min_len..max_len`` (longer tokens are dropped, not cut).
 
-    Without a stop list this is three regex passes and a split, all inside
-    generated code; the stop-list path filters the word array.
+    Without a stop list this is one regex pass, a split and one array
+    filter; the stop-list path also filters the word array by the list.
     """
     sw = list(stop_list)
     if sw:
@@ -75,12 +75,10 @@ def clean_tokens(c, stop_list: Iterable[str] = (), min_len: int = MIN_TOKEN_LEN,
         words = F.filter(_raw_words(c), lambda w: ~F.array_contains(sw_arr, w))
         words = F.transform(words, lambda w: F.lower(w))
         return F.filter(words, lambda w: (F.length(w) >= min_len) & (F.length(w) <= max_len))
-    s = F.lower(keep_letters(c))
-    # drop whole tokens shorter than min_len or longer than max_len
-    bad = f"(?<![^ ])(?:[^ ]{{1,{min_len - 1}}}|[^ ]{{{max_len + 1},}})(?![^ ])" if min_len > 1 \
-        else f"(?<![^ ])[^ ]{{{max_len + 1},}}(?![^ ])"
-    s = F.trim(F.regexp_replace(s, bad, " "))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " +"))
+    # letters only, lower-cased, split on space runs; the length filter
+    # also drops the '' an empty text splits into
+    words = F.split(F.trim(F.lower(keep_letters(c))), " +")
+    return F.filter(words, lambda w: (F.length(w) >= min_len) & (F.length(w) <= max_len))
 
 
 def clean_string(c, stop_list: Iterable[str] = (), min_len: int = MIN_TOKEN_LEN,
