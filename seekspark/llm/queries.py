@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import line_spread, quality_rules, simhash
 from .common import table
 
 
+def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines removed from every document and a digest of the text that stays."""
+    out = line_spread.strip_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"),
+                      F.col("n_removed").cast("long").alias("n_removed"),
+                      F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -16,5 +32,29 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "__base.n_repeat_words", "__base.base_failed", "__base.kept", "__base.score")
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op7_line_dedup, op9_quality_rules)}
+
+ORACLE = {
+    "op7_line_dedup": f"""
+        WITH lines AS (
+            SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM documents),
+        normal AS (
+            SELECT *, trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM lines),
+        long_lines AS (
+            SELECT * FROM normal WHERE norm <> '' AND len(string_split(norm, ' ')) >= {line_spread.MIN_WORDS}),
+        wide AS (
+            SELECT norm, min((doc_id, pos)) AS first FROM long_lines
+            GROUP BY norm HAVING count(DISTINCT coalesce(source, '')) >= {line_spread.MIN_SITES}),
+        gone AS (
+            SELECT l.doc_id, l.pos FROM long_lines l JOIN wide w ON l.norm = w.norm AND (l.doc_id, l.pos) <> w.first),
+        kept AS (
+            SELECT n.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+                   coalesce(string_agg(n.line, chr(10) ORDER BY n.pos) FILTER (WHERE g.pos IS NULL), '') AS body
+            FROM normal n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.pos = g.pos GROUP BY n.doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+               CASE WHEN text IS NOT NULL THEN length(body) END AS kept_chars,
+               CASE WHEN text IS NOT NULL THEN md5(body) END AS kept_md5
+        FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+}
