@@ -37,7 +37,7 @@ def line_table(docs: DataFrame, text: str, doc_id: str, site: str, min_words: in
     """``(id, key, pos, hash, site)`` of every line that counts, as a written table: a few numbers a line."""
     rows = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"),
                        F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"),
-                       F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+                       F.posexplode_outer(F.split(F.col(text), "\n")).alias("pos", "line"))
     rows = rows.withColumn("line", F.trim(F.regexp_replace("line", SPACE, " ")))
     blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     return written(rows.filter((F.col("line") != "") & (blanks + 1 >= min_words))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_spread, quality_rules, simhash
+from . import decontam, line_spread, quality_rules, simhash
 from .common import table
 
 
@@ -24,6 +24,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items hit in every document."""
+    out = decontam.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,9 +40,35 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "__base.n_repeat_words", "__base.base_failed", "__base.kept", "__base.score")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op7_line_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op7_line_dedup, op8_decontamination, op9_quality_rules)}
+
+_WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
 
 ORACLE = {
+    "op8_decontamination": f"""
+        WITH items AS (
+            SELECT item_id, words, least(len(words), {decontam.WINDOW}) AS size
+            FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+        windows AS (
+            SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS win
+            FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM items)),
+        docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+        places AS (
+            SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS win
+            FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i
+                  FROM docs, (SELECT DISTINCT size FROM items))),
+        found AS (SELECT doc_id, item_id, p.size, i FROM places p JOIN windows w ON p.win = w.win AND p.size = w.size),
+        hit AS (
+            SELECT doc_id, count(DISTINCT place) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT doc_id, size, i FROM found))
+            GROUP BY doc_id),
+        listed AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+        SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN listed l ON d.doc_id = l.doc_id""",
     "op7_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS line,
