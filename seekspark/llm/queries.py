@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_spread, quality_rules, simhash
+from . import decontam, line_spread, packing, quality_rules, simhash, tokens
 from .common import table
 
 
@@ -16,6 +16,13 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document."""
+    out = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.vocabulary(packing.VOCABULARY))
+    return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"),
+                      F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines removed from every document and a digest of the text that stays."""
     out = line_spread.strip_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -40,7 +47,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "__base.n_repeat_words", "__base.base_failed", "__base.kept", "__base.score")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op7_line_dedup, op8_decontamination, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op3_best_fit_packing, op7_line_dedup, op8_decontamination, op9_quality_rules)}
 
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
