@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_spread, packing, quality_rules, simhash, tokens
+from . import decontam, line_spread, packing, quality_rules, simhash, simple8b, tokens
 from .common import table
 
 
@@ -23,6 +23,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and digest of every document's ids, read back from the token files."""
+    folder = simple8b.token_folder(spark)
+    files = simple8b.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), folder,
+                                  tokens.vocabulary(simple8b.VOCABULARY))
+    out = simple8b.read_tokens(files, folder)
+    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines removed from every document and a digest of the text that stays."""
     out = line_spread.strip_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -47,7 +57,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "__base.n_repeat_words", "__base.base_failed", "__base.kept", "__base.score")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op3_best_fit_packing, op7_line_dedup, op8_decontamination, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op3_best_fit_packing, op4_simple8b_files, op7_line_dedup, op8_decontamination, op9_quality_rules)}
 
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
