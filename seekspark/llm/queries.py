@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_spread, packing, quality_rules, simhash, simple8b, tokens
+from . import decontam, line_spread, packing, prefix_counts, quality_rules, simhash, simple8b, tokens
 from .common import table
 
 
@@ -33,6 +33,13 @@ def op4_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document and whether it is over the limit."""
+    out = prefix_counts.prefix_tables(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                      tokens.vocabulary(prefix_counts.VOCABULARY))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > prefix_counts.LIMIT).alias("over_limit"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines removed from every document and a digest of the text that stays."""
     out = line_spread.strip_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -57,7 +64,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "__base.n_repeat_words", "__base.base_failed", "__base.kept", "__base.score")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op3_best_fit_packing, op4_simple8b_files, op7_line_dedup, op8_decontamination, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op3_best_fit_packing, op4_simple8b_files, op5_prefix_counts, op7_line_dedup, op8_decontamination, op9_quality_rules)}
 
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""

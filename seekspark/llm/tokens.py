@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 MOST_PIECES = 400_000
-MOST_WORDS = 800_000
+MOST_WORDS = 600_000
 LONGEST = 64  # characters of a piece or word that is kept
 
 # White space as the pre-tokenizers see it (fixed values).
