@@ -109,7 +109,8 @@ def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     ids = trusted_ids(labels).select(F.col("doc_id").alias("__id"), F.lit(1).alias("__trusted"))
     grams = (docs.select(F.col(doc_id).alias("__id"), word_hashes(space_words(F.col(text))).alias(_H))
              .join(F.broadcast(ids), "__id", "left")  # at most TARGET_DOCS rows
-             .select("__trusted", F.explode(gram_buckets(F.col(_H))).alias("bucket")))
+             .select("__trusted", F.explode_outer(gram_buckets(F.col(_H))).alias("bucket"))  # explode would test for emptiness with all built twice
+             .filter("bucket IS NOT NULL"))
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__trusted").alias("target")),
                      "gram-counts")
     total = counts.agg(F.sum("raw").cast("double").alias("r"), F.sum("target").cast("double").alias("t")).first()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_spread, packing, prefix_counts, quality_rules, simhash, simple8b, tokens
+from . import decontam, line_spread, lineblock, packing, prefix_counts, quality_rules, simhash, simple8b, tokens, zlang
 from .common import table
 
 
@@ -40,6 +40,15 @@ def op5_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > prefix_counts.LIMIT).alias("over_limit"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)))
+    dictionaries = zlang.fit(docs.filter(~F.col("held_out")))
+    out = zlang.identify(docs.select("doc_id", "held_out", "text"), dictionaries)
+    return out.select("doc_id", "held_out", "__lang.lang_pred", "__lang.score", "__lang.accepted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines removed from every document and a digest of the text that stays."""
     out = line_spread.strip_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -64,7 +73,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "__base.n_repeat_words", "__base.base_failed", "__base.kept", "__base.score")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op3_best_fit_packing, op4_simple8b_files, op5_prefix_counts, op7_line_dedup, op8_decontamination, op9_quality_rules)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = table(spark, sf_dir, "pages").select("page_id", "url", lineblock.extract(F.col("html")).alias("text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op3_best_fit_packing, op4_simple8b_files, op5_prefix_counts, op6_language_id, op7_line_dedup, op8_decontamination, op9_quality_rules,
+                                    op10_html_extraction)}
 
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
