@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_spread, lineblock, packing, prefix_counts, quality_rules, simhash, simple8b, tokens, zlang
+from . import decontam, histsort, line_spread, lineblock, packing, prefix_counts, quality_rules, simhash, simple8b, tokens, zlang
 from .common import table
 
 
+def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, shards of near-equal bytes."""
+    out = histsort.shard(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "size", F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")).alias("text_crc32"),
+                      F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -79,7 +86,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_neardup, op3_best_fit_packing, op4_simple8b_files, op5_prefix_counts, op6_language_id, op7_line_dedup, op8_decontamination, op9_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_histogram_sort, op2_simhash_neardup, op3_best_fit_packing, op4_simple8b_files, op5_prefix_counts, op6_language_id, op7_line_dedup, op8_decontamination, op9_quality_rules,
                                     op10_html_extraction)}
 
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
