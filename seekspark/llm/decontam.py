@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, small, split_words, text_key, written
+from .common import let, lower_ascii, small, split_words, text_key, written
 
 WINDOW = 10
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -154,8 +154,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, how: str = "documents") ->
     parts = F.regexp_extract_all(body, F.lit("([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*"
                                              "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+)"), 1)
     hit = F.flatten(F.transform("spans", lambda s: F.sequence(s["lo"], s["hi"] - 1)))
-    keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), hit)
     tail = F.regexp_extract(body, "([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)$", 1)
-    clean = F.concat(F.array_join(F.transform(keep, lambda i: F.get(parts, i)), ""), tail)
+    clean = F.concat(let(parts, lambda p: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(p) - 1), hit), lambda i: F.get(p, i)), "")), tail)
     return cut.select(*[F.when(F.col("spans").isNull(), body).otherwise(clean).alias(c) if c == "text"
                         else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, small, text_key, written
+from .common import SPACE, let, small, text_key, written
 
 MIN_WORDS = 4
 MIN_SITES = 8
@@ -72,10 +72,10 @@ def strip_boilerplate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     rows = rows.select("row", F.col(f"row.{doc_id}").alias("id"), text_key(F.col(f"row.{text}")).alias("key"))
     rows = rows.alias("r").join(gone.alias("g"), F.col("r.id").eqNullSafe(F.col("g.id"))
                                 & (F.col("r.key") == F.col("g.key")), "left")
-    parts = F.split(F.col(f"row.{text}"), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    body = F.when(F.col("gone").isNull(), F.col(f"row.{text}")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    body, parts = F.col(f"row.{text}"), F.split(F.col(f"row.{text}"), "\n")
+    stripped = let(parts, lambda p: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone")), lambda i: F.get(p, i)), "\n"))
+    body = F.when(F.col("gone").isNull(), body).otherwise(stripped)
     return rows.select("row", body.alias("text"),
                        F.when(F.col(f"row.{text}").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
                        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))

@@ -4,10 +4,11 @@ Two multinomials over hashed word n-grams (one and two words, ``BUCKETS``
 buckets) are counted: one over every document (raw), one over a bounded
 sample of trusted documents (target). The weight of a bucket is
 
-    log((target + BUCKETS * p_raw) / (target_total + BUCKETS) / p_raw)
+    log((target + PRIOR * p_raw) / (target_total + PRIOR) / p_raw)
 
 that is, the target estimate has the raw distribution as a Dirichlet prior of
-``BUCKETS`` pseudo-counts: without trusted documents every weight is 0. A
+``PRIOR`` pseudo-counts: without trusted documents every weight is 0, and with
+few of them a word that they happen not to hold says little. A
 document's score is the mean weight of its n-grams; it is kept if no base
 rule failed and the score is at least ``MIN_SCORE``. One threshold holds for
 every document, whatever its length or place.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import let, space_words, written
 
 BUCKETS = 1 << 16
+PRIOR = 16 * BUCKETS
 # Trusted documents beyond this many (by the hash of their id) don't add to the
 # target model: the sample that the classifier is fitted on is bounded.
 TARGET_DOCS = 20_000
@@ -116,7 +118,7 @@ def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     total = counts.agg(F.sum("raw").cast("double").alias("r"), F.sum("target").cast("double").alias("t")).first()
     raw, target = total["r"] or 1.0, total["t"] or 0.0
     p = F.col("raw") / F.lit(raw)
-    return counts.select("bucket", F.log((F.col("target") / p + BUCKETS) / F.lit(target + BUCKETS)).alias("weight"))
+    return counts.select("bucket", F.log((F.col("target") / p + PRIOR) / F.lit(target + PRIOR)).alias("weight"))
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -135,8 +137,10 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     base = F.col(_BASE)
     failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
     ratio = F.col("__sum") / F.greatest(2 * base["n_words"] - 1, F.lit(1))
-    return out.withColumn(_BASE, F.struct("__base.*", failed.alias("base_failed"), ratio.alias("score"),
-                                          (~failed & (ratio >= MIN_SCORE)).alias("kept"))).drop(_H, "__sum")
+    verdict = F.struct("__base.*", failed.alias("base_failed"), ratio.alias("score"),
+                       (~failed & (ratio >= MIN_SCORE)).alias("kept"))
+    # a generator of one row: a filter on the verdict stays above it, and the counts are made once
+    return out.select(*docs.columns, F.explode_outer(F.array(verdict)).alias(_BASE))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
