@@ -71,8 +71,7 @@ def clean_tokens(c, stop_list: Iterable[str] = (), min_len: int = MIN_TOKEN_LEN,
     """
     sw = list(stop_list)
     if sw:
-        sw_arr = F.array(*[F.lit(w) for w in sw])
-        words = F.filter(_raw_words(c), lambda w: ~F.array_contains(sw_arr, w))
+        words = F.filter(_raw_words(c), lambda w: ~w.isin(*sw))  # a hash-set test
         words = F.transform(words, lambda w: F.lower(w))
         return F.filter(words, lambda w: (F.length(w) >= min_len) & (F.length(w) <= max_len))
     # letters only, lower-cased, split on space runs; the length filter
@@ -87,23 +86,6 @@ def clean_string(c, stop_list: Iterable[str] = (), min_len: int = MIN_TOKEN_LEN,
     return F.array_join(clean_tokens(c, stop_list, min_len, max_len), " ")
 
 
-def remove_stop_words(c, stop_list: Iterable[str]) -> Column:
-    """TXT-2 alone: words (split on single spaces) found in the list become ''."""
-    sw_arr = F.array(*[F.lit(w) for w in stop_list])
-    parts = F.split(F.trim(_col(c)), " ")
-    return F.array_join(F.transform(parts, lambda w: F.when(F.array_contains(sw_arr, w), F.lit("")).otherwise(w)), " ")
-
-
-def squeeze_lower(c) -> Column:
-    """TXT-3: whitespace runs to one space, trimmed, lower-cased."""
-    return F.lower(F.trim(F.regexp_replace(_col(c), r"\s+", " ")))
-
-
-def whitespace_tokens(c) -> Column:
-    """TXT-8: ``str.split()``: split on whitespace runs, no empty tokens."""
-    return F.filter(F.split(F.trim(_col(c)), r"\s+"), lambda w: w != "")
-
-
 def word_count(c) -> Column:
     """TXT-16: ``len(s.split(' '))``; the empty string counts as 1."""
     return F.size(F.split(_col(c), " "))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import with_stem
-from ..functions.text import clean_tokens, stop_words
+from ..functions.text import clean_tokens
 from ..util import broadcast_if_small, materialize
 
 
@@ -105,10 +105,12 @@ class CorpusIndex:
             raw = materialize(raw)
         post = raw.filter(F.col("term").isNotNull())
         lengths = raw.groupBy("doc_id").agg(F.max("dl").alias("dl"))
-        n = docs.select(F.count(F.lit(1)).cast("double")).scalar()
+        if materialized:
+            lengths = materialize(lengths)
+        n = lengths.select(F.count(F.lit(1)).cast("double")).scalar()  # every document has a length
         dfs = doc_freq(post, n)
         if materialized:
-            lengths, dfs = materialize(lengths), materialize(dfs)
+            dfs = materialize(dfs)
         return cls(tok, post, lengths, dfs, n)
 
     def write(self, path: str, mode: str = "overwrite") -> None:
@@ -127,10 +129,6 @@ class CorpusIndex:
                    lengths.select(F.count(F.lit(1)).cast("double")).scalar())
 
 
-def ru_stop_words():
-    return stop_words("russian")
-
-
 def candidate_cells(cands: DataFrame, qterms: DataFrame, index: CorpusIndex,
                     positions: bool = False) -> DataFrame:
     """Per candidate pair and distinct query term: ``(query_id, doc_id, term,

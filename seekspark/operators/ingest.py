@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stem import with_stem
-from ..util import broadcast_if_small, materialize
+from ..util import materialize
 
 DOC_SEP = "<doc id="          # fixed: the dump's article marker
 MIN_ARTICLE_CHARS = 500       # fixed: shorter raw articles are skipped
@@ -33,11 +33,14 @@ def article_fields(articles: DataFrame, col: str = "article") -> DataFrame:
         .withColumn("url", T.first_url(col)).withColumn("title", F.coalesce(T.line_at(col, 1), F.lit("")))
 
 
-def page_lines(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def page_lines(pages: DataFrame, html_col: str = "html", container: str = "article") -> DataFrame:
     """A page as the reference's article lines: ``(page_id, url, title,
-    lines)`` where lines are the tag-stripped paragraphs of ``<article>``
-    (TXT-9/10), blank lines removed, and title is the ``h1`` text."""
-    art = F.regexp_extract(html_col, "(?s)<article[^>]*>(.*?)</article>", 1)
+    lines)`` where lines are the tag-stripped paragraphs of every ``container``
+    element (TXT-9/10), blank lines removed, and title is the ``h1`` text. A
+    page without such an element gives the paragraphs of its whole body."""
+    parts = F.regexp_extract_all(html_col, F.lit(f"(?s)<{container}\\b[^>]*>(.*?)</{container}>"), 1)
+    body = F.regexp_replace(html_col, "(?s)<(head|script|style)\\b[^>]*>.*?</\\1>", "")
+    art = F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise(body)
     title = T.strip_tags(F.regexp_extract(html_col, "(?s)<h1[^>]*>(.*?)</h1>", 1))
     body = F.regexp_replace(F.regexp_replace(art, "(?s)<h1[^>]*>.*?</h1>", ""), "<br>|</p>|</li>|</h[1-6]>", "\n")
     lines = F.split(T.remove_strings(T.strip_tags(body), []), "\n")

@@ -414,7 +414,8 @@ EVAL = HYB + TRUTH + [
 
 ROC = [
     ("ds", "SELECT doc_id, round(count(*) / any_value(dl), 6) AS score FROM post GROUP BY doc_id"),
-    ("lab", "SELECT l.quality AS label, s.score FROM labels l JOIN ds s ON s.doc_id = l.doc_id"),
+    ("lab", "SELECT l.quality AS label, coalesce(s.score, 0) AS score FROM labels l JOIN documents d "
+            "ON d.doc_id = l.doc_id LEFT JOIN ds s ON s.doc_id = l.doc_id"),
     ("g", "SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM lab GROUP BY score"),
     ("cum", "SELECT *, sum(pos) OVER (ORDER BY score) AS cum_pos, sum(neg) OVER (ORDER BY score) AS cum_neg FROM g"),
     ("tot", "SELECT sum(pos)::DOUBLE AS P, sum(neg)::DOUBLE AS N FROM g"),

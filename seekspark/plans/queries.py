@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stem import with_stem
 from ..functions.text import clean_string, stop_words, word_count
 from ..operators import relevance as R
 from ..operators.index import CorpusIndex, query_terms
@@ -456,23 +457,30 @@ QUERIES.update({
 
 def passage_truth(spark, sf) -> DataFrame:
     """Right answers of each benchmark question: documents that contain the
-    whole passage. Candidates come from the index (documents holding every
-    inner token of the passage; the first and last may be glued to
-    neighbouring text), so no question is compared with every document."""
+    whole passage. The first and last token of a passage may be glued to
+    neighbouring text; every other one stands in the document as it is. So the
+    candidates are the documents that hold the rarest inner token, and the
+    text decides. A passage without an inner token is looked for in every
+    text: these questions, a stated set, go to each document as one array."""
     from ..operators.index import doc_tokens
     idx = _index(spark, sf)
-    toks = doc_tokens(S.questions(spark, sf), "query", "query_id", id_out="query_id")
-    inner = toks.select("query_id", F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(0))).alias("t"))
-    need = inner.select("query_id", F.explode(F.array_distinct("t")).alias("term"))
-    n_need = need.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    got = idx.postings.select("doc_id", "term").join(broadcast_if_small(need), "term") \
-        .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("got")) \
-        .join(broadcast_if_small(n_need), "query_id").filter(F.col("got") == F.col("need"))
-    texts = S.table(spark, sf, "documents").select("doc_id", "text", "source")
     q = S.questions(spark, sf)
-    cand = got.select("query_id", "doc_id").join(texts, "doc_id").join(broadcast_if_small(q), "query_id")
-    return materialize(cand.filter(F.instr("text", F.col("query")) > 0)
-                       .select("query_id", "doc_id", F.col("source").alias("page")))
+    toks = materialize(doc_tokens(q, "query", "query_id", id_out="query_id")
+                       .select("query_id", F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(0))).alias("t")))
+    inner = toks.select("query_id", F.explode(F.array_distinct("t")).alias("token"))
+    inner = materialize(with_stem(inner, "token", "term").select("query_id", "term").distinct())
+    df = idx.dfs.join(broadcast_if_small(inner.select("term").distinct()), "term", "left_semi").select("term", "df")
+    need = inner.join(df, "term", "left")      # a token that no document holds: no document holds the passage
+    need = materialize(top_k(need, ["query_id"], [F.coalesce("df", F.lit(0)), F.col("term")], 1).select("query_id", "term"))
+    got = idx.postings.select("doc_id", "term").join(broadcast_if_small(need), "term").select("query_id", "doc_id")
+    texts = S.table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("page"))
+    held = got.join(texts, "doc_id").join(broadcast_if_small(q), "query_id") \
+        .filter(F.instr("text", F.col("query")) > 0).select("query_id", "doc_id", "page")
+    short = q.join(toks.filter(F.size("t") == 0).select("query_id"), "query_id", "left_semi")
+    every = short.agg(F.collect_list(F.struct("query_id", "query"))).scalar()
+    found = texts.withColumn("asked", every).select("doc_id", "page", F.explode_outer(
+        F.filter("asked", lambda a: F.contains(F.col("text"), a["query"]))).alias("a"))
+    return materialize(held.unionByName(found.filter("a IS NOT NULL").select("a.query_id", "doc_id", "page")))
 
 
 def q_passage_truth(spark, sf):
@@ -539,17 +547,23 @@ def _doc_scores(spark, sf):
     return d.select("doc_id", F.round(F.col("v") / F.col("dl"), 6).alias("score"))
 
 
+def _scored(lab, spark, sf):
+    """Every labelled document of the corpus; one without tokens scores 0."""
+    docs = _index(spark, sf).lengths.select("doc_id").join(_doc_scores(spark, sf), "doc_id", "left")
+    return lab.join(docs, "doc_id").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def q_roc_curve(spark, sf):
     from ..operators.evaluate import roc_curve
     lab = S.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    c = roc_curve(lab.join(_doc_scores(spark, sf), "doc_id"))
+    c = roc_curve(_scored(lab, spark, sf))
     return c.select("score", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
 
 
 def q_roc_auc(spark, sf):
     from ..operators.evaluate import roc_auc, roc_curve
     lab = S.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    return roc_auc(roc_curve(lab.join(_doc_scores(spark, sf), "doc_id"))).select(F.round("auc", 6).alias("auc"))
+    return roc_auc(roc_curve(_scored(lab, spark, sf))).select(F.round("auc", 6).alias("auc"))
 
 
 def q_negative_pairs(spark, sf):

@@ -3,17 +3,16 @@
 The reference builds its stores once (ingestion) and every search reads
 them. Here the first query that needs the index of a documents table
 builds and materializes it in the shared checkpoint folder; later queries
-in the same session reuse it. The key includes the file's modification
-time, so a rewritten table is indexed again.
+in the same session reuse it. The key includes the modification time and
+size of the files, so a rewritten table is indexed again.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.index import CorpusIndex, query_terms
+from ..session import table_stamp
 from ..sources import tables as S
 
 _CACHE: dict = {}
@@ -21,11 +20,7 @@ _CACHE: dict = {}
 
 def _key(spark: SparkSession, sf_dir: str, name: str, *extra):
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        stamp = os.stat(path).st_mtime_ns
-    except OSError:
-        stamp = None
-    return (spark.sparkContext.applicationId, path, stamp) + extra
+    return (spark.sparkContext.applicationId, path, table_stamp(spark, path)) + extra
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> CorpusIndex:

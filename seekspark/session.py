@@ -36,7 +36,7 @@ def get_spark(master: str | None = None, app: str = "seekspark",
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
-        conf.setdefault("spark.driver.memory", "16g")
+        conf.setdefault("spark.driver.memory", "10g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -48,11 +48,14 @@ def get_spark(master: str | None = None, app: str = "seekspark",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (tests, local runs) a scratch
-    folder is made here, so lineage can still be cut with ``checkpoint()``.
+    A cluster names it; only in local mode, where driver and executors are
+    one process, a scratch folder is made here if it is unset. Elsewhere that
+    is an error: a folder of one machine would be lost to all others.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="seekspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -60,6 +63,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def has_table(spark: SparkSession, path: str) -> bool:
+    """Whether a Spark job has written data files under ``path``, on any file
+    system. Errors of the store are raised, not taken for an absent table."""
+    fs, p = _file_system(spark, path)
+    return fs.exists(p) and fs.getContentSummary(p).getFileCount() > 0
+
+
+def table_stamp(spark: SparkSession, path: str) -> tuple:
+    """Changes when a table is written again: newest modification time of the
+    folder, its bytes and its files."""
+    fs, p = _file_system(spark, path)
+    size = fs.getContentSummary(p)
+    return fs.getFileStatus(p).getModificationTime(), size.getLength(), size.getFileCount()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)

@@ -20,15 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer splits than the cluster has cores.
-
-    Tokenising is CPU work per row; a large input already arrives in many
-    splits and is left as it is, a small file with one row group would
-    otherwise be tokenised by one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    """Hash-partition by document, at every size.
+
+    The raw text crosses the network once; grouping its tokens by (document,
+    term) then needs no exchange, while a scan left as it is would send every
+    token occurrence. It also gives a small file with one row group to all
+    cores."""
+    return df.repartition(key)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

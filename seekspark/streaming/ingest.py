@@ -1,10 +1,12 @@
 """STR-1: incremental ingestion of new page files with Structured Streaming.
 
 Each micro-batch of new pages becomes sections (the batch pipeline of
-``operators.ingest``), loses the sections whose url is already stored
-(idempotent on replay), gets dense ids continuing from the store size and
-is appended to the metadata store. Progress lives in a checkpoint under
-the shared ``spark.checkpoint.dir``, so a restarted job resumes.
+``operators.ingest``), loses the sections that the store already holds, gets
+dense ids continuing from the store size and is appended to the metadata
+store. A section is known by its page key, a hash of the whole page row, and
+its number: pages that share a url or an id but differ are all stored, a page
+that comes again is stored once, in whatever batches they arrive. Progress
+lives in the checkpoint folder that the caller names.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stop_words, toc_headings
 from ..operators.ingest import dense_ids, page_lines, sections
-from ..session import scratch_path
+from ..session import has_table
+from ..util import materialize
 
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
@@ -23,28 +26,31 @@ def ingest_pages(pages: DataFrame, store_path: str) -> int:
     """Batch step shared by the stream: pages -> new sections appended to
     ``store_path`` (parquet). Returns the number of rows appended."""
     spark = pages.sparkSession
-    heads = pages.select("page_id", toc_headings("html").alias("headings")).filter(F.col("headings").isNotNull())
-    sec = sections(page_lines(pages), heads, stop_list=stop_words("russian"))
+    keyed = materialize(pages.select("page_id", "url", "html").distinct()
+                        .withColumn("page_key", F.xxhash64("page_id", "url", "html")))
+    # the section pipeline groups lines by page_id: here by the page's key
+    body = keyed.select(F.col("page_key").alias("page_id"), "url", "html")
+    heads = body.select("page_id", toc_headings("html").alias("headings")).filter(F.col("headings").isNotNull())
+    sec = sections(page_lines(body), heads, stop_list=stop_words("russian")).withColumnRenamed("page_id", "page_key")
+    sec = sec.join(keyed.select("page_key", "page_id"), "page_key")
     start = 0
-    try:        # works on any file system the cluster names, not only local disks
+    if has_table(spark, store_path):
         store = spark.read.parquet(store_path)
-    except Exception:  # noqa: BLE001 - no store yet
-        store = None
-    if store is not None:
         start = store.select(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
-        sec = sec.join(store.select("url"), "url", "left_anti")
-    new = dense_ids(sec, ["page_id", "section_no"], start=start)
+        sec = sec.join(store.select("page_key", "section_no"), ["page_key", "section_no"], "left_anti")
+    new = dense_ids(sec, ["page_id", "page_key", "section_no"], start=start)
     n = new.count()
     if n:
         new.write.mode("append").parquet(store_path)
     return n
 
 
-def start_page_ingestion(spark: SparkSession, input_dir: str, store_path: str, name: str = "pages",
+def start_page_ingestion(spark: SparkSession, input_dir: str, store_path: str, checkpoint: str,
                          available_now: bool = True):
-    """Start the stream over parquet page files arriving in ``input_dir``."""
+    """Start the stream over parquet page files arriving in ``input_dir``.
+    ``checkpoint``: folder of the stream's progress, on storage that outlives the job."""
     src = spark.readStream.schema(PAGES_SCHEMA).parquet(input_dir)
     w = src.writeStream.foreachBatch(lambda df, epoch: ingest_pages(df, store_path)) \
-        .option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
+        .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

@@ -5,20 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A side is broadcast only when a bounded count proves it holds at most this
-# many rows; otherwise the join stays a shuffle join (AQE may still turn it
+# A side is broadcast only when a bounded scan proves it holds at most so many
+# rows and bytes; otherwise the join stays a shuffle join (AQE may still turn it
 # into a broadcast from runtime statistics, and splits skewed partitions).
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows.
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of a row: its strings and arrays as they are, 8 for any other column."""
+    total = F.lit(8)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array":
+            total = total + F.coalesce(F.octet_length(F.array_join(c, " ")) if f.dataType.elementType.typeName() == "string"
+                                       else 16 * F.size(c), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes.
 
     The check reads at most ``max_rows + 1`` rows, so it is cheap for the
     small side it is meant for and never scans a big table to the end.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    n = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(_bytes(df)).alias("bytes")).first()
+    return F.broadcast(df) if n["rows"] <= max_rows and (n["bytes"] or 0) <= max_bytes else df
 
 
 def top_k(df: DataFrame, partition_cols, order_cols, k: int | None,
@@ -36,17 +53,6 @@ def top_k(df: DataFrame, partition_cols, order_cols, k: int | None,
     return out
 
 
-def score_order(score: str | Column, *tie: str) -> list:
-    """Descending score, then ascending tie-break columns (doc id last)."""
-    s = F.col(score) if isinstance(score, str) else score
-    return [s.desc()] + [F.col(t).asc() for t in tie]
-
-
-def round6(c) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, 6)
-
-
 def materialize(df: DataFrame, sort_by=None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared checkpoint folder and
     read it back.

@@ -52,7 +52,7 @@ def test_stream_ingestion_equals_batch(spark, tmpdir_path):
     pages.filter("page_id < 25").write.parquet(os.path.join(inp, "a"))
     pages.filter("page_id >= 25").write.parquet(os.path.join(inp, "b"))
     store = os.path.join(tmpdir_path, "store")
-    q = start_page_ingestion(spark, inp + "/*", store, name="t-ingest")
+    q = start_page_ingestion(spark, inp + "/*", store, os.path.join(tmpdir_path, "progress"))
     q.awaitTermination(300)
     batch_store = os.path.join(tmpdir_path, "batch")
     ingest_pages(pages, batch_store)
@@ -77,7 +77,63 @@ def test_stream_answers_equal_batch(spark, tmpdir_path):
     inp = os.path.join(tmpdir_path, "q")
     qs.union(qs).write.json(inp)           # every question twice
     out = os.path.join(tmpdir_path, "ans")
-    start_answering(spark, inp, idx, vecs, out, name="t-answer").awaitTermination(300)
-    got = spark.read.parquet(out)
+    start_answering(spark, inp, idx, vecs, out, os.path.join(tmpdir_path, "progress")).awaitTermination(300)
+    got = spark.read.parquet(out).drop("batch")
     want = search(qs, idx, vecs)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_ingestion_does_not_depend_on_arrival(spark, tmpdir_path):
+    """One url twice, one page twice, one id with two contents: in one batch or in several, the same sections."""
+    from seekspark.streaming.ingest import PAGES_SCHEMA, ingest_pages
+    base = spark.read.parquet(f"{SF001}/pages.parquet").limit(3).collect()
+    rows = [tuple(r) for r in base] + [(900, base[0].url, base[0].html), (base[1].page_id, base[1].url, base[2].html)]
+    rows = [(r[0], r[1], r[2]) for r in rows]
+    one, many = os.path.join(tmpdir_path, "one"), os.path.join(tmpdir_path, "many")
+    ingest_pages(spark.createDataFrame(rows + rows[:2], PAGES_SCHEMA), one)
+    for batch in (rows[3:], rows[:1] + rows[3:4], rows[:3], rows):
+        ingest_pages(spark.createDataFrame(batch, PAGES_SCHEMA), many)
+    cols = ["page_id", "page_key", "section_no", "url", "article"]
+    a, b = (spark.read.parquet(p).select(*cols) for p in (one, many))
+    assert a.count() == b.count() == 5 and a.exceptAll(b).count() == 0
+
+
+def test_ingestion_does_not_take_an_error_for_an_empty_store(spark, tmpdir_path):
+    import pytest
+    from seekspark.streaming.ingest import PAGES_SCHEMA, ingest_pages
+    pages = spark.read.parquet(f"{SF001}/pages.parquet").limit(2).select("page_id", "url", "html")
+    store = os.path.join(tmpdir_path, "broken")
+    os.makedirs(store)
+    _write(os.path.join(store, "part-0.parquet"), "not parquet")
+    with pytest.raises(Exception):
+        ingest_pages(spark.createDataFrame(pages.collect(), PAGES_SCHEMA), store)
+
+
+def test_answers_reach_every_question_and_survive_a_replay(spark, tmpdir_path):
+    from seekspark.plans import stores
+    from seekspark.plans.queries import _doc_vectors
+    from seekspark.plans.search import search
+    from seekspark.sources import tables as S
+    from seekspark.streaming.answer import answer_batch
+    idx, vecs = stores.corpus_index(spark, SF001), _doc_vectors(spark, SF001)
+    one = S.questions(spark, SF001).filter("query_id = 1")
+    twice = one.unionByName(one.withColumn("query_id", F.lit(2).cast("long")))
+    out = os.path.join(tmpdir_path, "batch=7")
+    for _ in range(2):
+        answer_batch(twice, idx, vecs, out)
+    want = search(one, idx, vecs).select("doc_id", "rank").collect()
+    got = spark.read.parquet(out)
+    for n in (1, 2):
+        assert sorted(map(tuple, got.filter(F.col("query_id") == n).select("doc_id", "rank").collect())) == sorted(map(tuple, want))
+
+
+def test_short_passages_are_found(spark, tmpdir_path):
+    from seekspark.plans.queries import passage_truth
+    docs = [(1, "xx alpha beta yy"), (2, "alphabeta"), (3, "gamma delta epsilon zeta"), (4, "preDelta epsilon zetas, gamma"),
+            (5, "one")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, "
+                          "source string, n_chars long").write.parquet(os.path.join(tmpdir_path, "documents.parquet"))
+    items = [(10, "alpha beta"), (11, "elta epsilon zeta"), (12, "one"), (13, "no such words here")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(os.path.join(tmpdir_path, "benchmark.parquet"))
+    got = sorted((r.query_id, r.doc_id) for r in passage_truth(spark, tmpdir_path).collect())
+    assert got == sorted((i, d) for i, p in items for d, t in docs if p in t)
