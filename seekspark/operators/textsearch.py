@@ -55,20 +55,25 @@ def bm25f_term(tf, dl, avgdl, df, n_docs) -> F.Column:
 def relaxed_and_search(conds: DataFrame, index: CorpusIndex, per_condition: int = HITS_PER_CONDITION) -> DataFrame:
     """RNK-3 + RNK-4: ``(query_id, level, start, doc_id, score, hit_rank)``.
 
-    ``score`` already carries the level factor ``1/(1+level)``. A document
-    can only match a condition if it holds at least as many of the
-    question's distinct words as the smallest condition has, so (question,
-    doc) pairs are first counted (one partially aggregated pass over the
-    postings of the question words, broadcast after a size check) and only
-    the pairs that pass meet the conditions. Exact: no match is lost.
+    ``score`` already carries the level factor ``1/(1+level)``. A condition
+    of level l misses at most l words of the question, so a match holds one of
+    its d + 1 rarest distinct words, d being the deepest level. Only documents
+    with one of these are paired with the question, then the pairs that hold
+    as many distinct words as the smallest condition has. Exact: no match is lost.
     """
     cond_terms = materialize(conds.select("query_id", "level", "start", F.size("terms").alias("need"),
                                           F.explode("terms").alias("term")))
     qwords = materialize(cond_terms.select("query_id", "term").distinct())
-    min_need = conds.groupBy("query_id").agg(F.min(F.size("terms")).alias("min_need"))
-    pairs = index.postings.select("doc_id", "term").join(broadcast_if_small(qwords), "term") \
+    per_query = materialize(cond_terms.groupBy("query_id").agg(F.min("need").alias("min_need"), F.max("level").alias("deepest")))
+    known = index.dfs.join(broadcast_if_small(qwords.select("term").distinct()), "term").select("term", "df")
+    order = top_k(qwords.join(known, "term", "left"), ["query_id"], [F.coalesce("df", F.lit(0)), F.col("term")], None, "nth")
+    rare = materialize(order.join(per_query, "query_id").filter(F.col("nth") <= F.col("deepest") + 1).select("query_id", "term"))
+    seeds = index.postings.select("doc_id", "term").join(broadcast_if_small(rare), "term").select("query_id", "doc_id").distinct()
+    seeds = materialize(seeds)
+    mine = index.postings.select("doc_id", "term").join(broadcast_if_small(qwords.select("term").distinct()), "term")
+    pairs = seeds.join(broadcast_if_small(qwords), "query_id").join(mine, ["doc_id", "term"]) \
         .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("got")) \
-        .join(broadcast_if_small(min_need), "query_id").filter(F.col("got") >= F.col("min_need")) \
+        .join(broadcast_if_small(per_query), "query_id").filter(F.col("got") >= F.col("min_need")) \
         .select("query_id", "doc_id")
     pairs = materialize(pairs)
     terms = broadcast_if_small(qwords.select("term").distinct())

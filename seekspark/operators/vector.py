@@ -1,25 +1,28 @@
 """Vector search and vector maths (RNK-1/2, MAT-1/2, REL-10, EVA-10, ING-4).
 
 Exact top-k by squared L2 distance. The corpus is never shuffled whole:
-each partition multiplies its Arrow batches by the (broadcast) query
-matrix and keeps only its local top-k per query; one window over
-``query_id`` then picks the global top-k from those few rows. The query
-batch is the bounded side: it is counted first and broadcast in hash
-chunks of at most ``max_query_rows`` rows.
+each partition multiplies blocks of its vectors by tiles of the query
+matrix, keeps a running top-k per query and yields it once, at its end; one
+window over ``query_id`` then picks the global top-k from those few rows.
+The block of distances alive at a time has at most ``BLOCK_CELLS`` cells.
+The query batch is the bounded side: tiles of at most ``max_query_rows``
+rows, exactly numbered, reach the tasks one after the other.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..util import top_k
+from ..util import materialize, top_k
+from .ingest import dense_ids
 
-MAX_QUERY_ROWS = 20_000      # query vectors broadcast at once
+MAX_QUERY_ROWS = 20_000      # query vectors sent to the tasks at once
+BLOCK_CELLS = 1 << 21        # distances that a task holds at once
 ROUND_KEY = 9                # distance digits that decide the order (then id)
 
 
@@ -48,29 +51,43 @@ def cosine(a, b) -> Column:
     return F.try_divide(dot, na * nb)
 
 
+def _merge(old, ids: np.ndarray, d2: np.ndarray, k: int):
+    """Running top-k ``(rounded distance, id, distance)`` of some queries with a block
+    of new distances merged in; best first, ties by id."""
+    both = (np.round(d2, ROUND_KEY), np.broadcast_to(ids, d2.shape), d2)
+    if old is not None:
+        both = tuple(np.concatenate([x, y], axis=1) for x, y in zip(old, both))
+    order = np.lexsort((both[1], both[0]), axis=1)[:, :k]
+    return tuple(np.take_along_axis(x, order, axis=1) for x in both)
+
+
 def _partial_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str, shard_col):
+    step = max(1, min(len(qids), 512))
+    tiles = [slice(i, min(i + step, len(qids))) for i in range(0, len(qids), step)]
+    width = max(1, BLOCK_CELLS // step)
+
     def run(batches):
         qn = (qmat * qmat).sum(axis=1)
+        best = {}
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            ids = pdf[id_col].to_numpy()
-            d2 = qn[:, None] + (x * x).sum(axis=1)[None, :] - 2.0 * (qmat @ x.T)
-            np.maximum(d2, 0.0, out=d2)
-            key = np.round(d2, ROUND_KEY)
-            groups = [(None, np.arange(len(ids)))] if shard_col is None else \
-                [(s, np.flatnonzero(pdf[shard_col].to_numpy() == s)) for s in pd.unique(pdf[shard_col])]
-            for shard, cols in groups:
-                kk = min(k, len(cols))
-                sub_key, sub_ids = key[:, cols], ids[cols]
-                order = np.lexsort((np.broadcast_to(sub_ids, sub_key.shape), sub_key), axis=1)[:, :kk]
-                rows = np.repeat(np.arange(len(qids)), kk)
-                picked = order.reshape(-1)
-                out = {"query_id": qids[rows], id_col: sub_ids[picked],
-                       "d2": d2[:, cols][rows, picked]}
+            pdf = pdf[pdf[vec_col].notna()]
+            shards = [(None, pdf)] if shard_col is None else pdf.groupby(shard_col, sort=False)
+            for shard, part in shards if len(pdf) else ():
+                own = best.setdefault(shard, {t.start: None for t in tiles})
+                for at in range(0, len(part), width):
+                    block = part.iloc[at:at + width]
+                    x, ids = np.stack(block[vec_col].to_numpy()).astype(np.float64), block[id_col].to_numpy()
+                    xn = (x * x).sum(axis=1)
+                    for t in tiles:
+                        d2 = qn[t, None] + xn[None, :] - 2.0 * (qmat[t] @ x.T)
+                        own[t.start] = _merge(own[t.start], ids, np.maximum(d2, 0.0, out=d2), k)
+        for shard, own in best.items():
+            for t in tiles:
+                key, ids, d2 = own[t.start]
+                out = {"query_id": np.repeat(qids[t], key.shape[1]), id_col: ids.reshape(-1), "d2": d2.reshape(-1),
+                       "d2_key": key.reshape(-1)}
                 if shard_col is not None:
-                    out[shard_col] = np.full(len(rows), shard)
+                    out[shard_col] = np.full(key.size, shard)
                 yield pd.DataFrame(out)
     return run
 
@@ -87,28 +104,30 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "do
     spark = corpus.sparkSession
     id_type = dict(corpus.dtypes)[id_col]
     q_type = dict(queries.dtypes)["query_id"]
-    n_q = queries.count()
-    n_chunks = max(1, math.ceil(n_q / max_query_rows))
     cols = [id_col, vec_col] + ([shard_col] if shard_col else [])
-    schema = f"query_id {q_type}, {id_col} {id_type}, d2 double" + (f", {shard_col} {dict(corpus.dtypes)[shard_col]}"
-                                                                 if shard_col else "")
+    schema = f"query_id {q_type}, {id_col} {id_type}, d2 double, d2_key double" + (
+        f", {shard_col} {dict(corpus.dtypes)[shard_col]}" if shard_col else "")
+    asked = queries.select("query_id", F.col(qvec_col).alias("v")).filter("v IS NOT NULL")
+    n_q = asked.count()
+    if n_q > max_query_rows:
+        asked = materialize(dense_ids(asked, ["query_id"], id_col="tile_row"))
     parts = []
-    for c in range(n_chunks):
-        qpart = queries if n_chunks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == c)
-        rows = qpart.select("query_id", qvec_col).collect()    # at most max_query_rows (checked above)
-        if not rows:
-            continue
-        qids = np.array([r[0] for r in rows])
-        qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
-        fn = _partial_topk_fn(qids, qmat, k, id_col, vec_col, shard_col)
-        parts.append(corpus.select(*cols).mapInPandas(fn, schema))
+    for first in range(0, n_q, max_query_rows):
+        tile = asked if n_q <= max_query_rows else asked.filter(
+            (F.col("tile_row") >= first) & (F.col("tile_row") < first + max_query_rows))
+        rows = tile.select("query_id", "v").collect()    # at most max_query_rows, by their numbers
+        fn = _partial_topk_fn(np.array([r[0] for r in rows]), np.array([np.asarray(r[1], dtype=np.float64) for r in rows]),
+                              k, id_col, vec_col, shard_col)
+        found = corpus.select(*cols).mapInPandas(fn, schema)
+        # more than one tile: written at once, so that the driver holds one tile at a time
+        parts.append(found if n_q <= max_query_rows else materialize(found))
     if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
+        return spark.createDataFrame([], schema + ", rank int").drop("d2_key")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     part_cols = ["query_id"] + ([shard_col] if shard_col else [])
-    return top_k(out, part_cols, [F.round("d2", ROUND_KEY), F.col(id_col)], k, "rank")
+    return top_k(out, part_cols, [F.col("d2_key"), F.col(id_col)], k, "rank").drop("d2_key")
 
 
 def sharded_topk(corpus: DataFrame, queries: DataFrame, k: int, shards: int, id_col: str = "doc_id",
@@ -121,12 +140,11 @@ def sharded_topk(corpus: DataFrame, queries: DataFrame, k: int, shards: int, id_
 
 
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") -> DataFrame:
-    """Unit-length mean vector of each group: ``(group, embedding)``."""
-    comp = vectors.select(group_col, F.posexplode(vec_col).alias("i", "x")) \
-        .groupBy(group_col, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    arr = comp.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")) \
-        .select(group_col, F.transform("c", lambda s: s["x"]).alias("v"))
-    return arr.select(group_col, l2_normalize("v").alias(vec_col))
+    """Unit-length mean vector of each group: ``(group, embedding)``; one vector
+    aggregate, partial in every task."""
+    mean = Summarizer.mean(array_to_vector(F.transform(vec_col, lambda x: x.cast("double"))))
+    arr = vectors.filter(F.col(vec_col).isNotNull()).groupBy(group_col).agg(mean.alias("m"))
+    return arr.select(group_col, vector_to_array("m").alias("v")).select(group_col, l2_normalize("v").alias(vec_col))
 
 
 def hashed_tf_vectors(postings: DataFrame, id_col: str = "doc_id", dim: int = 64) -> DataFrame:
@@ -147,10 +165,11 @@ def hashed_tf_vectors(postings: DataFrame, id_col: str = "doc_id", dim: int = 64
     return m.select(id_col, dense.alias("embedding"))
 
 
-def encode_with(df: DataFrame, text_col: str, encoder, dim: int, id_col: str = "doc_id") -> DataFrame:
-    """UDF-1 plug point: ``encoder(list[str]) -> np.ndarray (n, dim)`` run on
-    Arrow batches; the model is built once per task by the callable."""
+def encode_with(df: DataFrame, text_col: str, make_encoder, dim: int, id_col: str = "doc_id") -> DataFrame:
+    """UDF-1 plug point: ``make_encoder()`` is called once in each task and gives
+    ``encoder(list[str]) -> np.ndarray (n, dim)``, run on Arrow batches."""
     def run(batches):
+        encoder = make_encoder()
         for pdf in batches:
             emb = np.asarray(encoder(pdf[text_col].tolist()), dtype=np.float64)
             norms = np.linalg.norm(emb, axis=1, keepdims=True)

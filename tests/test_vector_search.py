@@ -25,6 +25,43 @@ def test_vector_topk_matches_numpy(spark):
         assert mine == want
 
 
+def test_tiles_blocks_and_null_vectors_change_nothing(spark, monkeypatch):
+    emb = spark.read.parquet(f"{SF001}/embeddings.parquet").select("vec_id", "embedding")
+    emb = emb.unionByName(spark.createDataFrame([(10 ** 6, None)], emb.schema))
+    q = emb.filter("vec_id < 25 OR vec_id = 1000000").select(F.col("vec_id").alias("query_id"), "embedding")
+    cols = ["query_id", "vec_id", "rank"]
+    want = V.vector_topk(emb, q, 6, id_col="vec_id").select(*cols)
+    assert want.count() == 25 * 6
+    monkeypatch.setattr(V, "BLOCK_CELLS", 100)
+    got = V.vector_topk(emb, q, 6, id_col="vec_id", max_query_rows=7).select(*cols)
+    assert got.count() == 25 * 6 and got.exceptAll(want).count() == 0
+
+
+def test_partition_yields_at_most_k_for_each_query(spark):
+    emb = spark.read.parquet(f"{SF001}/embeddings.parquet").repartition(3)
+    q = emb.limit(4).select(F.col("vec_id").alias("query_id"), "embedding").collect()
+    fn = V._partial_topk_fn(np.array([r.query_id for r in q]), np.array([r.embedding for r in q], dtype=float), 5,
+                            "vec_id", "embedding", None)
+    out = emb.select("vec_id", "embedding").mapInPandas(fn, "query_id long, vec_id long, d2 double, d2_key double")
+    assert out.count() <= 3 * 4 * 5
+
+
+def test_plug_points_build_their_model_once_a_task(spark):
+    from seekspark.operators.rerank import score_with
+
+    def make_scorer():
+        calls = []
+
+        def scorer(queries, docs):
+            calls.append(len(docs))
+            return [len(q) + 10 * len(d) for q, d in zip(queries, docs)]
+        return scorer
+    pairs = spark.createDataFrame([(1, "ab", "xyz"), (2, "", "q")], "doc_id long, query string, text string")
+    assert sorted((r.doc_id, r.score) for r in score_with(pairs, make_scorer).collect()) == [(1, 32.0), (2, 10.0)]
+    vecs = V.encode_with(pairs, "text", lambda: lambda texts: [[len(t), 0.0] for t in texts], 2).collect()
+    assert sorted((r.doc_id, r.embedding) for r in vecs) == [(1, [1.0, 0.0]), (2, [1.0, 0.0])]
+
+
 def test_sharded_topk_takes_k_div_shards(spark):
     emb = spark.read.parquet(f"{SF001}/embeddings.parquet").withColumn("shard", F.pmod("vec_id", F.lit(3)).cast("int"))
     q = emb.limit(2).select(F.col("vec_id").alias("query_id"), "embedding")
