@@ -316,11 +316,11 @@ ORACLE.update({
                      "conversations WHERE role = 'user' GROUP BY conv_id), "
                      "qs AS (SELECT conv_id, unnest(string_split(body, chr(10) || chr(10))) AS query, "
                      "unnest(generate_series(0, len(string_split(body, chr(10) || chr(10))) - 1)) AS q_no FROM u), "
-                     "nx AS (SELECT role, text, lead(role) OVER w AS nr FROM conversations "
+                     "nx AS (SELECT role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations "
                      "WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), "
-                     "h AS (SELECT DISTINCT text AS query FROM nx WHERE role = 'user' AND nr = 'assistant') "
-                     "SELECT conv_id, q_no, CASE WHEN query IN (SELECT query FROM h) THEN 1 ELSE 0 END AS from_history "
-                     "FROM qs",
+                     "h AS (SELECT text AS query, min(nt) AS response FROM nx WHERE role = 'user' AND nr = 'assistant' GROUP BY text) "
+                     "SELECT conv_id, q_no, CASE WHEN h.query IS NOT NULL THEN 1 ELSE 0 END AS from_history, h.response "
+                     "FROM qs LEFT JOIN h ON h.query = qs.query",
 })
 
 
@@ -444,6 +444,14 @@ ORACLE.update({
                       "t.query, 0 AS relevant FROM want w JOIN tn t ON t.file = w.tf AND t.row_no = w.pick",
 })
 
+ORACLE["stage_percentiles"] = (
+    "SELECT event_type AS stage, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.9), 6) AS p90, "
+    "round(quantile_disc(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+
+ORACLE["scorer_plug"] = ctes(_BASE_HEAD + [("cand", BASE["cand"])]) + (
+    "\nSELECT c.query_id AS item_id, c.doc_id, round(length(b.text) / (length(b.text) + length(d.text)), 6) AS score "
+    "FROM cand c JOIN documents d ON d.doc_id = c.doc_id JOIN benchmark b ON b.item_id = c.query_id")
+
 ORACLE["summary_context"] = ctes(HYB) + (
     "\nSELECT b.item_id, array_to_string(list_slice(regexp_split_to_array(trim('Нади ответ на вопрос:  ' || b.text || "
     "chr(10) || d.docs), '\\s+'), 1, 512), ' ') AS context FROM benchmark b JOIN (SELECT h.query_id, "

@@ -352,8 +352,9 @@ def q_history_split(spark, sf):
         .groupBy("query").agg(F.min("response").alias("response"))
     qs = split_requests(req)
     answered, to_search = use_history(qs, hist)
-    return answered.select(F.col("request_id").alias("conv_id"), "q_no", F.lit(1).alias("from_history")) \
-        .unionByName(to_search.select(F.col("request_id").alias("conv_id"), "q_no", F.lit(0).alias("from_history")))
+    return answered.select(F.col("request_id").alias("conv_id"), "q_no", F.lit(1).alias("from_history"), "response") \
+        .unionByName(to_search.select(F.col("request_id").alias("conv_id"), "q_no", F.lit(0).alias("from_history"),
+                                      F.lit(None).cast("string").alias("response")))
 
 
 QUERIES.update({
@@ -566,6 +567,25 @@ def q_roc_auc(spark, sf):
     return roc_auc(roc_curve(_scored(lab, spark, sf))).select(F.round("auc", 6).alias("auc"))
 
 
+def q_scorer_plug(spark, sf):
+    """REL-9 / REL-12: a user's scorer on (question, document text) pairs, here
+    the share of the question's length in the text's."""
+    from ..operators.rerank import score_with
+    _, _, cands = _rerank_inputs(spark, sf)
+    texts = S.table(spark, sf, "documents").select("doc_id", "text")
+    pairs = cands.join(texts, "doc_id").join(broadcast_if_small(S.questions(spark, sf)), "query_id") \
+        .select("query_id", "doc_id", "query", "text")
+    scored = score_with(pairs, lambda: lambda queries, docs: [len(q) / (len(q) + len(d)) for q, d in zip(queries, docs)])
+    return scored.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score"))
+
+
+def q_stage_percentiles(spark, sf):
+    from ..operators.evaluate import stage_percentiles
+    ev = S.table(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
+    p = F.col("p")
+    return stage_percentiles(ev).select("stage", *[F.round(p[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
+
+
 def q_negative_pairs(spark, sf):
     from pyspark.sql import Window
     from ..operators.evaluate import negative_pairs
@@ -591,4 +611,6 @@ QUERIES.update({
     "roc_auc": q_roc_auc,
     "negative_pairs": q_negative_pairs,
     "latency_report": q_latency_report,
+    "stage_percentiles": q_stage_percentiles,
+    "scorer_plug": q_scorer_plug,
 })
