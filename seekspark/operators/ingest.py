@@ -82,6 +82,39 @@ def sections(docs: DataFrame, headings: DataFrame, emit_last: bool = True, stop_
     return out
 
 
+def long_enough(pages: DataFrame, col: str, min_chars: int = MIN_ARTICLE_CHARS) -> DataFrame:
+    """FIL-1: rows whose raw text, markup included, has ``min_chars`` characters."""
+    return pages.filter(F.length(col) >= min_chars)
+
+
+def whole_articles(articles: DataFrame, stop_list=(), col: str = "article") -> DataFrame:
+    """ING-2: each article as one document: ``url, title, article, proc_article,
+    proc_len`` beside the other columns. Without tags, the title is what stands
+    between the first line end and the first blank line, the article the rest
+    without line ends. A text without a blank line has an empty title."""
+    text = T.strip_tags(col)
+    cut = F.instr(text, "\n\n")
+    out = articles.withColumn("url", T.first_url(col)) \
+        .withColumn("title", F.when(cut > 1, F.substr(text, F.lit(2), cut - 2)).otherwise("")) \
+        .withColumn("article", F.replace(F.when(cut > 0, F.substr(text, cut)).otherwise(text), F.lit("\n"), F.lit("")))
+    return out.withColumn("proc_article", T.clean_string("article", stop_list)) \
+        .withColumn("proc_len", T.word_count("proc_article"))
+
+
+def section_store(secs: DataFrame, start=0) -> DataFrame:
+    """ING-1 / ING-3: sections as the metadata store keeps them, with
+    ``stem_article`` and running ids from ``start`` on. Vectors made from its
+    rows (ING-4) carry the same ids."""
+    stemmed = stem_text(secs, ["page_id", "section_no"], "proc_article", "stem_article")
+    return dense_ids(stemmed, ["page_id", "section_no"], start=start)
+
+
+def lookup_text(cands: DataFrame, meta: DataFrame, stemmed: bool = False) -> DataFrame:
+    """JOI-2: candidates with url, article and the processed text, stemmed or not, as ``text``."""
+    return cands.join(meta.select("doc_id", "url", "article", F.col("stem_article" if stemmed else "proc_article").alias("text")),
+                      "doc_id")
+
+
 def stem_text(df: DataFrame, key_cols, src: str, dst: str) -> DataFrame:
     """TXT-6 on whole texts: stem every token, keep order, join by spaces."""
     toks = df.select(*key_cols, F.posexplode_outer(F.split(src, " ")).alias("p", "tok"))

@@ -363,7 +363,45 @@ TRUTH = [
            "WHERE instr(d.text, b.text) > 0"),
 ]
 
+DUMP = [
+        ("dd", "SELECT floor(page_id / 100)::BIGINT AS file, page_id, '<doc id=\"' || page_id::VARCHAR || "
+               "'\" url=\"' || url || '\" title=\"' || title || '\">' || chr(10) || title || chr(10) || chr(10) || "
+               "array_to_string(lines, chr(10)) || chr(10) || '</doc>' || chr(10) AS d FROM pl"),
+        ("du", "SELECT file, string_agg(d, '' ORDER BY page_id) AS value FROM dd GROUP BY file"),
+        ("pc", "SELECT file, unnest(string_split(value, '<doc id=')) AS piece, "
+               "unnest(generate_series(1, len(string_split(value, '<doc id=')))) AS n FROM du"),
+        ("ar", "SELECT file, row_number() OVER (PARTITION BY file ORDER BY n) AS article_no, '<doc id=' || piece "
+               "AS article FROM pc WHERE piece <> ''"),
+]
+
+# The lines of a page with its own headings before every second one.
+SPLIT = []
+for _name, _sql in PAGES:
+    if _name == "ln":
+        SPLIT.append(("pl2", "SELECT p.page_id, p.url, p.title, flatten(list_transform(p.lines, lambda l, i: CASE WHEN "
+                             "i % 2 = 0 AND i // 2 <= len(h.headings) THEN [h.headings[i // 2], l] ELSE [l] END)) AS lines "
+                             "FROM pl p JOIN heads h ON h.page_id = p.page_id"))
+        _sql = _sql.replace("FROM pl p", "FROM pl2 p")
+    SPLIT.append((_name, _sql))
+
 ORACLE.update({
+    "sections_split": ctes(SPLIT) + "\nSELECT page_id, section_no, url, title, proc_article, "
+                      "len(string_split(proc_article, ' ')) AS proc_len FROM secp",
+    # the texts have no Cyrillic letter, so stems are the words themselves
+    "section_store": ctes([("pages_all", "SELECT * FROM pages WHERE length(html) >= 2000")]
+                          + [(n, q.replace("FROM pages", "FROM pages_all")) for n, q in PAGES])
+                     + "\nSELECT 999 + row_number() OVER (ORDER BY page_id, section_no) AS doc_id, page_id, section_no, "
+                       "proc_article AS stem_article FROM secp",
+    "text_lookup": ctes(PAGES) + "\nSELECT row_number() OVER (ORDER BY page_id, section_no) - 1 AS doc_id, url, "
+                   "md5(article) AS article_md5, proc_article AS text FROM secp",
+    "whole_articles": ctes(PAGES + DUMP + [
+        ("st", "SELECT file, article_no, regexp_extract(article, 'http([^\"]+)', 0) AS url, "
+               "regexp_replace(article, '<.*?>', '', 'g') AS t FROM ar WHERE length(article) >= 500"),
+        ("sp", "SELECT file, article_no, url, substr(t, 2, instr(t, chr(10) || chr(10)) - 2) AS title, "
+               "replace(substr(t, instr(t, chr(10) || chr(10))), chr(10), '') AS article FROM st"),
+        ("pr", f"SELECT *, array_to_string({tok('article', stop_words('russian', 'english'))}, ' ') AS proc_article FROM sp"),
+    ]) + "\nSELECT file, article_no, url, title, article, proc_article, len(string_split(proc_article, ' ')) AS proc_len "
+         "FROM pr",
     "toc_headings": ctes(PAGES) + "\nSELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 "
                     "AS heading_no, heading FROM hf",
     "strip_tags": "SELECT page_id, regexp_replace(html, '<.*?>', '', 'g') AS text FROM pages",
@@ -376,16 +414,7 @@ ORACLE.update({
                          + "\nSELECT sum(CASE WHEN n > 0 THEN 1 ELSE 0 END)::BIGINT AS n_vectors, count(*) AS n_meta, "
                          "sum(CASE WHEN n > 0 THEN 1 ELSE 0 END)::BIGINT AS n_both, 0::BIGINT AS only_vectors, "
                          "sum(CASE WHEN n > 0 THEN 0 ELSE 1 END)::BIGINT AS only_meta FROM st",
-    "split_articles": ctes(PAGES + [
-        ("dd", "SELECT floor(page_id / 100)::BIGINT AS file, page_id, '<doc id=\"' || page_id::VARCHAR || "
-               "'\" url=\"' || url || '\" title=\"' || title || '\">' || chr(10) || title || chr(10) || chr(10) || "
-               "array_to_string(lines, chr(10)) || chr(10) || '</doc>' || chr(10) AS d FROM pl"),
-        ("du", "SELECT file, string_agg(d, '' ORDER BY page_id) AS value FROM dd GROUP BY file"),
-        ("pc", "SELECT file, unnest(string_split(value, '<doc id=')) AS piece, "
-               "unnest(generate_series(1, len(string_split(value, '<doc id=')))) AS n FROM du"),
-        ("ar", "SELECT file, row_number() OVER (PARTITION BY file ORDER BY n) AS article_no, '<doc id=' || piece "
-               "AS article FROM pc WHERE piece <> ''"),
-    ]) + "\nSELECT file, article_no, regexp_extract(article, 'http([^\"]+)', 0) AS url, "
+    "split_articles": ctes(PAGES + DUMP) + "\nSELECT file, article_no, regexp_extract(article, 'http([^\"]+)', 0) AS url, "
          "coalesce(string_split(article, chr(10))[2], '') AS title, length(article) AS n_chars FROM ar "
          "WHERE length(article) >= 500",
     "title_leak": ctes(PAGES) + "\nSELECT page_id, CASE WHEN len(list_filter(lines, lambda l: NOT contains(lower(l), "

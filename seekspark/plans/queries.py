@@ -420,10 +420,57 @@ def q_store_consistency(spark, sf):
     return store_consistency(vecs, meta)
 
 
+def q_sections_split(spark, sf):
+    """RNK-14 where it splits: each page's own headings stand before every second of its lines."""
+    from ..functions.text import toc_headings
+    from ..operators.ingest import page_lines, sections
+    pages = _pages(spark, sf)
+    heads = pages.select("page_id", toc_headings("html").alias("headings")).filter(F.col("headings").isNotNull())
+    h = F.col("headings")
+    mixed = F.flatten(F.transform("lines", lambda l, i: F.when(
+        (i % 2 == 1) & F.get(h, F.floor(i / 2).cast("int")).isNotNull(),
+        F.array(F.get(h, F.floor(i / 2).cast("int")), l)).otherwise(F.array(l))))
+    lines = page_lines(pages).join(heads, "page_id").select("page_id", "url", "title", mixed.alias("lines"))
+    out = sections(lines, heads, stop_list=stop_words("russian"))
+    return out.select("page_id", "section_no", "url", "title", "proc_article", "proc_len")
+
+
+def q_section_store(spark, sf):
+    """ING-1 / ING-3: pages long enough, their sections stemmed, ids running on from 1000."""
+    from ..functions.text import toc_headings
+    from ..operators.ingest import long_enough, page_lines, section_store, sections
+    pages = long_enough(_pages(spark, sf), "html", 2000)
+    heads = pages.select("page_id", toc_headings("html").alias("headings")).filter(F.col("headings").isNotNull())
+    meta = section_store(sections(page_lines(pages), heads, stop_list=stop_words("russian")), start=1000)
+    return meta.select("doc_id", "page_id", "section_no", "stem_article")
+
+
+def q_text_lookup(spark, sf):
+    """JOI-2 for every section: the stemmed text for even ids, the processed text for odd ones."""
+    from ..operators.ingest import lookup_text, section_store
+    meta = materialize(section_store(_sections(spark, sf)))
+    ids = meta.select("doc_id")
+    both = lookup_text(ids.filter("doc_id % 2 = 0"), meta, stemmed=True).unionByName(
+        lookup_text(ids.filter("doc_id % 2 = 1"), meta, stemmed=False))
+    return both.select("doc_id", "url", F.md5("article").alias("article_md5"), "text")
+
+
+def q_whole_articles(spark, sf):
+    from ..operators.ingest import long_enough, whole_articles
+    arts = whole_articles(long_enough(_articles(spark, sf), "article"), stop_words("russian", "english"))
+    return arts.select("file", "article_no", "url", "title", "article", "proc_article", "proc_len")
+
+
 def q_split_articles(spark, sf):
+    from ..operators.ingest import article_fields
+    arts = article_fields(_articles(spark, sf))
+    return arts.select("file", "article_no", "url", "title", F.length("article").alias("n_chars"))
+
+
+def _articles(spark, sf):
     """SRC-2 on dump text that Spark writes from the pages (one dump per
-    hundred page ids), split back into articles with url and title."""
-    from ..operators.ingest import article_fields, page_lines, split_articles
+    hundred page ids), split back into articles."""
+    from ..operators.ingest import page_lines, split_articles
     pl = page_lines(_pages(spark, sf))
     doc = F.concat(F.lit('<doc id="'), F.col("page_id").cast("string"), F.lit('" url="'), F.col("url"),
                    F.lit('" title="'), F.col("title"), F.lit('">\n'), F.col("title"), F.lit("\n\n"),
@@ -431,8 +478,7 @@ def q_split_articles(spark, sf):
     dumps = pl.select(F.floor(F.col("page_id") / 100).cast("long").alias("file"), "page_id", doc.alias("d")) \
         .groupBy("file").agg(F.array_sort(F.collect_list(F.struct("page_id", "d"))).alias("l")) \
         .select("file", F.array_join(F.transform("l", lambda s: s["d"]), "").alias("value"))
-    arts = article_fields(split_articles(dumps))
-    return arts.select("file", "article_no", "url", "title", F.length("article").alias("n_chars"))
+    return split_articles(dumps)
 
 
 def q_title_leak(spark, sf):
@@ -450,6 +496,10 @@ QUERIES.update({
     "dense_ids": q_dense_ids,
     "store_consistency": q_store_consistency,
     "split_articles": q_split_articles,
+    "sections_split": q_sections_split,
+    "section_store": q_section_store,
+    "text_lookup": q_text_lookup,
+    "whole_articles": q_whole_articles,
     "title_leak": q_title_leak,
 })
 

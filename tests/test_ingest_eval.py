@@ -73,3 +73,23 @@ def test_negative_pairs_shape(spark):
     assert out.filter("relevant = 1").count() == 27 and out.filter("relevant = 0").count() == 27
     neg = out.filter("relevant = 0 AND doc_id = 0").first()
     assert neg.query.startswith("q5") and neg.query != "q52"
+
+
+def test_whole_articles_and_lookup(spark):
+    from seekspark.operators.ingest import long_enough, lookup_text, whole_articles
+    rows = [(1, '<doc id="1" url="http://a">\nTitle here\n\nFirst line\nsecond the line\n</doc>\n'), (2, "no blank line"), (3, None)]
+    arts = spark.createDataFrame(rows, "article_no long, article string")
+    got = {r.article_no: (r.url, r.title, r.article, r.proc_article) for r in whole_articles(arts, ["the"]).collect()}
+    assert got[1] == ("http://a", "Title here", "First linesecond the line", "first linesecond line")
+    assert got[2][:3] == ("", "", "no blank line")
+    assert [r.article_no for r in long_enough(arts, "article", 20).collect()] == [1]
+    meta = spark.createDataFrame([(7, "u", "A", "p", "s")], "doc_id long, url string, article string, proc_article string, "
+                                                            "stem_article string")
+    ids = meta.select("doc_id")
+    assert lookup_text(ids, meta).first().text == "p" and lookup_text(ids, meta, stemmed=True).first().text == "s"
+
+
+def test_stores_that_differ(spark):
+    from seekspark.operators.ingest import store_consistency
+    v, m = (spark.createDataFrame([(i,) for i in ids], "doc_id long") for ids in ((1, 2, 3, 5), (2, 3, 4)))
+    assert tuple(store_consistency(v, m).first()) == (4, 3, 2, 2, 1)
