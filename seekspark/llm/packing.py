@@ -65,8 +65,8 @@ def encode_pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: in
                 pa.array(place, pa.int64())], names=[f.name for f in schema])
         for batch in batches:
             rows, held = [], 0
-            for i, t in enumerate(batch.column(1)):
-                ids = coder.ids(t.as_py()) + end
+            for i, ids in enumerate(coder.all_ids(t.as_py() for t in batch.column(1))):
+                ids += end
                 for n, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
                     size = len(part) // 4

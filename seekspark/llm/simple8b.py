@@ -53,12 +53,16 @@ INDEX = np.dtype([("at", "<u8"), ("ids", "<u4"), ("words", "<u4"), ("escapes", "
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_BITS = np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 
 
 def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, escape positions and escape values of up to ``BLOCK`` unsigned integers."""
     values = values.astype(np.uint64)
-    bits = np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
+    if values.max(initial=0) < len(_BITS):
+        bits = _BITS[values]
+    else:
+        bits = np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
     escapes = np.flatnonzero(bits > 60)
     escaped = values[escapes]
     values[escapes], bits[escapes] = 0, 0
@@ -87,8 +91,10 @@ def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     room[:n] = values
     for selector in np.unique(chosen):
         mine = np.flatnonzero(chosen == selector)
+        at, packed = starts[mine], words[mine]
         for j in range(COUNTS[selector - 1]):
-            words[mine] |= room[starts[mine] + j] << np.uint64(j * WIDTHS[selector - 1])
+            packed |= room[at + j] << np.uint64(j * WIDTHS[selector - 1])
+        words[mine] = packed
     return words, escapes.astype("<u4"), escaped
 
 
@@ -98,11 +104,12 @@ def decode_block(words: np.ndarray, n: int, escapes: np.ndarray, escaped: np.nda
     starts = np.cumsum(counts) - counts
     out = np.zeros(n + 60, np.uint64)
     for s in np.unique(selector):
-        mine = selector == s
-        width = int(WIDTHS[s - 1])
+        mine = np.flatnonzero(selector == s)
+        at, rest, width = starts[mine], words[mine], int(WIDTHS[s - 1])
         mask = np.uint64((1 << width) - 1)
         for j in range(COUNTS[s - 1]):
-            out[starts[mine] + j] = (words[mine] >> np.uint64(j * width)) & mask
+            out[at + j] = rest & mask
+            rest >>= np.uint64(width)
     out = out[:n]
     out[escapes] = escaped
     return out
@@ -110,11 +117,12 @@ def decode_block(words: np.ndarray, n: int, escapes: np.ndarray, escaped: np.nda
 
 def file_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """A whole file."""
-    table, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(order), np.uint64)
-    rank[order] = np.arange(len(order), dtype=np.uint64)
-    ranks = rank[place]
+    counts = np.bincount(ids)
+    table = np.flatnonzero(counts)
+    table = table[np.argsort(-counts[table], kind="stable")]
+    rank = np.zeros(len(counts), np.uint64)
+    rank[table] = np.arange(len(table), dtype=np.uint64)
+    ranks = rank[ids]
     index, blocks, at = [], [], 0
     for first in range(0, len(ids), BLOCK):
         words, escapes, escaped = encode_block(ranks[first:first + BLOCK])
@@ -124,7 +132,7 @@ def file_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -
         at += len(image)
     nulls = np.array([d is None for d in doc_ids], "<u1")
     return b"".join([
-        HEADER.pack(MAGIC, len(doc_ids), len(ids), len(table), len(index)), table[order].astype("<u8").tobytes(),
+        HEADER.pack(MAGIC, len(doc_ids), len(ids), len(table), len(index)), table.astype("<u8").tobytes(),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), nulls.tobytes(), np.array(lengths, "<u8").tobytes(),
         np.array(index, INDEX).tobytes(), *blocks])
 
@@ -169,8 +177,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
         store.create_dir(root, recursive=True)
         n = 0
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = coder.ids(t.as_py()) + end
+            for d, ids in zip(batch.column(0).to_pylist(), coder.all_ids(t.as_py() for t in batch.column(1))):
+                ids += end
                 doc_ids.append(d)
                 lengths.append(len(ids) // 4)
                 held.append(ids)

@@ -4,8 +4,8 @@ The tokenizers used here treat the parts of a text between white space
 independently, and in them the words that their pre-tokenizer finds. So the ids
 of a text are those of its words in a row. Each worker keeps the ids of the
 pieces and words it has met, up to the bounds below (then it starts anew), and
-asks the library only for others. A text that holds a special token's string
-goes to the library whole.
+asks the library only for others, many words in one call. A text that holds a
+special token's string goes to the library whole.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-MOST_PIECES = 400_000
-MOST_WORDS = 600_000
+MOST_PIECES = 250_000
+MOST_WORDS = 350_000
+GROUP_CHARS = 1 << 20  # of texts that are looked up together
 LONGEST = 64  # characters of a piece or word that is kept
 
 # White space as the pre-tokenizers see it (fixed values).
@@ -63,14 +66,48 @@ def _byte_pieces(text: str) -> list[str]:
     return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
 
+class Known:
+    """What was found lately, in two generations of ``most`` entries: what is still in
+    use when the younger one fills up lives on."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, parts) -> list[str]:
+        """Those of ``parts`` not known; all others are then in the younger generation."""
+        young, old, out = self.young, self.old, []
+        for part in set(parts).difference(young):
+            found = old.get(part)
+            if found is None:
+                out.append(part)
+            else:
+                young[part] = found
+        return out
+
+    def add(self, parts: list[str], found: list[bytes]) -> dict:
+        """The younger generation with ``found`` added; call ``trim`` when done with it."""
+        self.young.update(zip(parts, found))
+        return self.young
+
+    def trim(self) -> None:
+        if len(self.young) >= self.most:
+            self.old = {k: v for k, v in self.young.items() if len(k) <= LONGEST}
+            self.young = {}
+
+
 class _Known(dict):
+    """The same for parts that are found one at a time."""
+
     def __init__(self, most: int, find):
-        self.most, self.find = most, find
+        self.most, self.find, self.old = most, find, {}
 
     def __missing__(self, part: str) -> bytes:
-        found = self.find(part)
+        found = self.old.get(part)
+        if found is None:
+            found = self.find(part)
         if len(part) <= LONGEST:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[part] = found
         return found
@@ -84,27 +121,64 @@ class Pieces:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # One vocabulary drops white space and case, the other keeps both.
         self.drops_white = not self.tokenizer.encode(" ", add_special_tokens=False).ids
-        self.words = _Known(MOST_WORDS, self.of)
-        self.pieces = _Known(MOST_PIECES, self._piece)
+        self.words, self.pieces = Known(MOST_WORDS), Known(MOST_PIECES)
+        # Words that stay apart when joined: letters alone, with their blank where blanks count.
+        self.plain = re.compile(f"[{_L}]+" if self.drops_white else f" [{_L}]+")
+        self.glue = " " if self.drops_white else ""
 
     def of(self, text: str) -> bytes:
         """Straight from the library."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if _OTHER.search(piece):
-            return self.of(piece)
-        words = _WORDS.findall(piece.lower()) if self.drops_white else _BYTE_WORDS.findall(piece)
-        return b"".join(map(self.words.__getitem__, words))
+    def _encode(self, words: list[str]) -> list[bytes]:
+        plain = [w for w in words if self.plain.fullmatch(w)]
+        found = {}
+        if plain:
+            joined = self.tokenizer.encode(self.glue.join(plain), add_special_tokens=False)
+            ids = np.array(joined.ids, "<u4").tobytes()
+            starts = [i for i, (a, b) in enumerate(zip([None, *joined.word_ids], joined.word_ids)) if a != b]
+            if len(starts) == len(plain):
+                found = {w: ids[4 * a:4 * b] for w, a, b in zip(plain, starts, [*starts[1:], len(joined.ids)])}
+        return [found[w] if w in found else self.of(w) for w in words]
+
+    def _split(self, piece: str) -> list[str] | None:
+        if not piece.isascii() and _OTHER.search(piece):
+            return None
+        return _WORDS.findall(piece.lower()) if self.drops_white else _BYTE_WORDS.findall(piece)
+
+    def _learn(self, parts) -> dict:
+        """Ids of all pieces in ``parts`` and of others."""
+        new = self.pieces.missing(parts)
+        split = [self._split(p) for p in new]
+        words = self.words.missing(chain.from_iterable(w for w in split if w is not None))
+        known = self.words.add(words, self._encode(words))
+        found = [self.of(p) if w is None else b"".join([known[x] for x in w]) for p, w in zip(new, split)]
+        self.words.trim()
+        return self.pieces.add(new, found)
+
+    def parts(self, text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ") if self.drops_white else _byte_pieces(text)
+
+    def all_ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of whole texts, in order; a null text has none."""
+        group, size = [], 0
+        for text in texts:
+            whole = bool(text) and any(s in text for s in self.specials)
+            group.append(self.of(text) if whole else self.parts(text) if text else [])
+            size += len(text or "")
+            if size >= GROUP_CHARS:
+                yield from self._flush(group)
+                group, size = [], 0
+        yield from self._flush(group)
+
+    def _flush(self, group: list) -> Iterator[bytes]:
+        known = self._learn(chain.from_iterable(g for g in group if isinstance(g, list)))
+        out = [g if isinstance(g, bytes) else b"".join(map(known.__getitem__, g)) for g in group]
+        self.pieces.trim()
+        return iter(out)
 
     def ids(self, text: str | None) -> bytes:
-        """Ids of a whole text; a null text has none."""
-        if not text:
-            return b""
-        if any(s in text for s in self.specials):
-            return self.of(text)
-        parts = text.replace("\n", " ").split(" ") if self.drops_white else _byte_pieces(text)
-        return b"".join(map(self.pieces.__getitem__, parts))
+        return next(self.all_ids([text]))
 
 
 @lru_cache(maxsize=4)
