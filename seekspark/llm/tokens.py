@@ -4,8 +4,8 @@ The tokenizers used here treat the parts of a text between white space
 independently, and in them the words that their pre-tokenizer finds. So the ids
 of a text are those of its words in a row. Each worker keeps the ids of the
 pieces and words it has met, up to the bounds below (then it starts anew), and
-asks the library only for others, many words in one call. A text that holds a
-special token's string goes to the library whole.
+asks the library only for others. A text that holds a special token's string
+goes to the library whole.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -20,7 +21,7 @@ from itertools import chain
 import numpy as np
 
 MOST_PIECES = 250_000
-MOST_WORDS = 350_000
+MOST_WORDS = 450_000
 GROUP_CHARS = 1 << 20  # of texts that are looked up together
 LONGEST = 64  # characters of a piece or word that is kept
 
@@ -35,6 +36,15 @@ def _latin(kind: str) -> str:
     return "".join(f"\\u{i:04x}" for i in range(LATIN_END) if unicodedata.category(chr(i))[0] == kind)
 
 
+def _byte_symbols() -> dict[int, str]:
+    """Character that stands for each byte in a byte-level vocabulary: printable
+    Latin-1 characters for themselves, the others from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
+BYTE_SYMBOLS = _byte_symbols()
 _L, _N = _latin("L"), _latin("N")
 _OTHER = re.compile(f"[^\\x00-{chr(LATIN_END - 1)}]")
 _SUFFIX = "'(?:s|t|re|ve|m|ll|d)"
@@ -121,25 +131,17 @@ class Pieces:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # One vocabulary drops white space and case, the other keeps both.
         self.drops_white = not self.tokenizer.encode(" ", add_special_tokens=False).ids
+        self.model = self.tokenizer.model
         self.words, self.pieces = Known(MOST_WORDS), Known(MOST_PIECES)
-        # Words that stay apart when joined: letters alone, with their blank where blanks count.
-        self.plain = re.compile(f"[{_L}]+" if self.drops_white else f" [{_L}]+")
-        self.glue = " " if self.drops_white else ""
 
     def of(self, text: str) -> bytes:
         """Straight from the library."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        plain = [w for w in words if self.plain.fullmatch(w)]
-        found = {}
-        if plain:
-            joined = self.tokenizer.encode(self.glue.join(plain), add_special_tokens=False)
-            ids = np.array(joined.ids, "<u4").tobytes()
-            starts = [i for i, (a, b) in enumerate(zip([None, *joined.word_ids], joined.word_ids)) if a != b]
-            if len(starts) == len(plain):
-                found = {w: ids[4 * a:4 * b] for w, a, b in zip(plain, starts, [*starts[1:], len(joined.ids)])}
-        return [found[w] if w in found else self.of(w) for w in words]
+    def _word(self, word: str) -> bytes:
+        """Ids of one word as the pre-tokenizer cuts it, from the library's model alone."""
+        symbols = word.encode().decode("latin1").translate(BYTE_SYMBOLS)
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def _split(self, piece: str) -> list[str] | None:
         if not piece.isascii() and _OTHER.search(piece):
@@ -151,7 +153,7 @@ class Pieces:
         new = self.pieces.missing(parts)
         split = [self._split(p) for p in new]
         words = self.words.missing(chain.from_iterable(w for w in split if w is not None))
-        known = self.words.add(words, self._encode(words))
+        known = self.words.add(words, list(map(self._word, words)))
         found = [self.of(p) if w is None else b"".join([known[x] for x in w]) for p, w in zip(new, split)]
         self.words.trim()
         return self.pieces.add(new, found)
