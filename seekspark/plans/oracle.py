@@ -486,3 +486,44 @@ ORACLE["summary_context"] = ctes(HYB) + (
     "chr(10) || d.docs), '\\s+'), 1, 512), ' ') AS context FROM benchmark b JOIN (SELECT h.query_id, "
     "string_agg(m.article, chr(10) ORDER BY h.rank) AS docs FROM hs h JOIN meta m ON m.doc_id = h.doc_id "
     "WHERE h.rank <= 5 GROUP BY h.query_id) d ON d.query_id = b.item_id")
+
+
+def _grid_sql(ks=(20, 50)) -> str:
+    """Every (ranker, k): candidates, quorum, ranking, positions and metrics spelled out for each."""
+    parts, tables = _BASE_HEAD + TEXT + [x for x in HVEC if x[0] not in ("fu", "fk")] + TRUTH, []
+    for k in ks:
+        parts = parts + [
+            (f"fu{k}", "SELECT query_id, doc_id, sum(w) AS fused FROM (SELECT query_id, doc_id, 1.0 / (1.0 + 4.0 * d2 * d2) "
+                       f"AS w FROM vtop WHERE vr <= {k} UNION ALL SELECT query_id, doc_id, text_score AS w FROM tnorm) "
+                       "GROUP BY 1, 2"),
+            (f"fk{k}", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, "
+                       f"doc_id) AS fused_rank FROM fu{k}) WHERE fused_rank <= {k}"),
+        ] + scoring(f"f{k}_", f"fk{k}") + [
+            (f"kept{k}", f"SELECT k.query_id, k.doc_id, k.fused, k.fused_rank FROM fk{k} k JOIN f{k}_rel r ON "
+                         "r.query_id = k.query_id AND r.doc_id = k.doc_id WHERE r.relevance > 0.0"),
+        ] + scoring(f"k{k}_", f"kept{k}")
+        scores = {"none": f"SELECT query_id, doc_id, fused AS s FROM kept{k}",
+                  "bm25_proximity": f"SELECT query_id, doc_id, bmp AS s FROM k{k}_bmp",
+                  "idf": f"SELECT query_id, doc_id, relevance AS s FROM k{k}_rel"}
+        for ranker, sql in scores.items():
+            p = f"{ranker}{k}"
+            parts = parts + [
+                (f"rk_{p}", "SELECT s.query_id, s.doc_id, d.source AS page, row_number() OVER (PARTITION BY s.query_id "
+                            "ORDER BY round(s.s, 9) DESC, c.fused_rank, s.doc_id) - 1 AS pos "
+                            f"FROM ({sql}) s JOIN kept{k} c ON c.query_id = s.query_id AND c.doc_id = s.doc_id "
+                            "JOIN documents d ON d.doc_id = s.doc_id"),
+                (f"mp_{p}", "SELECT q.query_id, coalesce((SELECT min(pos) FROM rk_" + p + " r JOIN tr t ON t.query_id = "
+                            "r.query_id AND t.doc_id = r.doc_id WHERE r.query_id = q.query_id), -1) AS strong, "
+                            "coalesce((SELECT min(pos) FROM rk_" + p + " r JOIN tr t ON t.query_id = r.query_id AND "
+                            "t.page = r.page WHERE r.query_id = q.query_id), -1) AS light "
+                            "FROM (SELECT DISTINCT query_id FROM tr) q")]
+            for metric, value in (("in_top_5", "(x > -1 AND x < 5)::DOUBLE"), ("in_top_15", "(x > -1 AND x < 15)::DOUBLE"),
+                                  ("in_top_30", "(x > -1 AND x < 30)::DOUBLE"),
+                                  ("inv_5", "CASE WHEN x = -1 THEN 0.0 ELSE 5.0 / (x + 5) END")):
+                tables.append(f"SELECT '{ranker}' AS ranker, {k} AS k, '{metric}' AS metric, "
+                              f"round(avg({value.replace('x', 'strong')}), 6) AS strong, "
+                              f"round(avg({value.replace('x', 'light')}), 6) AS light FROM mp_{p}")
+    return ctes(parts) + "\n" + "\nUNION ALL ".join(tables)
+
+
+ORACLE["metrics_grid"] = _grid_sql()
