@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .tokens import _WORDS, LATIN_END, MOST_PIECES, MOST_WORDS, WHITE, _Known
+from .tokens import _WORDS, BYTE_SYMBOLS, LATIN_END, MOST_PIECES, MOST_WORDS, WHITE, _Known
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -160,20 +160,11 @@ class PrefixCounter:
         self.special = re.compile("|".join(map(re.escape, specials)))
         self.words = _Known(MOST_WORDS, self._word)
         self.pieces = _Known(MOST_PIECES, self._piece)
-        self.byte_symbols = self._byte_symbols()
-
-    @staticmethod
-    def _byte_symbols() -> dict[int, str]:
-        """Character that stands for each byte in a byte-level vocabulary: printable
-        Latin-1 characters for themselves, the others from U+0100 on, in order."""
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = iter(range(256, 512))
-        return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
     def _word(self, word: str) -> bytes:
         """Steps of the characters of one word as the pre-tokenizer cuts it."""
         raw = word.encode()
-        counts = self.vocabulary.prefix_counts(raw.decode("latin1").translate(self.byte_symbols))
+        counts = self.vocabulary.prefix_counts(raw.decode("latin1").translate(BYTE_SYMBOLS))
         if len(raw) > len(word):
             counts = [counts[e - 1] for e in accumulate(len(c.encode()) for c in word)]
         if word in ("'re", "'ve", "'ll"):  # the prefix 'r, 'v or 'l is no suffix yet, but two words
