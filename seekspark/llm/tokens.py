@@ -53,7 +53,8 @@ _WORDS = re.compile(f"{_SUFFIX}|[{_L}]+|[{_N}]|[^{WHITE}{_L}{_N}]+")
 _BYTE_WORDS = re.compile(f"{_SUFFIX}| ?[{_L}]+| ?[{_N}]+| ?[^{WHITE}{_L}{_N}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 # Pieces with their blank; of a longer run of white space the last blank goes to the word.
 _BYTE_PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-_UNEVEN = re.compile(f"[{WHITE}]{{2}}|[{WHITE.replace(' ', '')}\\x01](?<!\\n)")
+_WIDE_WHITE = re.compile(f"[{WHITE.replace('\\t-\\r ', '')}]")
+_UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x01")
 
 
 def vocabulary(name: str) -> str:
@@ -71,7 +72,7 @@ def load(path: str):
 
 def _byte_pieces(text: str) -> list[str]:
     """``_BYTE_PIECES``; texts of single blanks and line ends need no regular expression."""
-    if _UNEVEN.search(text):
+    if any(map(text.__contains__, _UNEVEN)) or not text.isascii() and _WIDE_WHITE.search(text):
         return _BYTE_PIECES.findall(text)
     return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
