@@ -37,7 +37,7 @@ SHARDS = 40
 ROW_BYTES = 16
 TOLERANCE = 0.001  # of the mean bytes of a shard
 RANGE_BYTES = 8 << 20  # aimed at in a range, the unit that one task sorts
-MOST_RANGES = 4096
+MOST_RANGES = 1 << 14
 PROBES = 32  # inside each open interval
 TOP = 1 << 128
 
