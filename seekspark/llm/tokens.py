@@ -20,8 +20,8 @@ from itertools import chain
 
 import numpy as np
 
-MOST_PIECES = 250_000
-MOST_WORDS = 450_000
+MOST_PIECES = 200_000
+MOST_WORDS = 300_000
 GROUP_CHARS = 1 << 20  # of texts that are looked up together
 LONGEST = 64  # characters of a piece or word that is kept
 
@@ -82,7 +82,7 @@ class Known:
     use when the younger one fills up lives on."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.young, self.old, self.long = most, {}, {}, []
 
     def missing(self, parts) -> list[str]:
         """Those of ``parts`` not known; all others are then in the younger generation."""
@@ -98,12 +98,15 @@ class Known:
     def add(self, parts: list[str], found: list[bytes]) -> dict:
         """The younger generation with ``found`` added; call ``trim`` when done with it."""
         self.young.update(zip(parts, found))
+        self.long += [p for p in parts if len(p) > LONGEST]
         return self.young
 
     def trim(self) -> None:
+        for part in self.long:
+            self.young.pop(part, None)
+        self.long = []
         if len(self.young) >= self.most:
-            self.old = {k: v for k, v in self.young.items() if len(k) <= LONGEST}
-            self.young = {}
+            self.old, self.young = self.young, {}
 
 
 class _Known(dict):
@@ -118,7 +121,7 @@ class _Known(dict):
             found = self.find(part)
         if len(part) <= LONGEST:
             if len(self) >= self.most:
-                self.old = dict(self)
+                self.old = dict(self)  # its entries move, they are not copied
                 self.clear()
             self[part] = found
         return found
