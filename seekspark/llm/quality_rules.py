@@ -4,14 +4,19 @@ Two multinomials over hashed word n-grams (one and two words, ``BUCKETS``
 buckets) are counted: one over every document (raw), one over a bounded
 sample of trusted documents (target). The weight of a bucket is
 
-    log((target + PRIOR * p_raw) / (target_total + PRIOR) / p_raw)
-
-that is, the target estimate has the raw distribution as a Dirichlet prior of
-``PRIOR`` pseudo-counts: without trusted documents every weight is 0, and with
-few of them a word that they happen not to hold says little. A
-document's score is the mean weight of its n-grams; it is kept if no base
-rule failed and the score is at least ``MIN_SCORE``. One threshold holds for
-every document, whatever its length or place.
+    log((target + EVIDENCE) / (expected + EVIDENCE)),  expected = target_total * (raw - 1) / raw_total
+
+that is, the target count is held against the count that the trusted documents
+would have if they wrote like all others; the place that is scored is not
+counted against itself. ``EVIDENCE`` counts on both sides let a bucket speak as
+far as its own numbers go, so no size of the trusted sample or of the input
+switches the rule off: without trusted documents every weight is 0, a bucket
+expected once says little, and one expected often and never met says much.
+(``evidence=None`` gives the fixed Dirichlet prior of ``PRIOR`` pseudo-counts in
+all, by which a small sample rejects nothing.) A document's score is the mean
+weight of its n-grams; it is kept if no base rule failed and the score is at
+least ``MIN_SCORE``. One threshold holds for every document, whatever its
+length or place.
 
 Cases: a null or empty text has no words, fails the base rule and scores 0;
 rows that repeat are judged alike, each on its own text; an empty table gives
@@ -27,6 +32,7 @@ from .common import let, space_words, written
 
 BUCKETS = 1 << 16
 PRIOR = 16 * BUCKETS
+EVIDENCE = 8.0
 # Trusted documents beyond this many (by the hash of their id) don't add to the
 # target model: the sample that the classifier is fitted on is bounded.
 TARGET_DOCS = 20_000
@@ -103,7 +109,8 @@ def trusted_ids(labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                 evidence: float | None = None) -> DataFrame:
     """``(bucket, weight)``, one row for each bucket that some document fills.
 
     Every document counts. The exchange carries one partial count for each
@@ -117,16 +124,20 @@ def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
                      "gram-counts")
     total = counts.agg(F.sum("raw").cast("double").alias("r"), F.sum("target").cast("double").alias("t")).first()
     raw, target = total["r"] or 1.0, total["t"] or 0.0
+    if evidence is not None:
+        expected = (F.col("raw") - 1) * F.lit(target / raw)
+        return counts.select("bucket", F.log((F.col("target") + evidence) / (expected + evidence)).alias("weight"))
     p = F.col("raw") / F.lit(raw)
     return counts.select("bucket", F.log((F.col("target") / p + PRIOR) / F.lit(target + PRIOR)).alias("weight"))
 
 
-def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
+          evidence: float | None = None) -> DataFrame:
     """``docs`` with ``__base`` (surface counts, ``base_failed``, ``score``, ``kept``).
 
     The weights, at most ``BUCKETS`` numbers, reach the tasks as a scalar
     subquery: an array that each n-gram indexes by its bucket."""
-    weights = gram_weights(docs, labels, text, doc_id)
+    weights = gram_weights(docs, labels, text, doc_id, evidence)
     every = (docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
              .join(weights, "bucket", "left")
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("weight", F.lit(0.0)).alias("w")))),
@@ -145,4 +156,4 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns that came."""
-    return score(docs, labels).filter("__base.kept").drop(_BASE)
+    return score(docs, labels, evidence=EVIDENCE).filter("__base.kept").drop(_BASE)

@@ -75,7 +75,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = quality_rules.score(docs, table(spark, sf_dir, "labels"))
+    out = quality_rules.score(docs, table(spark, sf_dir, "labels"), evidence=quality_rules.EVIDENCE)
     return out.select("doc_id", "__base.n_words", "__base.word_chars", "__base.n_symbols", "__base.n_dup_lines",
                       "__base.n_repeat_words", "__base.base_failed", "__base.kept", "__base.score")
 

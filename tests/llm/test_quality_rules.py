@@ -94,6 +94,33 @@ def test_junk_goes_and_clean_stays(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [i for i in range(120) if i % 4]
 
 
+def test_verdict_holds_at_few_and_many_labels(spark):
+    """Documents of 300 words: the same junk goes and the same clean ones stay with 5 labels and with 500."""
+    rng = random.Random(5)
+    clean, junk = [f"good{i}" for i in range(40)], [f"BAD{i}!!" for i in range(40)]
+    texts = [(i, " ".join(rng.choices(junk if i >= 600 else clean, k=300))) for i in range(660)]
+    docs = cases.docs(spark, texts)
+    for n in (5, 500):
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+        assert sorted(r.doc_id for r in Q.keep_good(docs, labels).select("doc_id").collect()) == list(range(600)), n
+
+
+def test_evidence_weights_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choices([f"w{k}" for k in range(30)], k=80))) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(7)], "doc_id long, quality int, toxic int")
+    raw, target = {}, {}
+    for i, t in texts:
+        for b in buckets(t):
+            raw[b] = raw.get(b, 0) + 1
+            target[b] = target.get(b, 0) + (i < 7)
+    share = sum(target.values()) / sum(raw.values())
+    weight = {b: math.log((target[b] + Q.EVIDENCE) / (share * (raw[b] - 1) + Q.EVIDENCE)) for b in raw}
+    want = {i: sum(weight[b] for b in buckets(t)) / len(buckets(t)) for i, t in texts}
+    for r in Q.score(cases.docs(spark, texts), labels, evidence=Q.EVIDENCE).select("doc_id", "__base.*").collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-9 and r.kept == (not r.base_failed and r.score >= Q.MIN_SCORE)
+
+
 def test_no_labels_and_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = Q.score(cases.docs(spark), none).select("__base.*").collect()
