@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 WINDOW = 3
 THRESHOLD = 80
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|head|title|button)\b"
-                  r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>])" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)"
+                  r"|<title(?=[\s>])[^>]*(?<!/)>[^<]*(?:<(?!/?title\b)[^<]*)*</title\s*>|<[!?][^>]*>", re.S | re.I)
+_EMBED = re.compile(r"<(/?)(noscript|template|select|svg|iframe|object|title|button)(?=[\s/>])" + _ATTRIBUTES + ">", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -47,13 +49,33 @@ SKIPPED_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising
 ARTICLE_ROLES = frozenset(("article", "main"))
 
 
+def _without_raw(page: str) -> str:
+    """``page`` without comments, scripts and embedded elements. One that is self-closed or never closed is empty."""
+    page = _RAW.sub("", page)
+    opened: dict[str, list[int]] = {}
+    cuts = []
+    for m in _EMBED.finditer(page):
+        if not m[1]:
+            cuts.append([m.start(), m.end()])
+            if not m[0].endswith("/>"):
+                opened.setdefault(m[2].lower(), []).append(len(cuts) - 1)
+        elif opened.get(m[2].lower()):
+            cuts[opened[m[2].lower()].pop()][1] = m.end()
+    parts, at = [], 0
+    for start, end in cuts:
+        if end > at:
+            parts.append(page[at:max(at, start)])
+            at = end
+    return "".join(parts) + page[at:]
+
+
 def _words(attributes: str) -> set[str]:
     return {w.lower() for v in _NAMES.findall(attributes) for w in _PARTS.findall(v)}
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """``(text, length outside links, in an article)`` of each line, and whether the page marks an article."""
-    page = _RAW.sub("", page)
+    page = _without_raw(page)
     tags = list(_TAG.finditer(page))
     closes: dict[str, int] = {}
     for m in tags:

@@ -72,6 +72,15 @@ def test_broken_and_empty_pages():
     assert B.main_text("<article>" + "<p>w</p>" * 20_000 + "</article>").count("\n") == 19_999
 
 
+def test_head_and_embedded_elements_without_a_close():
+    story = "<article><p>one</p><p>two %s three</p><p>four</p></article>"
+    assert B.main_text("<head><title>t</title><meta charset=x><body>" + story % "and") == "one\ntwo and three\nfour"
+    assert B.main_text("<head><title>t<!-- t</title><script>'<p>no'</script>" + story % "and") == "one\ntwo and three\nfour"
+    for inside in ('<svg viewBox="0 0 1 1"/>', "<iframe src='x'/>", "<object>", "<button/>", "<svg><svg/><path/></svg>",
+                   "<svg><svg><text>no</text></svg>no</svg>", "<button>no</button>", "<iframe/><iframe>no</iframe>"):
+        assert B.main_text("<html><body>" + story % inside + "<svg><text>x</text></svg>") == "one\ntwo three\nfour", inside
+
+
 def test_extract_column(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "<article><p>a</article>", "t"), (2, "<article><p>a</article>", "t")],
                                   "page_id long, html string, text string")
