@@ -3,7 +3,8 @@
 Markup is stripped so that each block element, and each ``<br>``, is a line.
 The length of a line is that of its text outside links; lines in containers
 that hold no article by their element or their class and id words (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments), and, on
+headers, footers, sidebars, notices, adverts, forms, reader comments; never
+what stands around a main element or around the article), and, on
 a page that marks an article, lines outside it have length 0. The line-block
 distribution is the sum of the lengths over ``WINDOW`` lines from each line on.
 It surges where a sum rises over the threshold and dives where it falls to 0;
@@ -20,6 +21,7 @@ same text; an empty table gives an empty result; other columns stay.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -35,17 +37,23 @@ _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>])" + _ATT
                   r"|<title(?=[\s>])[^>]*(?<!/)>[^<]*(?:<(?!/?title\b)[^<]*)*</title\s*>|<[!?][^>]*>", re.S | re.I)
 _EMBED = re.compile(r"<(/?)(noscript|template|select|svg|iframe|object|title|button)(?=[\s/>])" + _ATTRIBUTES + ">", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody
     td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED = frozenset("nav footer aside form menu dialog fieldset".split())
+TEASERS = SKIPPED - {"form", "fieldset"}
 SKIPPED_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment
     comments complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar
     navigation newsletter notice outbrain pager pagination paywall popup promo promoted promotion related reply replies
     respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar widget""".split())
+# Words that mark a block of text inside an article; the others may name its topic or style (<p class="notice">).
+ADVERT_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising consent cookie cookies gdpr newsletter outbrain
+    paywall promo promoted share sharing signup sponsor sponsored subscribe taboola""".split())
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dl dt dd ol ul li table tbody tr td th".split())
+MODIFIERS, WRAPPERS = frozenset("with without has no".split()), frozenset("wrap wrapper".split())
 ARTICLE_ROLES = frozenset(("article", "main"))
 
 
@@ -70,13 +78,60 @@ def _without_raw(page: str) -> str:
 
 
 def _words(attributes: str) -> set[str]:
-    return {w.lower() for v in _NAMES.findall(attributes) for w in _PARTS.findall(v)}
+    return {w.lower() for _, v in _NAMES.findall(attributes) for w in _PARTS.findall(v)}
+
+
+def _marked_out(name: str, attributes: str, inside: bool) -> bool:
+    """Whether class, id or role say that the element is no text of the article.
+
+    Names that tell of the layout around (``with-sidebar``, ``content-sidebar-wrap``) don't; inside an article the id
+    of a heading doesn't, that of a section if all its words do (``related-work`` is a topic), or in a div one of ``ADVERT_WORDS``."""
+    for kind, value in _NAMES.findall(attributes):
+        for token in value.strip("\"'").split():
+            parts = [w.lower() for w in _PARTS.findall(token)]
+            found = SKIPPED_WORDS.intersection(parts)
+            if not found or parts[0] in MODIFIERS or parts[-1] in WRAPPERS and parts[0] not in SKIPPED_WORDS:
+                continue
+            if inside and name in TEXT_BLOCKS and (kind.lower() == "id" and name[0] == "h" or not found & ADVERT_WORDS):
+                continue
+            if inside and kind.lower() == "id" and name in ("section", "div") and not SKIPPED_WORDS.issuperset(parts) and (
+                    name == "section" or not found & ADVERT_WORDS):
+                continue
+            return True
+    return False
+
+
+def _holding(tags: list[re.Match]) -> tuple[set[int], set[int]]:
+    """Places in ``tags`` of the elements that hold a main element, and of those that hold an article that is no comment."""
+    opened: dict[str, list[int]] = {}
+    ends, mains, articles = {}, [], []
+    for i, m in enumerate(tags):
+        name = m[2].lower()
+        if name not in BLOCKS or m[3].endswith("/"):
+            continue
+        if m[1]:
+            if opened.get(name):
+                ends[opened[name].pop()] = i
+            continue
+        opened.setdefault(name, []).append(i)
+        words = _words(m[3]) if m[3] else set()
+        if name == "main" or "main" in words and "role" in m[3]:
+            mains.append(i)
+        elif name == "article" and not words & {"comment", "reply"} or "article" in words and "role" in m[3]:
+            articles.append(i)
+    for left in opened.values():
+        ends.update(dict.fromkeys(left, len(tags)))
+
+    def around(places: list[int]) -> set[int]:
+        return {i for i, end in ends.items() if (k := bisect.bisect_right(places, i)) < len(places) and places[k] < end}
+    return around(mains), around(articles)
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """``(text, length outside links, in an article)`` of each line, and whether the page marks an article."""
     page = _without_raw(page)
     tags = list(_TAG.finditer(page))
+    with_main, with_article = _holding(tags)
     closes: dict[str, int] = {}
     for m in tags:
         if m[1]:
@@ -95,7 +150,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         text.clear()
         plain = 0
     at = 0
-    for m in tags:
+    for place, m in enumerate(tags):
         name, closing = m[2].lower(), bool(m[1])
         if not skip and m.start() > at:
             part = page[at:m.start()]
@@ -122,8 +177,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         words = _words(m[3]) if m[3] else set()
         page_header = name == "header" and not article
-        if name not in ("html", "body", "article", "main", "br", "hr") and (
-                name in SKIPPED or page_header or words & SKIPPED_WORDS) or name == "article" and words & {"comment", "reply"}:
+        # around the article is layout; what an article or a menu holds are comments and teasers
+        layout = place in with_main or place in with_article and not article and name not in TEASERS
+        if not layout and name not in ("html", "body", "article", "main", "br", "hr") and (
+                name in SKIPPED or page_header or words & SKIPPED_WORDS and _marked_out(name, m[3], article > 0)) or name == "article" and words & {"comment", "reply"}:
             if not m[3].endswith("/"):
                 skip, depth, start, loose = name, 1, m.start(), closes.get(name, -1) < m.start()
         elif name in ARTICLE_ROLES or "main" in words and "role" in m[3]:

@@ -72,6 +72,20 @@ def test_broken_and_empty_pages():
     assert B.main_text("<article>" + "<p>w</p>" * 20_000 + "</article>").count("\n") == 19_999
 
 
+def test_layout_around_the_article_and_names_inside_it():
+    for around in ('<div class="content-sidebar-wrap">%s</div>', '<div class="layout with-sidebar">%s</div>', "<form id=f>%s</form>",
+                   '<div class="sidebar">x<div>%s</div></div>', '<section class="post has-comments"><main>%s</main></section>'):
+        assert "story" in B.main_text(PAGE % (around % "<article><p>story</p></article>")), around
+    for inside in ('<h2 id="related-work">%s</h2>', '<section id="social-impact"><p>%s</p></section>', '<p class="notice">%s</p>',
+                   '<section id="search-results"><p>%s</p></section>', '<section class="post has-comments"><p>%s</p></section>'):
+        assert B.main_text(PAGE % f"<article><p>a</p>{inside % 'kept'}<p>b</p></article>") == "a\nkept\nb", inside
+    for inside in ('<p class="ad">%s</p>', '<div class="ad-wrapper">%s</div>', '<div id="ad-slot-1">%s</div>',
+                   '<section id="comments"><article class="comment-body">%s</article></section>', "<aside><article>%s</article></aside>",
+                   '<div class="related-posts"><article>%s</article></div>'):
+        assert B.main_text(PAGE % f"<article><p>a</p>{inside % 'gone'}<p>b</p></article>") == "a\nb", inside
+    assert B.main_text('<section class="post has-comments"><p>only text') == "only text"
+
+
 def test_head_and_embedded_elements_without_a_close():
     story = "<article><p>one</p><p>two %s three</p><p>four</p></article>"
     assert B.main_text("<head><title>t</title><meta charset=x><body>" + story % "and") == "one\ntwo and three\nfour"
