@@ -1,7 +1,9 @@
 """Line dedup by distinct-site spread.
 
 A line (of at least ``MIN_WORDS`` words, white space normalised) that stands on
-``MIN_SITES`` or more distinct sites is boilerplate. It stays where it occurs
+``MIN_SITES`` or more distinct sites is boilerplate; with ``long_sites`` (the
+pipeline) so is one of ``LONG_WORDS`` words or more on that many sites, if as
+many documents that are no near duplicates of each other hold it. It stays where it occurs
 first, at the smallest (doc_id, text key, line number), and goes everywhere
 else, so that no line leaves the corpus altogether.
 
@@ -25,23 +27,28 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import SPACE, let, small, text_key, written
 
 MIN_WORDS = 4
 MIN_SITES = 8
+LONG_WORDS = 50
+LONG_SITES = 2
 LG_K = 12
 BAND = 5 * 1.04 / math.sqrt(1 << LG_K)
 
 
-def line_table(docs: DataFrame, text: str, doc_id: str, site: str, min_words: int) -> DataFrame:
-    """``(id, key, pos, hash, site)`` of every line that counts, as a written table: a few numbers a line."""
+def line_table(docs: DataFrame, text: str, doc_id: str, site: str, min_words: int,
+               counted: bool = False) -> DataFrame:
+    """``(id, key, pos, hash, site)`` of every line that counts, as a written table: a few numbers a line; ``counted`` adds ``words``."""
     rows = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"),
                        F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"),
                        F.posexplode_outer(F.split(F.col(text), "\n")).alias("pos", "line"))
     rows = rows.withColumn("line", F.trim(F.regexp_replace("line", SPACE, " ")))
     blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     return written(rows.filter((F.col("line") != "") & (blanks + 1 >= min_words))
-                   .select("id", "key", "pos", F.xxhash64("line").alias("hash"), "site"), "lines")
+                   .select("id", "key", "pos", F.xxhash64("line").alias("hash"), "site",
+                           *[(blanks + 1).alias("words")] * counted), "lines")
 
 
 def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -60,12 +67,33 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
                    .unionByName(near.join(exact, "hash").select("hash", "first")), "boilerplate")
 
 
+def spread_long_lines(docs: DataFrame, lines: DataFrame, long_sites: int, text: str) -> DataFrame:
+    """``(hash, first)`` of the lines of ``LONG_WORDS`` words or more that ``long_sites`` sites and as many groups of
+    near duplicates hold. Only documents with a line on that many sites are compared."""
+    long = lines.filter(F.col("words") >= LONG_WORDS)
+    wide = written(long.select("hash", "site").distinct().groupBy("hash").count().filter(F.col("count") >= long_sites)
+                   .select("hash"), "long-lines")
+    places = written(long.join(small(wide), "hash").select("hash", "key", "site").distinct(), "long-places")
+    keys = written(places.select("key").distinct(), "long-texts")
+    texts = (docs.select(text_key(F.col(text)).alias("doc_id"), F.col(text).alias("text"))
+             .join(small(keys.withColumnRenamed("key", "doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    groups = simhash.near_duplicates(texts).select(F.col("id").alias("key"), "component")
+    spread = (places.join(groups, "key").select("hash", "component").distinct()
+              .groupBy("hash").count().filter(F.col("count") >= long_sites).select("hash"))
+    return written(long.join(small(written(spread, "long-spread")), "hash").groupBy("hash")
+                   .agg(F.min(F.struct("id", "key", "pos")).alias("first")), "long-boilerplate")
+
+
 def strip_boilerplate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", site: str = "source",
-                      min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+                      min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, long_sites: int | None = None) -> DataFrame:
     """``(row, text, n_lines, n_removed)``: each row of ``docs`` as a struct, its text
     without the boilerplate lines, its lines and how many of them went."""
-    lines = line_table(docs, text, doc_id, site, min_words)
-    gone = (lines.join(small(spread_lines(lines, min_sites)), "hash")
+    lines = line_table(docs, text, doc_id, site, min_words, counted=long_sites is not None)
+    boilerplate = spread_lines(lines, min_sites)
+    if long_sites is not None:
+        boilerplate = written(boilerplate.unionByName(spread_long_lines(docs, lines, long_sites, text))
+                              .dropDuplicates(["hash"]), "all-boilerplate")
+    gone = (lines.join(small(boilerplate), "hash")
             .filter(~F.struct("id", "key", "pos").eqNullSafe(F.col("first")))
             .groupBy("id", "key").agg(F.collect_set("pos").alias("gone")))
     rows = docs.select(F.struct(*docs.columns).alias("row"))
@@ -84,7 +112,7 @@ def strip_boilerplate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with boilerplate lines gone (``n_chars`` follows the text); a document
     of which nothing is left goes too."""
-    out = strip_boilerplate(docs).filter((F.col("n_removed") == 0) | (F.trim(F.col("text")) != ""))
+    out = strip_boilerplate(docs, long_sites=LONG_SITES).filter((F.col("n_removed") == 0) | (F.trim(F.col("text")) != ""))
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(
         F.col("row.n_chars")).cast("long") if "n_chars" in docs.columns else None}
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -65,5 +65,25 @@ def test_pipeline_stage(spark):
     assert 50 not in got and got[51] == (None, 0) and got[52] == ("", 0)
 
 
+def test_pipeline_stage_long_passages_on_few_sites(spark):
+    """Passages of 60 words on 2, 3 and 7 sites, a table of 5 sites, copies of one document, and a short line on 7 sites."""
+    rng = random.Random(4)
+
+    def own(n):
+        return " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    passages = {n: own(60) for n in (2, 3, 7)}
+    data = [(100 * n + s, f"{own(45)}\n{passages[n]}", f"s{s}", 0) for n in passages for s in range(n)]
+    data += [(800 + s, f"{own(45)}\nshort line on seven sites", f"s{s}", 0) for s in range(7)]
+    copy = own(70)
+    data += [(900 + s, copy, f"s{s}", 0) for s in range(3)]
+    data += [(950 + s, f"{own(45)}\n{passages[2]} other", "s1", 0) for s in range(3)]  # one site alone
+    for most in (7, 5):
+        rows = [r for r in data if int(r[2][1:]) < most]
+        got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(
+            rows, "doc_id long, text string, source string, n_chars long")).collect()}
+        want = {i: t.split("\n")[0] if i < 800 and i % 100 else t for i, t, _, _ in rows}
+        assert got == want, most
+
+
 def test_empty(spark):
     assert L.strip_boilerplate(cases.empty(spark)).count() == 0
