@@ -75,7 +75,8 @@ def hits(docs: DataFrame, texts: DataFrame, text: str = "text", doc_id: str = "d
     ``spans`` are sorted word intervals [lo, hi), ``text_ids`` the benchmark texts
     hit, ``copies`` the rows of ``docs`` it stands for. A row of length 0 for each
     document, which matches one such row of the benchmark side, carries the
-    documents without hits through the same join."""
+    documents without hits through the same join; where that join shuffles, they
+    would all meet at one key, so they are added after it."""
     lengths = sorted(r["length"] for r in texts.select("length").distinct().collect())  # WINDOW values at most
     distinct = texts.select("text_id", "words", "length").dropDuplicates(["text_id"])
     runs = [distinct.filter(F.col("length") == n).select("text_id", F.explode_outer(_runs(F.col("words"), n, 1)).alias("run"))
@@ -89,7 +90,9 @@ def hits(docs: DataFrame, texts: DataFrame, text: str = "text", doc_id: str = "d
                                    F.col("run.around").alias("b_around")), "benchmark-runs")
 
     rows = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), words_of(F.col(text)).alias("words"))
-    own = F.concat(F.array(F.struct(*blank)), *[_runs(F.col("words"), n, _shape(n)[1] + 1) for n in lengths])
+    shuffled = places.count() > BROADCAST_RUNS
+    first = F.array(F.struct(*blank))
+    own = F.concat(F.slice(first, 1, 0) if shuffled else first, *[_runs(F.col("words"), n, _shape(n)[1] + 1) for n in lengths])
     own = rows.select("id", "key", F.size("words").cast("long").alias("n_words"), own.alias("runs"))
     met = (own.select("id", "key", "n_words", F.explode_outer("runs").alias("run"))  # never empty; explode would test that with the runs built twice
            .select("id", "key", "n_words", "run.*")
@@ -111,6 +114,9 @@ def hits(docs: DataFrame, texts: DataFrame, text: str = "text", doc_id: str = "d
                  F.struct((F.col("at") - F.col("left")).alias("lo"), (F.col("at") + k + F.col("right")).alias("hi")))
     met = met.select("id", "key", "n_words", "text_id", (F.col("length") == 0).cast("long").alias("one"), hit.alias("hit"))
     met = met.filter((F.col("one") == 1) | F.col("hit").isNotNull())
+    if shuffled:
+        met = met.unionByName(rows.select("id", "key", F.size("words").cast("long").alias("n_words"), F.lit("").alias("text_id"),
+                                          F.lit(1).cast("long").alias("one"), F.lit(None).cast(met.schema["hit"].dataType).alias("hit")))
     return met.groupBy("id", "key", "n_words").agg(
         F.sum("one").alias("copies"), F.sort_array(F.collect_set("hit")).alias("spans"),
         F.collect_set(F.when(F.col("hit").isNotNull(), F.col("text_id"))).alias("text_ids"))

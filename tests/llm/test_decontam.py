@@ -82,3 +82,18 @@ def test_plan_has_no_python(spark):
     bench = spark.createDataFrame([ITEMS[0]], "item_id long, text string")
     plan = D.hits(cases.docs(spark), D.benchmark_texts(bench))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_shuffled_join_carries_no_blank_rows(spark, monkeypatch):
+    """Beyond the broadcast bound the documents without hits stay out of the join; the result is the same."""
+    docs = cases.docs(spark)
+    texts = D.benchmark_texts(spark.createDataFrame([(1, cases.BASE), (2, "two words")], "item_id long, text string"))
+
+    def found():
+        out = D.hits(docs, texts)
+        return out._jdf.queryExecution().optimizedPlan().toString(), sorted(map(str, out.collect()))
+    plan, want = found()
+    monkeypatch.setattr(D, "BROADCAST_RUNS", 0)
+    shuffled, got = found()
+    assert got == want and len(got) > 10
+    assert "Union" not in plan and "Union" in shuffled
