@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, histsort, line_spread, lineblock, packing, prefix_counts, quality_rules, simhash, simple8b, tokens, zlang
+from . import bpe_replay, decontam, histsort, line_spread, lineblock, packing, prefix_counts, quality_rules, simhash, simple8b, tokens, zlang
 from .common import table
 
 
@@ -86,8 +86,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op13_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+    path = tokens.vocabulary(bpe_replay.VOCABULARY)
+    out = bpe_replay.encode(table(spark, sf_dir, "documents"), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                      F.sha2(bpe_replay.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_histogram_sort, op2_simhash_neardup, op3_best_fit_packing, op4_simple8b_files, op5_prefix_counts, op6_language_id, op7_line_dedup, op8_decontamination, op9_quality_rules,
-                                    op10_html_extraction)}
+                                    op10_html_extraction, op13_bpe_replay)}
 
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
