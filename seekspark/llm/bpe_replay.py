@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_CHARS = 32 << 20  # of texts whose words are merged together
-FLUSH_IDS = 4 << 20  # ids that a task holds before it hands them on
+BLOCK_CHARS = 8 << 20  # of texts whose words are merged together
+FLUSH_IDS = 1 << 19  # ids that a task holds before it hands them on
 NEVER = np.int32(2**31 - 1)  # rank of a pair that no merge joins
 
 # Letters and digits of Unicode versions after 16.0, which the tiktoken library
