@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontam, histsort, line_spread, lineblock, packing, prefix_counts, quality_rules, simhash, simple8b, tokens, zlang
+from . import bpe_replay, decontam, histsort, line_spread, lineblock, packing, prefix_counts, quality_rules, resampling, simhash, simple8b, tokens, zlang
 from .common import table
 
 
@@ -86,6 +86,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document by its likeness to the benchmark."""
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     path = tokens.vocabulary(bpe_replay.VOCABULARY)
@@ -96,7 +102,7 @@ def op13_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_histogram_sort, op2_simhash_neardup, op3_best_fit_packing, op4_simple8b_files, op5_prefix_counts, op6_language_id, op7_line_dedup, op8_decontamination, op9_quality_rules,
-                                    op10_html_extraction, op13_bpe_replay)}
+                                    op10_html_extraction, op11_target_resampling, op13_bpe_replay)}
 
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
@@ -147,4 +153,39 @@ ORACLE = {
                CASE WHEN text IS NOT NULL THEN length(body) END AS kept_chars,
                CASE WHEN text IS NOT NULL THEN md5(body) END AS kept_md5
         FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    # CRC-32 of each distinct word from a table of 256 states, byte by byte.
+    "op11_target_resampling": f"""
+        WITH crc_table AS MATERIALIZED (
+            SELECT list(list_reduce(range(0, 8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)
+                        ORDER BY b) AS t
+            FROM (SELECT unnest(range(0, 256)) AS b)),
+        docs AS MATERIALIZED (SELECT doc_id, {_WORDS} AS words FROM documents),
+        doc_words AS (SELECT doc_id, unnest(words) AS word FROM docs),
+        item_words AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+        vocabulary AS MATERIALIZED (
+            SELECT DISTINCT word, hex(encode(word)) AS h
+            FROM (SELECT word FROM doc_words UNION ALL SELECT word FROM item_words)),
+        placed AS MATERIALIZED (
+            SELECT word, xor(list_reduce(range(0, len(h) // 2), lambda c, i:
+                             xor(c >> 8, t[(xor(c, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) & 255) + 1]), 4294967295),
+                             4294967295) % {resampling.BUCKETS} AS bucket
+            FROM vocabulary, crc_table),
+        corpus AS (SELECT bucket, count(*) AS s FROM doc_words JOIN placed USING (word) GROUP BY bucket),
+        target AS (SELECT bucket, count(*) AS t FROM item_words JOIN placed USING (word) GROUP BY bucket),
+        gains AS (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM corpus) + {resampling.BUCKETS})
+                   / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM target) + {resampling.BUCKETS}))))::BIGINT AS gain
+            FROM corpus FULL JOIN target USING (bucket)),
+        weighed AS (
+            SELECT doc_id, sum(gain)::BIGINT AS weight FROM doc_words JOIN placed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+        scored AS (
+            SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                       / 4294967296)))::BIGINT AS score
+            FROM docs LEFT JOIN weighed USING (doc_id)),
+        ranked AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n
+            FROM scored WHERE n_features >= {resampling.MIN_WORDS})
+        SELECT doc_id, n_features, weight, score, CASE WHEN r <= n * {resampling.PERCENT} // 100 THEN r END AS rank
+        FROM scored LEFT JOIN ranked USING (doc_id)""",
 }
