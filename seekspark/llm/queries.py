@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontam, histsort, line_spread, lineblock, packing, prefix_counts, quality_rules, resampling, simhash, simple8b, tokens, zlang
-from .common import table
+from . import bpe_replay, decontam, histsort, line_spread, lineblock, packing, prefix_counts, quality_rules, resampling, simhash, simple8b, tokens, vector_codes, zlang
+from .common import table, written
 
 
 def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,15 @@ def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, and the digest of the codebooks."""
+    kept = vector_codes.points(table(spark, sf_dir, "embeddings"))
+    books = vector_codes.train(kept)
+    out = vector_codes.with_label_error(written(vector_codes.assign(kept, books), "vector-codes"))
+    return out.select("vec_id", "code", "error", "label_error",
+                      F.lit(books and books.sha256()).cast("string").alias("codebooks_sha256"))
+
+
 def op13_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     path = tokens.vocabulary(bpe_replay.VOCABULARY)
@@ -102,7 +111,7 @@ def op13_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_histogram_sort, op2_simhash_neardup, op3_best_fit_packing, op4_simple8b_files, op5_prefix_counts, op6_language_id, op7_line_dedup, op8_decontamination, op9_quality_rules,
-                                    op10_html_extraction, op11_target_resampling, op13_bpe_replay)}
+                                    op10_html_extraction, op11_target_resampling, op12_orchard_codes, op13_bpe_replay)}
 
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
