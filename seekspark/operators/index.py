@@ -8,7 +8,7 @@ or derived on the fly by a query.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +92,15 @@ class CorpusIndex:
     lengths: DataFrame     # doc_id, dl
     dfs: DataFrame         # term, df, idf
     n_docs: object         # scalar Column or number
+    _blocks: object = field(default=None, repr=False)
+
+    @property
+    def blocks(self):
+        """The postings by term, in blocks (``operators.blocks``); made when first asked for, unless read."""
+        if self._blocks is None:
+            from .blocks import TermBlocks
+            self._blocks = TermBlocks.build(self)
+        return self._blocks
 
     @classmethod
     def build(cls, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -114,19 +123,19 @@ class CorpusIndex:
         return cls(tok, post, lengths, dfs, n)
 
     def write(self, path: str, mode: str = "overwrite") -> None:
-        """Persist the stores. Postings are range-partitioned and sorted by
-        term so a pushed ``term IN (...)`` filter skips row groups."""
+        """Persist the stores, postings sorted by term and the blocks of every term."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id") \
             .write.mode(mode).parquet(f"{path}/postings")
         self.lengths.write.mode(mode).parquet(f"{path}/lengths")
         self.dfs.write.mode(mode).parquet(f"{path}/dfs")
+        self.blocks.write(path, mode)
 
     @classmethod
     def read(cls, spark, path: str) -> "CorpusIndex":
+        from .blocks import TermBlocks
         lengths = spark.read.parquet(f"{path}/lengths")
-        return cls(None, spark.read.parquet(f"{path}/postings"), lengths,
-                   spark.read.parquet(f"{path}/dfs"),
-                   lengths.select(F.count(F.lit(1)).cast("double")).scalar())
+        return cls(None, spark.read.parquet(f"{path}/postings"), lengths, spark.read.parquet(f"{path}/dfs"),
+                   lengths.select(F.count(F.lit(1)).cast("double")).scalar(), TermBlocks.read(spark, path))
 
 
 def candidate_cells(cands: DataFrame, qterms: DataFrame, index: CorpusIndex,

@@ -155,14 +155,13 @@ def bm25_proximity(cands: DataFrame, qterms: DataFrame, index: CorpusIndex, vari
     return s.join(p, QD).withColumn(col, F.col("bm25") + weight * F.col("proximity"))
 
 
-def quorum_search(qterms: DataFrame, index: CorpusIndex, kind: str = "idf", col: str = "relevance") -> DataFrame:
-    """Quorum relevance of every document that shares a term with the query
-    (the retrieval form of REL-1/2): ``(query_id, doc_id, relevance)``.
+def quorum_topk(qterms: DataFrame, index: CorpusIndex, blocks, k: int, kind: str = "idf", col: str = "relevance") -> DataFrame:
+    """The retrieval form of REL-1/2: for every question the ``k`` documents of the corpus with the largest
+    quorum relevance, ties by id: ``(query_id, doc_id, relevance)``.
 
-    Documents sharing no term score 0 and are not listed. The query-term set
-    is the small side: it is broadcast after a size check, so the postings
-    stream through a hash join and a frequent term is never a hot shuffle key.
-    """
+    Documents sharing no term score 0 and are not listed. ``blocks`` is the corpus's ``TermBlocks``: words too
+    common to lift a document into the first ``k`` are never paired with their documents."""
+    from .blocks import top_by_parts
     if kind == "idf":
         qt = qterms.join(broadcast_if_small(index.dfs.select("term", "idf")
                                             .join(broadcast_if_small(qterms.select("term").distinct()), "term")),
@@ -171,8 +170,7 @@ def quorum_search(qterms: DataFrame, index: CorpusIndex, kind: str = "idf", col:
         qt = qterms.withColumn("w", F.lit(1.0))
     else:
         raise ValueError(kind)
-    den = qt.groupBy("query_id").agg(F.sum("w").alias("den"))
-    hits = index.postings.select("doc_id", "term").join(broadcast_if_small(qt.select("query_id", "term", "w")), "term")
-    num = hits.groupBy(*QD).agg(F.sum("w").alias("num"))
-    return num.join(broadcast_if_small(den), "query_id").select(
-        *QD, F.when(F.col("den") != 0, F.col("num") / F.col("den")).alias(col))
+    den = broadcast_if_small(qt.groupBy("query_id").agg(F.sum("w").alias("den")))
+    shares = qt.join(den, "query_id").select("query_id", "term", F.when(F.col("den") != 0, F.col("w") / F.col("den")).otherwise(0.0).alias("w"))
+    found = top_by_parts(shares, blocks, k, parts=False)
+    return found.join(den, "query_id").select(*QD, F.when(F.col("den") != 0, F.col("score")).alias(col))

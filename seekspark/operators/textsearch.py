@@ -11,17 +11,15 @@ the best 10 per condition are kept and all hits of all conditions count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import broadcast_if_small, materialize, top_k
-from .index import CorpusIndex, doc_tokens, token_rows
+from ..util import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialize, top_k
+from .blocks import TermBlocks, pairs
+from .index import doc_tokens, token_rows
 
-# Fixed values of the text index the reference queries: BM25F weighting
-# with its default constants, its default result limit, and the depth the
-# service passes.
-BM25F_B = 0.75
-BM25F_K1 = 1.2
+# Fixed values of the text index the reference queries: its default result
+# limit, and the depth the service passes.
 HITS_PER_CONDITION = 10
 DEPTH = 2
 
@@ -46,48 +44,36 @@ def conditions(words: DataFrame, depth: int = DEPTH) -> DataFrame:
                      .alias("terms"))
 
 
-def bm25f_term(tf, dl, avgdl, df, n_docs) -> F.Column:
-    """Per-term BM25F of one field: idf ``ln(N/(df+1))+1``."""
-    idf = F.log(n_docs / (df + 1.0)) + 1.0
-    return idf * (tf * (BM25F_K1 + 1)) / (tf + BM25F_K1 * ((1 - BM25F_B) + BM25F_B * dl / avgdl))
-
-
-def relaxed_and_search(conds: DataFrame, index: CorpusIndex, per_condition: int = HITS_PER_CONDITION) -> DataFrame:
+def relaxed_and_search(conds: DataFrame, blocks: TermBlocks, per_condition: int = HITS_PER_CONDITION) -> DataFrame:
     """RNK-3 + RNK-4: ``(query_id, level, start, doc_id, score, hit_rank)``.
 
     ``score`` already carries the level factor ``1/(1+level)``. A condition
     of level l misses at most l words of the question, so a match holds one of
     its d + 1 rarest distinct words, d being the deepest level. Only documents
-    with one of these are paired with the question, then the pairs that hold
-    as many distinct words as the smallest condition has. Exact: no match is lost.
+    with one of these are paired with the question; the lists of its other words are cut to these
+    documents first. The parts of BM25F come from the same rows. Exact: no match is lost.
     """
     cond_terms = materialize(conds.select("query_id", "level", "start", F.size("terms").alias("need"),
                                           F.explode("terms").alias("term")))
-    qwords = materialize(cond_terms.select("query_id", "term").distinct())
-    per_query = materialize(cond_terms.groupBy("query_id").agg(F.min("need").alias("min_need"), F.max("level").alias("deepest")))
-    known = index.dfs.join(broadcast_if_small(qwords.select("term").distinct()), "term").select("term", "df")
-    order = top_k(qwords.join(known, "term", "left"), ["query_id"], [F.coalesce("df", F.lit(0)), F.col("term")], None, "nth")
-    rare = materialize(order.join(per_query, "query_id").filter(F.col("nth") <= F.col("deepest") + 1).select("query_id", "term"))
-    seeds = index.postings.select("doc_id", "term").join(broadcast_if_small(rare), "term").select("query_id", "doc_id").distinct()
-    seeds = materialize(seeds)
-    mine = index.postings.select("doc_id", "term").join(broadcast_if_small(qwords.select("term").distinct()), "term")
-    pairs = seeds.join(broadcast_if_small(qwords), "query_id").join(mine, ["doc_id", "term"]) \
-        .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("got")) \
-        .join(broadcast_if_small(per_query), "query_id").filter(F.col("got") >= F.col("min_need")) \
-        .select("query_id", "doc_id")
-    pairs = materialize(pairs)
-    terms = broadcast_if_small(qwords.select("term").distinct())
-    docs = broadcast_if_small(pairs.select("doc_id").distinct())
-    avgdl = index.lengths.select(F.avg("dl")).scalar()
-    stats = index.dfs.join(terms, "term").select("term", "df")
-    per_term = index.postings.select("doc_id", "term", "tf", "dl").join(terms, "term").join(docs, "doc_id") \
-        .join(broadcast_if_small(stats), "term") \
-        .withColumn("s", bm25f_term(F.col("tf"), F.col("dl"), avgdl, F.col("df"), index.n_docs)) \
-        .select("doc_id", "term", "s")
-    cells = pairs.join(per_term, "doc_id").join(qwords, ["query_id", "term"])
-    hits = cells.join(cond_terms, ["query_id", "term"]) \
+    size = cond_terms.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("term").alias("terms"),
+                          F.sum(F.octet_length("term") + 40).alias("bytes")).first()
+    side = F.broadcast if size["rows"] <= BROADCAST_MAX_ROWS and (size["bytes"] or 0) <= BROADCAST_MAX_BYTES else lambda df: df
+    qwords = cond_terms.select("query_id", "term").distinct()
+    per_query = cond_terms.groupBy("query_id").agg(F.min("need").alias("min_need"), F.max("level").alias("deepest"))
+    known = qwords.join(side(blocks.stats.select("term", "df").join(side(qwords.select("term").distinct()), "term")), "term", "left")
+    order = top_k(known, ["query_id"], [F.coalesce("df", F.lit(0)), F.col("term")], None, "nth")
+    rare = materialize(order.join(side(per_query), "query_id").filter(F.col("nth") <= F.col("deepest") + 1).select("query_id", "term"))
+    lists = blocks.of_terms(qwords.select("term").distinct(), size["terms"])
+    seeds = materialize(pairs(lists.join(side(rare), "term"), "query_id").select("query_id", "doc_id").distinct())
+    docs = seeds.select("doc_id").distinct()
+    docs = F.broadcast(docs) if seeds.count() <= BROADCAST_MAX_ROWS else docs     # ids only
+    held = pairs(lists, "term").join(docs, "doc_id", "left_semi")
+    cells = seeds.join(side(qwords), "query_id").join(held, ["doc_id", "term"])
+    got = F.count(F.lit(1)).over(Window.partitionBy("query_id", "doc_id"))
+    cells = cells.withColumn("got", got).join(side(per_query), "query_id").filter(F.col("got") >= F.col("min_need"))
+    hits = cells.select("query_id", "doc_id", "term", "part").join(side(cond_terms), ["query_id", "term"]) \
         .groupBy("query_id", "level", "start", "doc_id") \
-        .agg(F.count(F.lit(1)).alias("got"), F.first("need").alias("need"), F.sum("s").alias("s")) \
+        .agg(F.count(F.lit(1)).alias("got"), F.first("need").alias("need"), F.sum("part").alias("s")) \
         .filter(F.col("got") == F.col("need")) \
         .withColumn("score", F.col("s") / (1.0 + F.col("level")))
     ranked = top_k(hits, ["query_id", "level", "start"], [F.round("score", 9).desc(), F.col("doc_id")],
@@ -97,9 +83,9 @@ def relaxed_and_search(conds: DataFrame, index: CorpusIndex, per_condition: int
 
 def normalize_text_scores(hits: DataFrame, col: str = "score", out: str = "text_score") -> DataFrame:
     """RNK-5 per question: ``(s - min + 0.1) / (max - min + 0.5)``."""
-    mm = hits.groupBy("query_id").agg(F.min(col).alias("mn"), F.max(col).alias("mx"))
-    return hits.join(mm, "query_id").withColumn(
-        out, (F.col(col) - F.col("mn") + 0.1) / (F.col("mx") - F.col("mn") + 0.5)).drop("mn", "mx")
+    own = Window.partitionBy("query_id")      # a few hits for each condition of a question
+    low, high = F.min(col).over(own), F.max(col).over(own)
+    return hits.withColumn(out, (F.col(col) - low + 0.1) / (high - low + 0.5))
 
 
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int | None, vec_col: str = "similarity",

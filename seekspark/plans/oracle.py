@@ -132,6 +132,10 @@ ORACLE = {
     "doc_freq_idf": with_base("SELECT term, df, round(idf, 6) AS idf FROM dfs"),
     "quorum_search": with_base(
         "SELECT * FROM (" + ranked("SELECT * FROM rel", "relevance") + ") WHERE rank <= 10", QUORUM_SEARCH),
+    "bm25f_topk": with_base("SELECT * FROM (" + ranked(
+        "SELECT qt.query_id, p.doc_id, sum((ln((SELECT count(*)::DOUBLE FROM documents) / (d.df + 1.0)) + 1.0) * (p.tf * 2.2) / "
+        "(p.tf + 1.2 * (0.25 + 0.75 * p.dl / (SELECT avg(dl) FROM lens)))) AS score FROM qt JOIN post p ON p.term = qt.term "
+        "JOIN dfs d ON d.term = qt.term GROUP BY 1, 2", "score") + ") WHERE rank <= 10"),
     "quorum_vanilla": with_base(ranked(_quorum("vanilla"), "relevance")),
     "quorum_idf": with_base(ranked(_quorum("idf"), "relevance")),
     "quorum_tfidf": with_base(ranked(_quorum("tfidf"), "relevance")),

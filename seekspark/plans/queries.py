@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.stem import with_stem
 from ..functions.text import clean_string, stop_words, word_count
 from ..operators import relevance as R
-from ..operators.index import CorpusIndex, query_terms
+from ..operators.blocks import TermBlocks, top_by_parts
+from ..operators.index import CorpusIndex
 from ..sources import tables as S
 from ..util import broadcast_if_small, materialize, top_k
 from . import stores
@@ -35,17 +36,12 @@ def _qterms(spark, sf, stop_list=()) -> DataFrame:
     return stores.question_terms(spark, sf, tuple(stop_list))
 
 
-def match_candidates(qterms: DataFrame, index: CorpusIndex, k: int = CAND_K) -> DataFrame:
+def match_candidates(qterms: DataFrame, blocks: TermBlocks, k: int = CAND_K) -> DataFrame:
     """First stage: the ``k`` documents holding most distinct query words
     (exact integer counts, ties by doc_id): ``(query_id, doc_id, cand_rank)``.
-
-    The query-term side is broadcast after a size check; the postings
-    stream through the hash join and the count is partially aggregated
-    before the shuffle on (query, doc)."""
-    qt = broadcast_if_small(qterms.select("query_id", "term"))
-    counts = index.postings.select("doc_id", "term").join(qt, "term") \
-        .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_match"))
-    return materialize(top_k(counts, ["query_id"], [F.col("n_match").desc(), F.col("doc_id")], k, "cand_rank")
+    Words too common to lift a document into the first ``k`` are looked up, not paired."""
+    found = top_by_parts(qterms.select("query_id", "term", F.lit(1.0).alias("w")), blocks, k, parts=False)
+    return materialize(top_k(found, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k, "cand_rank")
                        .select("query_id", "doc_id", "cand_rank"))
 
 
@@ -93,14 +89,19 @@ def q_doc_freq_idf(spark, sf):
 def _rerank_inputs(spark, sf):
     idx = _index(spark, sf)
     qt = _qterms(spark, sf)
-    return idx, qt, match_candidates(qt, idx)
+    return idx, qt, match_candidates(qt, stores.term_blocks(spark, sf))
 
 
 def q_quorum_search(spark, sf):
-    idx = _index(spark, sf)
-    hits = R.quorum_search(_qterms(spark, sf), idx, "idf")
-    return _publish(top_k(hits, ["query_id"], [rkey("relevance").desc(), F.col("doc_id")], TOP_K, "rank")
-                    .drop("rank"), "relevance")
+    hits = R.quorum_topk(_qterms(spark, sf), _index(spark, sf), stores.term_blocks(spark, sf), TOP_K, "idf")
+    return _publish(hits, "relevance")
+
+
+def q_bm25f_topk(spark, sf):
+    """The documents with the largest sum of BM25F parts over a question's distinct words, blocks
+    below the running k-th score skipped."""
+    words = _qterms(spark, sf).select("query_id", "term", F.lit(1.0).alias("w"))
+    return _publish(top_by_parts(words, stores.term_blocks(spark, sf), TOP_K, plain_pairs=0), "score")
 
 
 def _quorum(kind):
@@ -140,6 +141,7 @@ QUERIES = {
     "doc_lengths": q_doc_lengths,
     "doc_freq_idf": q_doc_freq_idf,
     "quorum_search": q_quorum_search,
+    "bm25f_topk": q_bm25f_topk,
     "quorum_vanilla": _quorum("vanilla"),
     "quorum_idf": _quorum("idf"),
     "quorum_tfidf": _quorum("tfidf"),
@@ -258,7 +260,7 @@ def q_relaxed_and_conditions(spark, sf):
 
 def q_relaxed_and_search(spark, sf):
     from ..operators.textsearch import conditions, relaxed_and_search
-    h = relaxed_and_search(conditions(_search_inputs(spark, sf).words), _index(spark, sf))
+    h = relaxed_and_search(conditions(_search_inputs(spark, sf).words), _index(spark, sf).blocks)
     return h.select(F.col("query_id").alias("item_id"), "level", "start", "doc_id",
                     F.round("score", 6).alias("score"), "hit_rank")
 
@@ -561,34 +563,17 @@ GRID_KS = (20, 50)
 
 
 def q_metrics_grid(spark, sf):
-    """EVA-4/6: every (ranker, k) of the grid. Vector hits are taken once at
-    the largest k and cut per k before fusion; text hits are shared."""
-    from ..operators.evaluate import metric_table
-    from ..operators import relevance as RR
-    from ..operators.rerank import rank_by
-    from ..operators.textsearch import fuse
-    from .search import score_candidates, text_hits, vector_hits
-    inp, idx = _search_inputs(spark, sf), _index(spark, sf)
-    vh = materialize(vector_hits(inp, _doc_vectors(spark, sf), max(GRID_KS), 64))
-    th = materialize(text_hits(inp, idx, 2))
-    src = S.table(spark, sf, "documents").select("doc_id", F.col("source").alias("page"))
-    from ..operators.evaluate import match_positions
-    truth = passage_truth(spark, sf)
-    tables = []
-    for k in GRID_KS:
-        fused = materialize(fuse(vh.filter(F.col("rank") <= k), th, k))
-        kept = materialize(RR.quorum_filter(RR.quorum_relevance(fused, inp.qterms, idx, "idf"), 0.0))
-        for rk in GRID_RANKERS:
-            if rk:
-                ranked = rank_by(score_candidates(kept, inp.qterms, idx, rk), "score", "fused_rank")
-            else:
-                ranked = rank_by(kept.withColumn("score", F.col("fused")), "score")
-            pos = match_positions(ranked.join(src, "doc_id"), truth)
-            tables.append(metric_table(pos).withColumn("ranker", F.lit(rk or "none")).withColumn("k", F.lit(k)))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out.select("ranker", "k", "metric", F.round("strong", 6).alias("strong"), F.round("light", 6).alias("light"))
+    """EVA-4/6 over every (ranker, k), through the one plan of ``grid``."""
+    from .grid import NONE, grid_metrics, grid_positions, rank_grid
+    names = {None: NONE, "bm25_proximity": "BM25", "idf": "Quorum"}
+    rows = [(i, names[r], NONE, 0.0, 1.0, k) for i, (r, k) in enumerate((r, k) for r in GRID_RANKERS for k in GRID_KS)]
+    configs = spark.createDataFrame(rows, "config_id int, ranker string, ranker2 string, threshold double, part double, k int")
+    ranked = rank_grid(_search_inputs(spark, sf), _index(spark, sf), _doc_vectors(spark, sf), configs)
+    pages = S.table(spark, sf, "documents").select("doc_id", F.col("source").alias("page"))
+    t = grid_metrics(grid_positions(ranked, passage_truth(spark, sf), pages, configs), configs)
+    shown = F.create_map(*[F.lit(x) for own, name in names.items() for x in (name, own or "none")])
+    return t.select(shown[F.col("ranker")].alias("ranker"), "k", "metric", F.round("strong", 6).alias("strong"),
+                    F.round("light", 6).alias("light"))
 
 
 def _doc_scores(spark, sf):

@@ -78,7 +78,7 @@ def vector_hits(inp: SearchInputs, doc_vectors: DataFrame, k: int, dim: int) ->
 
 
 def text_hits(inp: SearchInputs, index: CorpusIndex, depth: int) -> DataFrame:
-    return normalize_text_scores(relaxed_and_search(conditions(inp.words, depth), index))
+    return normalize_text_scores(relaxed_and_search(conditions(inp.words, depth), index.blocks))
 
 
 def fused_candidates(inp: SearchInputs, index: CorpusIndex, doc_vectors: DataFrame,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.blocks import TermBlocks
 from ..operators.index import CorpusIndex, query_terms
 from ..session import table_stamp
 from ..sources import tables as S
@@ -30,6 +31,10 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> CorpusIndex:
     return _CACHE[k]
 
 
+def term_blocks(spark: SparkSession, sf_dir: str) -> TermBlocks:
+    return corpus_index(spark, sf_dir).blocks
+
+
 def question_terms(spark: SparkSession, sf_dir: str, stop_list=()) -> DataFrame:
     k = _key(spark, sf_dir, "benchmark", "qt", stop_list)
     if k not in _CACHE:
