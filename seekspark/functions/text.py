@@ -86,6 +86,11 @@ def clean_string(c, stop_list: Iterable[str] = (), min_len: int = MIN_TOKEN_LEN,
     return F.array_join(clean_tokens(c, stop_list, min_len, max_len), " ")
 
 
+def whitespace_tokens(c) -> Column:
+    """TXT-8: the parts between runs of white space, none of them empty."""
+    return F.filter(F.split(_col(c), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+
+
 def word_count(c) -> Column:
     """TXT-16: ``len(s.split(' '))``; the empty string counts as 1."""
     return F.size(F.split(_col(c), " "))

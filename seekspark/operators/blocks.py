@@ -51,6 +51,11 @@ def bm25f_term(tf, dl, avgdl, df, n_docs) -> F.Column:
     return idf * (tf * (BM25F_K1 + 1)) / (tf + BM25F_K1 * ((1 - BM25F_B) + BM25F_B * dl / avgdl))
 
 
+def store_term(store, term) -> F.Column:
+    """A term as one of several stores knows it."""
+    return F.concat_ws(":", store.cast("string"), term)
+
+
 @dataclass
 class TermBlocks:
     blocks: DataFrame   # term, shard, block, size, top, docs, parts
@@ -61,8 +66,25 @@ class TermBlocks:
         avgdl = index.lengths.select(F.avg("dl")).scalar()
         part = bm25f_term(F.col("tf"), F.col("dl"), avgdl, F.col("df"), index.n_docs)
         rows = index.postings.select("doc_id", "term", "tf", "dl").join(index.dfs.select("term", "df"), "term")
+        return cls.of_parts(rows.select("term", "doc_id", "df", part.alias("part")), block, shard_docs)
+
+    @classmethod
+    def by_store(cls, index: CorpusIndex, store_of: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS) -> "TermBlocks":
+        """RNK-2: the blocks of several stores in one table. ``store_of``: ``(doc_id, store)``. A term is
+        ``<store>:<term>``; df, number of documents and mean length are those of the store."""
+        post = index.postings.select("doc_id", "term", "tf", "dl").join(store_of, "doc_id")
+        post = post.withColumn("term", store_term(F.col("store"), F.col("term")))
+        sizes = index.lengths.join(store_of, "doc_id").groupBy("store").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        rows = post.join(df, "term").join(F.broadcast(sizes), "store")     # a row for each store
+        part = bm25f_term(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("df"), F.col("n").cast("double"))
+        return cls.of_parts(rows.select("term", "doc_id", "df", part.alias("part")), block, shard_docs)
+
+    @classmethod
+    def of_parts(cls, rows: DataFrame, block: int, shard_docs: int) -> "TermBlocks":
+        """The store of ``(term, doc_id, df, part)`` rows."""
         shard = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / shard_docs)).cast("int")
-        rows = rows.select("term", shard.alias("shard"), "doc_id", part.alias("part"))
+        rows = rows.select("term", shard.alias("shard"), "doc_id", "part")
         place = F.row_number().over(Window.partitionBy("term", "shard").orderBy(F.col("part").desc(), "doc_id")) - 1
         made = rows.withColumn("block", F.floor(place / block).cast("int")).groupBy("term", "shard", "block").agg(
             F.array_sort(F.collect_list(F.struct((-F.col("part")).alias("p"), "doc_id"))).alias("x")).select(

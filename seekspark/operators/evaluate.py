@@ -149,6 +149,22 @@ def stage_report(timings: DataFrame, stage_col: str = "stage", sec_col: str = "s
         F.min(sec_col).alias("min"), F.max(sec_col).alias("max"))
 
 
+def score_and_time(positions: DataFrame, timings: DataFrame, metric_name: str = "inv_5", group_cols=("config_id",),
+                   query_col: str = "query_id", sec_col: str = "seconds") -> DataFrame:
+    """EVA-5: score and time of every configuration in one row. ``positions``: ``(group.., query, pos_strong,
+    pos_light)``; ``timings``: ``(group.., query, stage.., seconds)``, any number of stages for a question, which add up.
+
+    Returns ``(group.., n, strong, light, mean_seconds, std_seconds, n_timed)``: means of the metric over the questions and mean
+    and population deviation of the time over those that were timed."""
+    groups = list(group_cols)
+    spent = timings.groupBy(*groups, query_col).agg(F.sum(sec_col).alias("spent"))
+    both = positions.join(spent, groups + [query_col], "left")
+    return both.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(metric(metric_name, "pos_strong")).alias("strong"),
+        F.avg(metric(metric_name, "pos_light")).alias("light"), F.avg("spent").alias("mean_seconds"),
+        F.stddev_pop("spent").alias("std_seconds"), F.count("spent").alias("n_timed"))
+
+
 def stage_percentiles(timings: DataFrame, stage_col: str = "stage", sec_col: str = "seconds",
                       qs=(0.5, 0.9, 0.99)) -> DataFrame:
     """Approximate percentiles per stage (bounded memory per group, so a

@@ -19,9 +19,11 @@ from ..util import broadcast_if_small, materialize
 
 
 def doc_tokens(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-               stop_list=(), id_out: str = "doc_id") -> DataFrame:
-    """``(doc_id, tokens)`` with tokens = TXT-5 ``clean_string`` split."""
-    return docs.select(F.col(id_col).alias(id_out), clean_tokens(text_col, stop_list).alias("tokens"))
+               stop_list=(), id_out: str = "doc_id", preprocess=None) -> DataFrame:
+    """``(doc_id, tokens)`` with tokens = TXT-5 ``clean_string`` split, or what ``preprocess``
+    (text column -> array column, e.g. TXT-8 ``whitespace_tokens``) makes of the text."""
+    tokens = preprocess(F.col(text_col)) if preprocess else clean_tokens(text_col, stop_list)
+    return docs.select(F.col(id_col).alias(id_out), tokens.alias("tokens"))
 
 
 def token_rows(tokens: DataFrame, id_col: str = "doc_id", stem: bool = True, keep_empty: bool = False) -> DataFrame:
@@ -72,12 +74,12 @@ def doc_freq(post: DataFrame, n_docs) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str, stop_list=(), stem: bool = True,
-                materialized: bool = True) -> DataFrame:
+                materialized: bool = True, preprocess=None) -> DataFrame:
     """Query tokens with multiplicity: ``(query_id, term, mult, qlen)``.
 
     ``qlen`` is the length of the query token list (duplicates counted).
     The batch is materialized once: it is read by several joins."""
-    toks = doc_tokens(queries, text_col, id_col, stop_list, id_out="query_id")
+    toks = doc_tokens(queries, text_col, id_col, stop_list, id_out="query_id", preprocess=preprocess)
     rows = token_rows(toks, "query_id", stem)
     out = (rows.groupBy("query_id", "term")
            .agg(F.count(F.lit(1)).cast("int").alias("mult"), F.first("dl").cast("int").alias("qlen")))
@@ -104,11 +106,11 @@ class CorpusIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-              stop_list=(), stem: bool = True, materialized: bool = True) -> "CorpusIndex":
+              stop_list=(), stem: bool = True, materialized: bool = True, preprocess=None) -> "CorpusIndex":
         """Tokenise once; the postings (plus one null-term row per document
         without tokens, which carries its length 0) are materialized and
         every other store is derived from them."""
-        tok = doc_tokens(docs, text_col, id_col, stop_list)
+        tok = doc_tokens(docs, text_col, id_col, stop_list, preprocess=preprocess)
         raw = postings(tok, stem, keep_empty=True)
         if materialized:
             raw = materialize(raw)

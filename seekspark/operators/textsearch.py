@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..util import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialize, top_k
-from .blocks import TermBlocks, pairs
+from .blocks import TermBlocks, pairs, store_term
 from .index import doc_tokens, token_rows
 
 # Fixed values of the text index the reference queries: its default result
@@ -81,6 +81,24 @@ def relaxed_and_search(conds: DataFrame, blocks: TermBlocks, per_condition: int
     return ranked.select("query_id", "level", "start", "doc_id", "score", "hit_rank")
 
 
+def conditions_by_store(conds: DataFrame, stores: int) -> DataFrame:
+    """RNK-2: every condition asked of every store, in the store's own terms; ``query_id`` becomes
+    the struct ``(query_id, store)``, so that hits, limits and norms are those of one store."""
+    each = conds.withColumn("store", F.explode(F.sequence(F.lit(0), F.lit(stores - 1))))
+    return each.select(F.struct("query_id", "store").alias("query_id"), "level", "start",
+                       F.transform("terms", lambda t: store_term(F.col("store"), t)).alias("terms"))
+
+
+def sharded_text_search(conds: DataFrame, blocks: TermBlocks, stores: int, k: int) -> DataFrame:
+    """RNK-2 / SET-2 for text: ``(query_id, store, doc_id, text_score, store_rank)``, the ``int(k/stores)`` best
+    of every store by the sum of their normalised condition scores, ties by id. ``blocks`` is made by
+    ``TermBlocks.by_store``: each store scores with its own statistics."""
+    hits = normalize_text_scores(relaxed_and_search(conditions_by_store(conds, stores), blocks))
+    summed = hits.groupBy("query_id", "doc_id").agg(F.sum("text_score").alias("text_score"))
+    best = top_k(summed, ["query_id"], [F.round("text_score", 9).desc(), F.col("doc_id")], int(k / stores), "store_rank")
+    return best.select("query_id.query_id", "query_id.store", "doc_id", "text_score", "store_rank")
+
+
 def normalize_text_scores(hits: DataFrame, col: str = "score", out: str = "text_score") -> DataFrame:
     """RNK-5 per question: ``(s - min + 0.1) / (max - min + 0.5)``."""
     own = Window.partitionBy("query_id")      # a few hits for each condition of a question

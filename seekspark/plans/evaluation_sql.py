@@ -34,13 +34,18 @@ def _scored_by(p: str, cand: str, keys: str) -> list:
     ]
 
 
-def _grid_ctes() -> list:
+KS = "SELECT unnest([20, 50]) AS k"
+GRID = ("SELECT row_number() OVER () - 1 AS config_id, * FROM (SELECT unnest(['None', 'BM25', 'Quorum']) AS ranker), "
+        "(SELECT unnest(['None', 'BM25']) AS ranker2), (SELECT unnest([0.0, 0.3, 0.6])::DOUBLE AS threshold), "
+        "(SELECT unnest([0.1, 1.0])::DOUBLE AS part), ks")
+
+
+def grid_ctes(asked: list, ks: str = KS, grid: str = GRID) -> list:
+    """Everything up to the metric values ``mv``, for questions ``asked(item_id, file, text, doc_id, page)``."""
     base = [(n, q.replace("FROM benchmark", "FROM asked")) for n, q in _BASE_HEAD + TEXT + [x for x in HVEC if x[0] not in ("fu", "fk")]]
-    return _asked_sql() + base + [
-        ("ks", "SELECT unnest([20, 50]) AS k"),
-        ("grid", "SELECT row_number() OVER () - 1 AS config_id, * FROM (SELECT unnest(['None', 'BM25', 'Quorum']) AS ranker), "
-                 "(SELECT unnest(['None', 'BM25']) AS ranker2), (SELECT unnest([0.0, 0.3, 0.6])::DOUBLE AS threshold), "
-                 "(SELECT unnest([0.1, 1.0])::DOUBLE AS part), ks"),
+    return asked + base + [
+        ("ks", ks),
+        ("grid", grid),
         ("fu", "SELECT k, query_id, doc_id, sum(w) AS fused FROM (SELECT k, query_id, doc_id, 1.0 / (1.0 + 4.0 * d2 * d2) AS w "
                "FROM vtop, ks WHERE vr <= k UNION ALL SELECT k, query_id, doc_id, text_score AS w FROM tnorm, ks) GROUP BY ALL"),
         ("fk", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, query_id ORDER BY round(fused, 9) DESC, doc_id) "
@@ -87,8 +92,8 @@ def _grid_ctes() -> list:
 
 
 ORACLE = {
-    "evaluation_grid": ctes(_grid_ctes()) + "\nSELECT g.ranker, g.ranker2, g.threshold, g.part, g.k, metric, round(avg(s), 6) AS strong, "
+    "evaluation_grid": ctes(grid_ctes(_asked_sql())) + "\nSELECT g.ranker, g.ranker2, g.threshold, g.part, g.k, metric, round(avg(s), 6) AS strong, "
                        "round(avg(l), 6) AS light FROM (SELECT config_id, file, metric, avg(s) AS s, avg(l) AS l FROM mv GROUP BY ALL) m "
                        "JOIN grid g ON g.config_id = m.config_id GROUP BY ALL",
-    "styled_positions": ctes(_grid_ctes()) + "\nSELECT file, pos_strong, pos_light, count(*) AS n FROM mp GROUP BY ALL",
+    "styled_positions": ctes(grid_ctes(_asked_sql())) + "\nSELECT file, pos_strong, pos_light, count(*) AS n FROM mp GROUP BY ALL",
 }

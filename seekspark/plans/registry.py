@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, evaluation_sql, oracle, queries
+from . import evaluation, evaluation_sql, features, features_sql, oracle, queries
 
-QUERIES = {**queries.QUERIES, **evaluation.QUERIES}
-ORACLE = {**oracle.ORACLE, **evaluation_sql.ORACLE}
+QUERIES = {**queries.QUERIES, **evaluation.QUERIES, **features.QUERIES}
+ORACLE = {**oracle.ORACLE, **evaluation_sql.ORACLE, **features_sql.ORACLE}

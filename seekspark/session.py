@@ -76,6 +76,12 @@ def has_table(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getContentSummary(p).getFileCount() > 0
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether the job that wrote ``path`` came to its end: Spark then leaves a mark there."""
+    fs, p = _file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
 def table_stamp(spark: SparkSession, path: str) -> tuple:
     """Changes when a table is written again: newest modification time of the
     folder, its bytes and its files."""

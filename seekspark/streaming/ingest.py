@@ -22,18 +22,23 @@ from ..util import materialize
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
 
-def ingest_pages(pages: DataFrame, store_path: str) -> int:
-    """Batch step shared by the stream: pages -> new sections appended to
-    ``store_path`` (parquet). Returns the number of rows appended."""
-    spark = pages.sparkSession
-    keyed = materialize(pages.select("page_id", "url", "html").distinct()
-                        .withColumn("page_key", F.xxhash64("page_id", "url", "html")))
+def new_sections(pages: DataFrame) -> DataFrame:
+    """The sections of ``pages``, each with the ``page_key`` of its page: 128 bits of the whole page row, so
+    that among any number of pages two different ones don't share a key."""
+    key = F.md5(F.to_json(F.struct("page_id", "url", "html")))
+    keyed = materialize(pages.select("page_id", "url", "html").distinct().withColumn("page_key", key))
     # the section pipeline groups lines by page_id: here by the page's key
     body = keyed.select(F.col("page_key").alias("page_id"), "url", "html")
     heads = body.select("page_id", toc_headings("html").alias("headings")).filter(F.col("headings").isNotNull())
     sec = sections(page_lines(body), heads, stop_list=stop_words("russian")).withColumnRenamed("page_id", "page_key")
-    sec = sec.join(keyed.select("page_key", "page_id"), "page_key")
-    start = 0
+    return sec.join(keyed.select("page_key", "page_id"), "page_key")
+
+
+def ingest_pages(pages: DataFrame, store_path: str) -> int:
+    """Batch step shared by the stream: pages -> new sections appended to
+    ``store_path`` (parquet). Returns the number of rows appended."""
+    spark = pages.sparkSession
+    sec, start = new_sections(pages), 0
     if has_table(spark, store_path):
         store = spark.read.parquet(store_path)
         start = store.select(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
