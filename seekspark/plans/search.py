@@ -119,7 +119,8 @@ def search(questions: DataFrame, index: CorpusIndex, doc_vectors: DataFrame,
     if opt.ranker2:
         def second(c):
             return score_candidates(c, inp.qterms, index, opt.ranker2).withColumnRenamed("score", "score2")
-        out = cascade(ranked, "rank", second, opt.part).drop("rank").withColumnRenamed("final_rank", "rank")
+        first = ranked.select("query_id", "doc_id", "rank", "score")     # the second ranker makes columns of its own
+        out = cascade(first, "rank", second, opt.part).drop("rank").withColumnRenamed("final_rank", "rank")
     else:
         out = ranked
     return out.select("query_id", "doc_id", "rank", "score")
