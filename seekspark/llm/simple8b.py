@@ -38,9 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.evaluate import prefix_sums
 from ..session import scratch_path
 from . import tokens
-from .common import text_key, written
+from .common import small, text_key, written
 
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
@@ -191,8 +192,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
     ordered = (docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), text_key(F.col(text)).alias("key"))
                .repartitionByRange("id", "key").sortWithinPartitions("id", "key").select("id", "text"))
     files = written(ordered.mapInArrow(write, "task long, part long, file string, n_docs long, n_ids long"), "manifest")
-    earlier = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    return files.withColumn("first", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
+    # ids of all tasks before, from a row for each task, and of the files before in the task
+    tasks = prefix_sums(files.groupBy("task").agg(F.sum("n_ids").alias("n")), "task", ["n"])
+    earlier = Window.partitionBy("task").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = files.withColumn("own", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
+    before = small(written(tasks.select("task", (F.col("cum_n") - F.col("n")).alias("before")), "token-tasks"))
+    return written(own.join(before, "task").select(*files.columns, (F.col("before") + F.col("own")).alias("first")), "manifest")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
@@ -215,9 +220,10 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                             pa.array([rest[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())],
                             names=["doc_id", "start", "ids"])
                         at, done, rest = to, done + cuts[-1] // 4, rest[cuts[-1]:]
-    # the window above leaves the few rows in one partition: deal the files out again
+    # a number of its own for the partitions: Spark would put the few small rows of the manifest into one
     rows = manifest.select("file", "first", "task", "part")
-    return rows.repartition("task", "part").mapInArrow(read, "doc_id long, start long, ids binary")
+    readers = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(readers, "task", "part").mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def token_folder(spark) -> str:

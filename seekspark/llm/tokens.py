@@ -2,8 +2,8 @@
 
 The tokenizers used here treat the parts of a text between white space
 independently, and in them the words that their pre-tokenizer finds. So the ids
-of a text are those of its words in a row. Each worker keeps the ids of the
-pieces and words it has met, up to the bounds below (then it starts anew), and
+of a text are those of its words in a row. Each worker numbers the pieces it
+meets and keeps their ids, up to the bounds below (then it starts anew), and
 asks the library only for others. A text that holds a special token's string
 goes to the library whole.
 """
@@ -13,17 +13,18 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
 MOST_PIECES = 200_000
-MOST_WORDS = 300_000
+MOST_CHARS = 8 << 20  # of the pieces kept
+MOST_WORDS = 100_000  # of pieces that are more than a word
 GROUP_CHARS = 1 << 20  # of texts that are looked up together
-LONGEST = 64  # characters of a piece or word that is kept
+LONGEST = 64  # characters of a word that is kept
 
 # White space as the pre-tokenizers see it (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -77,40 +78,9 @@ def _byte_pieces(text: str) -> list[str]:
     return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
 
-class Known:
-    """What was found lately, in two generations of ``most`` entries: what is still in
-    use when the younger one fills up lives on."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old, self.long = most, {}, {}, []
-
-    def missing(self, parts) -> list[str]:
-        """Those of ``parts`` not known; all others are then in the younger generation."""
-        young, old, out = self.young, self.old, []
-        for part in set(parts).difference(young):
-            found = old.get(part)
-            if found is None:
-                out.append(part)
-            else:
-                young[part] = found
-        return out
-
-    def add(self, parts: list[str], found: list[bytes]) -> dict:
-        """The younger generation with ``found`` added; call ``trim`` when done with it."""
-        self.young.update(zip(parts, found))
-        self.long += [p for p in parts if len(p) > LONGEST]
-        return self.young
-
-    def trim(self) -> None:
-        for part in self.long:
-            self.young.pop(part, None)
-        self.long = []
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-
-
 class _Known(dict):
-    """The same for parts that are found one at a time."""
+    """What was found lately for parts that are found one at a time, in two generations of ``most`` entries:
+    what is still in use when the younger one fills up lives on."""
 
     def __init__(self, most: int, find):
         self.most, self.find, self.old = most, find, {}
@@ -128,7 +98,10 @@ class _Known(dict):
 
 
 class Pieces:
-    """Ids of texts, as little-endian unsigned 32-bit integers."""
+    """Ids of texts, as little-endian unsigned 32-bit integers.
+
+    Every piece met gets a number; the ids of all numbered pieces stand in one array,
+    so the ids of a text are gathered from it by the numbers of its pieces."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
@@ -136,31 +109,57 @@ class Pieces:
         # One vocabulary drops white space and case, the other keeps both.
         self.drops_white = not self.tokenizer.encode(" ", add_special_tokens=False).ids
         self.model = self.tokenizer.model
-        self.words, self.pieces = Known(MOST_WORDS), Known(MOST_PIECES)
+        self.words: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.first, self.size, self.uses, self.flat = (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint32))
+        self.chars = 0
+
+    def _trim(self) -> None:
+        """Forget the pieces met once, or all if those are few."""
+        often = np.flatnonzero((self.uses > 1) & (self.size <= LONGEST))
+        if len(often) > MOST_PIECES // 2:
+            return self._forget()
+        names, size = list(self.number), self.size[often]
+        at = np.repeat(self.first[often] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        flat = self.flat[at]
+        self._forget()
+        for i in often.tolist():
+            self.chars += len(names[i])
+            self.number[names[i]]
+        self.first, self.size, self.uses, self.flat = np.cumsum(size) - size, size, np.zeros(len(often), np.int64), flat
 
     def of(self, text: str) -> bytes:
         """Straight from the library."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str) -> list[int]:
         """Ids of one word as the pre-tokenizer cuts it, from the library's model alone."""
-        symbols = word.encode().decode("latin1").translate(BYTE_SYMBOLS)
-        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-
-    def _split(self, piece: str) -> list[str] | None:
-        if not piece.isascii() and _OTHER.search(piece):
-            return None
-        return _WORDS.findall(piece.lower()) if self.drops_white else _BYTE_WORDS.findall(piece)
-
-    def _learn(self, parts) -> dict:
-        """Ids of all pieces in ``parts`` and of others."""
-        new = self.pieces.missing(parts)
-        split = [self._split(p) for p in new]
-        words = self.words.missing(chain.from_iterable(w for w in split if w is not None))
-        known = self.words.add(words, list(map(self._word, words)))
-        found = [self.of(p) if w is None else b"".join([known[x] for x in w]) for p, w in zip(new, split)]
-        self.words.trim()
-        return self.pieces.add(new, found)
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin1").translate(BYTE_SYMBOLS))]
+
+    def _find(self, piece: str) -> list[int]:
+        """Ids of a piece. One of letters alone, with or without its blank, is a word."""
+        low = piece.lower() if self.drops_white else piece
+        if not low.isascii() and _OTHER.search(piece):
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        letters = low[1:] if low[:1] == " " else low
+        if letters.isalpha():
+            if letters.isascii():  # the symbols of ASCII letters are these letters
+                return [t.id for t in self.model.tokenize(low if letters is low else BYTE_SYMBOLS[32] + letters)]
+            if not _OTHER.search(letters):
+                return self._word(low)
+        out = []
+        for word in (_WORDS if self.drops_white else _BYTE_WORDS).findall(low):
+            found = self.words.get(word)
+            if found is None:
+                found = self._word(word)
+                if len(word) <= LONGEST:
+                    self.words[word] = found
+            out += found
+        return out
 
     def parts(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ") if self.drops_white else _byte_pieces(text)
@@ -170,18 +169,46 @@ class Pieces:
         group, size = [], 0
         for text in texts:
             whole = bool(text) and any(s in text for s in self.specials)
-            group.append(self.of(text) if whole else self.parts(text) if text else [])
+            group.append(self.of(text) if whole else self._numbers(text) if text else b"")
             size += len(text or "")
             if size >= GROUP_CHARS:
                 yield from self._flush(group)
                 group, size = [], 0
         yield from self._flush(group)
 
-    def _flush(self, group: list) -> Iterator[bytes]:
-        known = self._learn(chain.from_iterable(g for g in group if isinstance(g, list)))
-        out = [g if isinstance(g, bytes) else b"".join(map(known.__getitem__, g)) for g in group]
-        self.pieces.trim()
-        return iter(out)
+    def _numbers(self, text: str) -> np.ndarray:
+        parts = self.parts(text)
+        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+
+    def _learn(self) -> None:
+        """Ids of the pieces that were numbered last."""
+        new = list(islice(self.number, len(self.size), None))
+        found = list(map(self._find, new))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.first = np.append(self.first, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.uses = np.append(self.uses, np.zeros_like(size))
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+        self.chars += sum(map(len, new))
+        if len(self.words) > MOST_WORDS:
+            self.words.clear()
+
+    def _flush(self, group: list) -> list[bytes]:
+        self._learn()
+        numbered = [g for g in group if not isinstance(g, bytes)]
+        if numbered:
+            self.uses += np.bincount(np.concatenate(numbered), minlength=len(self.uses))
+        out = []
+        for ids in group:
+            if not isinstance(ids, bytes):
+                n = self.size[ids]
+                ends = np.cumsum(n)
+                at = np.repeat(self.first[ids] - (ends - n), n) + np.arange(ends[-1])
+                ids = self.flat[at].astype("<u4", copy=False).tobytes()
+            out.append(ids)
+        if len(self.number) > MOST_PIECES or self.chars > MOST_CHARS:
+            self._trim()
+        return out
 
     def ids(self, text: str | None) -> bytes:
         return next(self.all_ids([text]))

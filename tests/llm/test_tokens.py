@@ -105,3 +105,18 @@ def test_no_token_files(spark):
     folder = S.token_folder(spark)
     manifest = S.write_tokens(cases.empty(spark), folder, tokens.vocabulary(S.VOCABULARY))
     assert S.read_tokens(manifest, folder).count() == 0
+
+
+def test_files_are_read_by_several_tasks_and_follow_each_other(spark, monkeypatch):
+    monkeypatch.setattr(S, "FILE_IDS", 300)
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i % 7)) for i in range(400)], "doc_id long, text string")
+    folder = S.token_folder(spark)
+    files = S.write_tokens(docs, folder, tokens.vocabulary(S.VOCABULARY))
+    rows = files.orderBy("task", "part").collect()
+    assert len(rows) > 8 and [r["first"] for r in rows] == np.cumsum([0] + [r.n_ids for r in rows])[:-1].tolist()
+    out = S.read_tokens(files, folder)
+    from pyspark.sql import functions as F
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    got = out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n")).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == list(range(400))
+    assert [r["start"] for r in got] == np.cumsum([0] + [r.n for r in got])[:-1].tolist()
