@@ -1,17 +1,21 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that each block element, and each ``<br>``, is a line.
-The length of a line is that of its text outside links; lines in containers
-that hold no article by their element or their class and id words (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments; never
-what stands around a main element or around the article), and, on
-a page that marks an article, lines outside it have length 0. The line-block
-distribution is the sum of the lengths over ``WINDOW`` lines from each line on.
-It surges where a sum rises over the threshold and dives where it falls to 0;
-all lines of non-zero length from a surge to its dive are kept. Where the page
-marks its article the threshold is 0, so that short paragraphs and headings
-count; elsewhere a stretch must reach ``THRESHOLD`` characters in some window,
-or, where none does, as many as the best one.
+The length of a line is
+that of its text outside links. Lines in containers that hold no article by their
+element or their class and id words (menus, headers, footers, sidebars, notices,
+adverts, forms, reader comments; never what stands around a main element or around
+the article) have length 0. The line-block distribution is the sum of the weights
+over ``WINDOW`` lines from each line on. It surges where a sum rises over 0 and dives where
+it falls back; a stretch from a surge to its dive is kept if some sum in it reaches
+``THRESHOLD``, or, where none does, as much as the best one.
+
+The weight of a line is its length and what the page's own mark adds: lines in a
+marked article gain ``THRESHOLD``, so that short paragraphs and headings
+surge by themselves, and lines outside it lose all. The distribution decides
+whether the mark is believed: if the marked lines hold less than one part in ``DOUBT``
+of the text that would be kept without it (cards that tease other pages, say), it counts for nothing. A line of
+link text alone has no weight, but it is kept where it is a paragraph in a kept stretch.
 
 Cases: a null, empty or text-free page has the empty text; elements left open
 end with the next that closes around them, a skipped container that is never
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 THRESHOLD = 80
+DOUBT = 5
 
 _ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>])" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)"
@@ -53,7 +58,12 @@ SKIPPED_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising
 ADVERT_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising consent cookie cookies gdpr newsletter outbrain
     paywall promo promoted share sharing signup sponsor sponsored subscribe taboola""".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dl dt dd ol ul li table tbody tr td th".split())
+# Words that go with one of ``SKIPPED_WORDS`` in the name of a container; any other tells a topic (share-price).
+LAYOUT_WORDS = frozenset("""area articles bar block body bottom box button buttons col column container content feed form group holder icon icons
+    inline inner item items label left link links list module outer panel placeholder post posts region right row section side site
+    slot stories text thread title top unit wrap wrapper zone""".split())
 MODIFIERS, WRAPPERS = frozenset("with without has no".split()), frozenset("wrap wrapper".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd td".split())
 ARTICLE_ROLES = frozenset(("article", "main"))
 
 
@@ -85,13 +95,16 @@ def _marked_out(name: str, attributes: str, inside: bool) -> bool:
     """Whether class, id or role say that the element is no text of the article.
 
     Names that tell of the layout around (``with-sidebar``, ``content-sidebar-wrap``) don't; inside an article the id
-    of a heading doesn't, that of a section if all its words do (``related-work`` is a topic), or in a div one of ``ADVERT_WORDS``."""
+    of a heading doesn't, that of a section if all its words do (``related-work`` is a topic), or in a div one of
+    ``ADVERT_WORDS``, and a name with a word of its own beside (``share-price``) tells a topic too."""
     for kind, value in _NAMES.findall(attributes):
         for token in value.strip("\"'").split():
             parts = [w.lower() for w in _PARTS.findall(token)]
             found = SKIPPED_WORDS.intersection(parts)
             if not found or parts[0] in MODIFIERS or parts[-1] in WRAPPERS and parts[0] not in SKIPPED_WORDS:
                 continue
+            if inside and not all(w in SKIPPED_WORDS or w in LAYOUT_WORDS or w.isdigit() for w in parts):
+                continue
             if inside and name in TEXT_BLOCKS and (kind.lower() == "id" and name[0] == "h" or not found & ADVERT_WORDS):
                 continue
             if inside and kind.lower() == "id" and name in ("section", "div") and not SKIPPED_WORDS.issuperset(parts) and (
@@ -127,8 +140,8 @@ def _holding(tags: list[re.Match]) -> tuple[set[int], set[int]]:
     return around(mains), around(articles)
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """``(text, length outside links, in an article)`` of each line, and whether the page marks an article."""
+def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
+    """``(text, length outside links, in an article, a paragraph)`` of each line, and whether the page marks an article."""
     page = _without_raw(page)
     tags = list(_TAG.finditer(page))
     with_main, with_article = _holding(tags)
@@ -136,9 +149,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     for m in tags:
         if m[1]:
             closes[m[2].lower()] = m.start()  # of the last one
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     plain, links, article, marked = 0, 0, 0, False
+    block = ""  # element that the line stands in
     skip, depth, loose = "", 0, False  # element skipped, how deep in its like, whether it is never closed
 
     def end_line():
@@ -146,7 +160,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         line = " ".join(html.unescape("".join(text)).split())
         # text in links alone counts only inside an article
         if line:
-            lines.append((line, len(line) if plain or article else 0, article > 0))
+            lines.append((line, len(line) if plain or article else 0, article > 0, block in PARAGRAPHS))
         text.clear()
         plain = 0
     at = 0
@@ -163,7 +177,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 depth += -1 if closing else 1
             if depth == 0 or loose and name in BLOCKS and m.start() > start:
                 skip = ""
-                lines.append(("", 0, False))
+                lines.append(("", 0, False, False))
             if skip or depth == 0:
                 continue
         if name == "a":
@@ -171,6 +185,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if name not in BLOCKS:
             continue
         end_line()
+        block = "" if closing else name if name != "br" else block
         if closing:
             if name in ARTICLE_ROLES and article:
                 article -= 1
@@ -193,20 +208,40 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return lines, marked
 
 
-def main_text(page: str | None) -> str:
-    lines, marked = lines_of(page or "")
-    lengths = [n if inside or not marked else 0 for _, n, inside in lines]
-    sums = [sum(lengths[i:i + WINDOW]) for i in range(len(lengths))]
-    stretches, at = [], 0
+def stretches(weights: list[int]) -> list[tuple[int, int, int]]:
+    """``(largest window sum, surge, dive)`` of each stretch of the distribution."""
+    sums = [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
+    found, at = [], 0
     while at < len(sums):
         dive = at  # of the stretch that surges at ``at``
-        while dive < len(sums) and lengths[at] and sums[dive]:
+        while dive < len(sums) and weights[at] and sums[dive]:
             dive += 1
         if dive > at:
-            stretches.append((max(sums[at:dive]), at, dive))
+            found.append((max(sums[at:dive]), at, dive))
         at = max(dive, at + 1)
-    least = 0 if marked else min(THRESHOLD, max((s for s, _, _ in stretches), default=0))
-    return "\n".join(lines[i][0] for s, at, dive in stretches if s >= least for i in range(at, dive) if lengths[i])
+    return found
+
+
+def kept_lines(lines: list[tuple[str, int, bool, bool]], weights: list[int]) -> list[int]:
+    """Lines of the stretches that are kept: those of any weight, and paragraphs of none between such lines."""
+    found = stretches(weights)
+    least = min(THRESHOLD, max((s for s, _, _ in found), default=0))
+    return [i for s, at, dive in found if s >= least for i in range(at, dive)
+            if weights[i] or lines[i][0] and lines[i][3] and any(weights[i:dive])]
+
+
+def main_text(page: str | None) -> str:
+    lines, marked = lines_of(page or "")
+    lengths = [n for _, n, _, _ in lines]
+    kept = None
+    if marked:
+        without_mark = kept_lines(lines, lengths)
+        inside = sum(n for _, n, own, _ in lines if own)
+        if inside * DOUBT >= sum(lengths[i] for i in without_mark):
+            kept = kept_lines(lines, [n + THRESHOLD if n and own else 0 for _, n, own, _ in lines])
+        elif inside:
+            kept = without_mark
+    return "\n".join(lines[i][0] for i in (kept_lines(lines, lengths) if kept is None else kept))
 
 
 def extract(page: Column) -> Column:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from seekspark.llm import lineblock as B
@@ -95,6 +96,79 @@ def test_head_and_embedded_elements_without_a_close():
         assert B.main_text("<html><body>" + story % inside + "<svg><text>x</text></svg>") == "one\ntwo three\nfour", inside
 
 
+def test_names_with_a_topic_and_paragraphs_of_links():
+    for inside in ('<div class="share-price">%s</div>', '<div class="comments-analysis">%s</div>', '<section class="social-history">%s</section>',
+                   '<div id="reply-letters">%s</div>', '<p><a href="/x">%s</a></p>', '<ul><li><a href=x>%s</a></li></ul>', "<pre>%s</pre>"):
+        assert B.main_text(PAGE % f"<article><p>a</p>{inside % 'kept'}<p>b</p></article>") == "a\nkept\nb", inside
+    for inside in ('<div class="share-buttons">%s</div>', '<div class="comment-list">%s</div>', '<div class="related-posts">%s</div>',
+                   '<div class="ad-slot-2">%s</div>', '<section id="comments">%s</section>'):
+        assert B.main_text(PAGE % f"<article><p>a</p>{inside % 'gone'}<p>b</p></article>") == "a\nb", inside
+    long = "A sentence that belongs to the story and is told at some length here, with more to come."
+    story = f"<div><p>{long}</p><p><a href='/s'>A paragraph that is a link.</a></p><p>{long}</p></div>"
+    assert B.main_text(PAGE % story) == f"{long}\nA paragraph that is a link.\n{long}"
+    assert "Home" not in B.main_text(PAGE % f"<p><a href=x>Home</a></p>{story}<p><a href=y>Home again</a></p>")
+    assert B.main_text("<article><pre>a  b\n c</pre></article>") == "a b c"
+
+
+def test_the_distribution_decides_whether_a_mark_is_believed():
+    """A page whose article elements are cards for other pages, and one whose article is short."""
+    long = "A sentence that belongs to the story and is told at some length here, with more to come. "
+    body = f"<div><h1>Head</h1>{'<p>' + long * 3 + '</p>'}{'<p>' + long * 4 + '</p>'}<p>End.</p></div>"
+    cards = "".join(f"<article><h3>Card {i}</h3></article>" for i in range(4))
+    assert B.main_text(f"<body>{body}<div><div>{cards}</div></div>").startswith("Head\n" + (long * 3).strip())
+    assert "End." in B.main_text(f"<body>{body}<div><div>{cards}</div></div>")
+    assert B.main_text(f"<body><div>{long}</div><article><p>Short story of a few words here.</p></article>") == "Short story of a few words here."
+    assert B.main_text(f"<body>{body}<article></article>").startswith("Head\n")
+
+
+def _plain(page):
+    """The text of article elements by the standard parser: blocks on lines, no advert boxes, no scripts."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.lines, self.line, self.inside, self.dead = [], [], 0, []
+
+        def flush(self):
+            text = " ".join("".join(self.line).split())
+            self.lines += [text] if text else []
+            self.line = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in B.BLOCKS:
+                self.flush()
+            self.inside += tag == "article"
+            if self.dead or tag in ("script", "style", "aside", "nav", "form") or dict(attrs).get("class") in ("ad", "share", "comments"):
+                if tag not in B.VOID:
+                    self.dead.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in B.BLOCKS:
+                self.flush()
+            self.inside -= tag == "article" and self.inside > 0
+            if self.dead and self.dead[-1] == tag:
+                self.dead.pop()
+
+        def handle_data(self, data):
+            if self.inside and not self.dead:
+                self.line.append(data)
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.flush()
+    return "\n".join(reader.lines)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pages_against_a_plain_parser(sf):
+    import pyarrow.parquet as pq
+    pages = pq.read_table(f"/root/testdata/{sf}/pages.parquet").to_pylist()
+    assert len(pages) >= 50
+    for p in pages:
+        assert B.main_text(p["html"]) == _plain(p["html"]), p["page_id"]
+
+
 def test_extract_column(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "<article><p>a</article>", "t"), (2, "<article><p>a</article>", "t")],
                                   "page_id long, html string, text string")
