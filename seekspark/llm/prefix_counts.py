@@ -67,9 +67,7 @@ class Vocabulary:
                 last = self.last_merge([*body[:-1], body[-1] + end] if t != body else list(body))
                 if last is not False:
                     self.halves[t] = last
-        self.open_tokens = {t for t in self.halves if not t.endswith(end)}
-        self.closed_tokens = {t.removesuffix(end) for t in self.halves if t.endswith(end)}
-        self.longest = max(map(len, self.open_tokens | self.closed_tokens))
+        self.trie = self._trie()
         self.right_edges: dict[str, list] = {}
         self.left_edges: dict[str, list] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -121,31 +119,45 @@ class Vocabulary:
             self.pairs[key] = found
         return found
 
+    def _trie(self) -> dict:
+        """Tokens by their characters; under "" the token that is open there and the one that is closed."""
+        root: dict = {}
+        for t in self.halves:
+            node = root
+            for c in t.removesuffix(self.end):
+                node = node.setdefault(c, {})
+            at = node.setdefault("", [None, None])
+            at[t.endswith(self.end)] = t
+        return root
+
     def prefix_counts(self, word: str) -> list[int]:
-        """Token count of each prefix of ``word`` (in byte symbols), the text ending there."""
-        last, count, closed = [""], [0], []
-        open_tokens, closed_tokens, end = self.open_tokens, self.closed_tokens, self.end
-        known, get_on = self.pairs.get, self.get_on
-        for i in range(1, len(word) + 1):
-            token, n, total = None, 0, 0
-            for start in range(max(0, i - self.longest), i):
-                t = word[start:i]
-                if token is None and t in open_tokens:
-                    before = last[start]
-                    if not start or (known((before, t)) if (before, t) in self.pairs else get_on(before, t)):
-                        token, n = t, count[start] + 1
-                        if total:
-                            break
-                if not total and t in closed_tokens:
-                    before, t = last[start], t + end
-                    if not start or (known((before, t)) if (before, t) in self.pairs else get_on(before, t)):
-                        total = count[start] + 1
-                        if token is not None:
-                            break
-            last.append(token)
-            count.append(n)
-            closed.append(total)
-        return closed
+        """Token count of each prefix of ``word`` (in byte symbols), the text ending there.
+
+        From each place on, the trie gives the tokens that start there; the one that gets on with the
+        last token before is the last token of the prefix it ends."""
+        size = len(word)
+        last, count, closed = [None] * (size + 1), [0] * (size + 1), [0] * (size + 1)
+        known, get_on, trie = self.pairs, self.get_on, self.trie
+        for start in range(size):
+            before, n, node = last[start], count[start] + 1, trie
+            for i in range(start, size):
+                node = node.get(word[i])
+                if node is None:
+                    break
+                found = node.get("")
+                if found is None:
+                    continue
+                i += 1
+                t, whole = found
+                if t is not None and last[i] is None:
+                    on = not start or known.get((before, t))
+                    if on or on is None and get_on(before, t):
+                        last[i], count[i] = t, n
+                if whole is not None and not closed[i]:
+                    on = not start or known.get((before, whole))
+                    if on or on is None and get_on(before, whole):
+                        closed[i] = n
+        return closed[1:]
 
 
 def _steps(counts: list[int]) -> bytes:
@@ -218,18 +230,26 @@ def counts_of(table: bytes) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.frombuffer(table, np.int8), dtype=np.int64)])
 
 
-def prefix_tables(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``(doc_id, n_bytes, n_tokens, prefix_steps)``; ``n_tokens`` is the count of the longest prefix."""
+def _within(table: bytes, budget: int) -> int:
+    """Characters of the longest prefix of at most ``budget`` tokens."""
+    return int(np.flatnonzero(counts_of(table) <= budget)[-1])
+
+
+def prefix_tables(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", budget: int = LIMIT) -> DataFrame:
+    """``(doc_id, n_bytes, n_tokens, within, prefix_steps)``; ``n_tokens`` is the count of the longest prefix, ``within`` the
+    characters of the longest prefix of at most ``budget`` tokens."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_bytes", T.LongType()),
-                           T.StructField("n_tokens", T.LongType()), T.StructField("prefix_steps", T.BinaryType())])
+                           T.StructField("n_tokens", T.LongType()), T.StructField("within", T.LongType()),
+                           T.StructField("prefix_steps", T.BinaryType())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
 
         def out(batch, first, sizes, tables):
             totals = [int(np.frombuffer(t, np.int8).sum(dtype=np.int64)) for t in tables]
+            fits = [_within(t, budget) for t in tables]
             return pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(tables)), pa.array(sizes, pa.int64()),
-                                               pa.array(totals, pa.int64()), pa.array(tables, pa.binary())],
+                                               pa.array(totals, pa.int64()), pa.array(fits, pa.int64()), pa.array(tables, pa.binary())],
                                               names=[f.name for f in schema])
         for batch in batches:
             first, sizes, tables, held = 0, [], [], 0
@@ -258,5 +278,5 @@ def chars_within(steps: Column, budget: int) -> Column:
     """Characters of the longest prefix of at most ``budget`` tokens."""
     @F.pandas_udf("long")
     def udf(s: pd.Series) -> pd.Series:
-        return pd.Series([int(np.flatnonzero(counts_of(t) <= budget)[-1]) for t in s], dtype="int64")
+        return pd.Series([_within(t, budget) for t in s], dtype="int64")
     return udf(steps)

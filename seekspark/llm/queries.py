@@ -41,10 +41,11 @@ def op4_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token count of every document and whether it is over the limit."""
+    """Token count of every document, whether it is over the limit, and how many of its characters are not."""
     out = prefix_counts.prefix_tables(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                       tokens.vocabulary(prefix_counts.VOCABULARY))
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > prefix_counts.LIMIT).alias("over_limit"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > prefix_counts.LIMIT).alias("over_limit"),
+                      F.col("within").alias("chars_within_limit"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

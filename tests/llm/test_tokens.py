@@ -120,3 +120,20 @@ def test_files_are_read_by_several_tasks_and_follow_each_other(spark, monkeypatc
     got = out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n")).orderBy("doc_id").collect()
     assert [r.doc_id for r in got] == list(range(400))
     assert [r["start"] for r in got] == np.cumsum([0] + [r.n for r in got])[:-1].tolist()
+
+
+def test_characters_within_the_limit(spark):
+    """The query's truncation answer against encoding the cut text anew."""
+    from seekspark.llm import queries
+    from tests.conftest import SF001
+    library = tokens.load(tokens.vocabulary(C.VOCABULARY))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").collect()}
+    cut = 0
+    for r in queries.op5_prefix_counts(spark, SF001).collect():
+        text = texts[r.doc_id] or ""
+        n = len(library.encode(text[:r.chars_within_limit], add_special_tokens=False).ids)
+        assert n <= C.LIMIT and (r.chars_within_limit == len(text)) == (not r.over_limit)
+        if r.over_limit:
+            cut += 1
+            assert n == C.LIMIT and len(library.encode(text[:r.chars_within_limit + 1], add_special_tokens=False).ids) > C.LIMIT
+    assert cut > 0
