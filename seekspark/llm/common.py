@@ -41,6 +41,16 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(slow)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whole, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as the struct ``row``: whatever their names, they meet no other column."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row")
+
+
 def text_key(text: Column) -> Column:
     """64-bit key of a text; with doc_id it tells rows apart whose doc_id is repeated."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

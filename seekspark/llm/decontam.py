@@ -26,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, small, split_words, text_key, written
+from .common import let, lower_ascii, quoted, small, split_words, text_key, whole_row, written
 
 WINDOW = 10
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-# Runs of the benchmark beyond which the join shuffles; a run has some twenty words around it.
+# Runs of the benchmark, and bytes of the words around them (of any length in texts without blanks), beyond
+# which the join shuffles.
 BROADCAST_RUNS = 200_000
+BROADCAST_RUN_BYTES = 128 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -90,13 +92,14 @@ def hits(docs: DataFrame, texts: DataFrame, text: str = "text", doc_id: str = "d
                                    F.col("run.around").alias("b_around")), "benchmark-runs")
 
     rows = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), words_of(F.col(text)).alias("words"))
-    shuffled = places.count() > BROADCAST_RUNS
+    size = places.agg(F.count("*").alias("runs"), F.sum(F.octet_length("b_around") + 40).alias("bytes")).first()
+    shuffled = size["runs"] > BROADCAST_RUNS or size["bytes"] > BROADCAST_RUN_BYTES
     first = F.array(F.struct(*blank))
     own = F.concat(F.slice(first, 1, 0) if shuffled else first, *[_runs(F.col("words"), n, _shape(n)[1] + 1) for n in lengths])
     own = rows.select("id", "key", F.size("words").cast("long").alias("n_words"), own.alias("runs"))
     met = (own.select("id", "key", "n_words", F.explode_outer("runs").alias("run"))  # never empty; explode would test that with the runs built twice
            .select("id", "key", "n_words", "run.*")
-           .join(small(places, BROADCAST_RUNS), ["length", "hash"]))
+           .join(places if shuffled else F.broadcast(places), ["length", "hash"]))
 
     k = F.expr("(length + 1) DIV 2").cast("int")
     side = F.col("length") - k
@@ -150,7 +153,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, how: str = "documents") ->
     without the words hit and the separators before them (``how="spans"``)."""
     texts = benchmark_texts(bench)
     found = written(hits(docs, texts).filter(F.size("spans") > 0).select("id", "key", "spans"), "contaminated")
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(whole_row(docs))
     rows = rows.select("row", F.col("row.doc_id").alias("id"), text_key(F.col("row.text")).alias("key")).alias("r")
     match = F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col("r.key") == F.col("c.key"))
     if how == "documents":
@@ -164,4 +167,4 @@ def decontaminate(docs: DataFrame, bench: DataFrame, how: str = "documents") ->
     clean = F.concat(let(parts, lambda p: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(p) - 1), hit), lambda i: F.get(p, i)), "")), tail)
     return cut.select(*[F.when(F.col("spans").isNull(), body).otherwise(clean).alias(c) if c == "text"
-                        else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+                        else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_row, written
 
 SHARDS = 40
 ROW_BYTES = 16
@@ -125,7 +125,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, t
     def find(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         cell = np.searchsorted(edges, _image(a.to_numpy(np.int64), b.to_numpy(np.int64)), side="right")
         return pd.DataFrame({"range": cell.astype(np.int32), "start": start[cell]})
-    rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", *key("row."))
+    rows = docs.select(whole_row(docs)).select("row", *key("row."))
     rows = rows.withColumn("found", find("a", "b")).select("row", "size", "a", "b", "found.range", "found.start")
     place = F.row_number().over(Window.partitionBy("range").orderBy("a", "b")) - 1
     return rows.select("row", "size", F.expr(f"range DIV {per_shard}").cast("int").alias("shard"),

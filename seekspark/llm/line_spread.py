@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import SPACE, let, small, text_key, written
+from .common import SPACE, let, quoted, small, text_key, whole_row, written
 
 MIN_WORDS = 4
 MIN_SITES = 8
@@ -93,20 +93,27 @@ def strip_boilerplate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     if long_sites is not None:
         boilerplate = written(boilerplate.unionByName(spread_long_lines(docs, lines, long_sites, text))
                               .dropDuplicates(["hash"]), "all-boilerplate")
-    gone = (lines.join(small(boilerplate), "hash")
-            .filter(~F.struct("id", "key", "pos").eqNullSafe(F.col("first")))
-            .groupBy("id", "key").agg(F.collect_set("pos").alias("gone")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    rows = rows.select("row", F.col(f"row.{doc_id}").alias("id"), text_key(F.col(f"row.{text}")).alias("key"))
-    rows = rows.alias("r").join(gone.alias("g"), F.col("r.id").eqNullSafe(F.col("g.id"))
-                                & (F.col("r.key") == F.col("g.key")), "left")
-    body, parts = F.col(f"row.{text}"), F.split(F.col(f"row.{text}"), "\n")
-    stripped = let(parts, lambda p: F.array_join(F.transform(
+    gone = written(lines.join(small(boilerplate), "hash")
+                   .filter(~F.struct("id", "key", "pos").eqNullSafe(F.col("first")))
+                   .groupBy("id", "key").agg(F.collect_set("pos").alias("gone")), "gone-lines")
+    rows = docs.select(whole_row(docs))
+    rows = rows.select("row", F.col(f"row.{text}").alias("body"), F.col(f"row.{doc_id}").alias("id"),
+                       text_key(F.col(f"row.{text}")).alias("key")).alias("r")
+
+    def match(side: str):
+        return F.col("r.id").eqNullSafe(F.col(f"{side}.id")) & (F.col("r.key") == F.col(f"{side}.key"))
+    # only texts that lose a line meet their lines; where these are few, the others are not moved
+    touched = small(gone.select("id", "key")).alias("t")
+    same = rows.join(touched, match("t"), "left_anti").select("row", F.col("body").alias("text"), _n_lines(F.col("body")), F.lit(0).alias("n_removed"))
+    cut = rows.join(touched, match("t"), "left_semi").join(gone.alias("g"), match("g"))
+    stripped = let(F.split("body", "\n"), lambda p: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone")), lambda i: F.get(p, i)), "\n"))
-    body = F.when(F.col("gone").isNull(), body).otherwise(stripped)
-    return rows.select("row", body.alias("text"),
-                       F.when(F.col(f"row.{text}").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
-                       F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
+    return same.unionByName(cut.select("row", stripped.alias("text"), _n_lines(F.col("body")), F.size("gone").alias("n_removed")))
+
+
+def _n_lines(body):
+    ends = F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit("")))
+    return F.when(body.isNull(), 0).otherwise(ends + 1).cast("int").alias("n_lines")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -115,4 +122,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     out = strip_boilerplate(docs, long_sites=LONG_SITES).filter((F.col("n_removed") == 0) | (F.trim(F.col("text")) != ""))
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(
         F.col("row.n_chars")).cast("long") if "n_chars" in docs.columns else None}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

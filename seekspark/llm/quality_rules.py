@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, space_words, written
+from .common import let, space_words, whole_row, written
 
 BUCKETS = 1 << 16
 PRIOR = 16 * BUCKETS
@@ -40,7 +40,6 @@ MIN_SCORE = -0.1
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-_W, _H, _WEIGHTS, _BASE = "__words", "__hashes", "__weights", "__base"
 
 
 def _covered(found: Column) -> Column:
@@ -79,19 +78,20 @@ def word_hashes(words: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__hashes`` of its words and the struct ``__base`` of the surface counts."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    """``(row, hashes, base)``: each row of ``docs`` as a struct, the hashes of its words and the struct of the surface counts."""
+    rows = docs.select(whole_row(docs), F.col(text).alias("body"))
+    body = F.coalesce(F.col("body"), F.lit(""))
     symbols = sum((F.octet_length(body) - F.octet_length(F.replace(body, F.lit(c), F.lit(""))) for c in "#*$%&|<>"),
                   F.lit(0))
-    return (docs.withColumn(_W, space_words(F.col(text)))
-            .withColumn(_H, word_hashes(F.col(_W)))
-            .withColumn("__chars", F.length(F.array_join(_W, ""))).drop(_W)
-            .withColumn(_BASE, F.struct(
-                F.size(_H).cast("long").alias("n_words"),
-                F.col("__chars").cast("long").alias("word_chars"),
+    return (rows.withColumn("words", space_words(F.col("body")))
+            .withColumn("hashes", word_hashes(F.col("words")))
+            .withColumn("chars", F.length(F.array_join("words", ""))).drop("words")
+            .select("row", "hashes", F.struct(
+                F.size("hashes").cast("long").alias("n_words"),
+                F.col("chars").cast("long").alias("word_chars"),
                 symbols.cast("long").alias("n_symbols"),
-                duplicate_lines(F.col(text)).cast("long").alias("n_dup_lines"),
-                repeat_words(F.col(_H)).cast("long").alias("n_repeat_words"))).drop("__chars"))
+                duplicate_lines(F.col("body")).cast("long").alias("n_dup_lines"),
+                repeat_words(F.col("hashes")).cast("long").alias("n_repeat_words")).alias("base")))
 
 
 def gram_buckets(hashes: Column) -> Column:
@@ -116,9 +116,9 @@ def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     Every document counts. The exchange carries one partial count for each
     bucket and task, so a frequent word is never a hot group."""
     ids = trusted_ids(labels).select(F.col("doc_id").alias("__id"), F.lit(1).alias("__trusted"))
-    grams = (docs.select(F.col(doc_id).alias("__id"), word_hashes(space_words(F.col(text))).alias(_H))
+    grams = (docs.select(F.col(doc_id).alias("__id"), word_hashes(space_words(F.col(text))).alias("hashes"))
              .join(F.broadcast(ids), "__id", "left")  # at most TARGET_DOCS rows
-             .select("__trusted", F.explode_outer(gram_buckets(F.col(_H))).alias("bucket"))  # explode would test for emptiness with all built twice
+             .select("__trusted", F.explode_outer(gram_buckets(F.col("hashes"))).alias("bucket"))  # explode would test for emptiness with all built twice
              .filter("bucket IS NOT NULL"))
     counts = written(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__trusted").alias("target")),
                      "gram-counts")
@@ -131,9 +131,9 @@ def gram_weights(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     return counts.select("bucket", F.log((F.col("target") / p + PRIOR) / F.lit(target + PRIOR)).alias("weight"))
 
 
-def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
-          evidence: float | None = None) -> DataFrame:
-    """``docs`` with ``__base`` (surface counts, ``base_failed``, ``score``, ``kept``).
+def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
+             evidence: float | None = None) -> DataFrame:
+    """``(row, verdict)``: each row of ``docs`` as a struct, and the struct of its surface counts, ``base_failed``, ``score`` and ``kept``.
 
     The weights, at most ``BUCKETS`` numbers, reach the tasks as a scalar
     subquery: an array that each n-gram indexes by its bucket."""
@@ -142,18 +142,24 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
              .join(weights, "bucket", "left")
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("weight", F.lit(0.0)).alias("w")))),
                               lambda e: e["w"]).alias("w")))
-    out = base_counts(docs, text).withColumn(_WEIGHTS, every.scalar())
-    total = F.aggregate(gram_buckets(F.col(_H)), F.lit(0.0), lambda a, b: a + F.get(F.col(_WEIGHTS), b))
-    out = out.withColumn("__sum", total).drop(_WEIGHTS)
-    base = F.col(_BASE)
+    out = base_counts(docs, text).withColumn("weights", every.scalar())
+    total = F.aggregate(gram_buckets(F.col("hashes")), F.lit(0.0), lambda a, b: a + F.get(F.col("weights"), b))
+    out = out.withColumn("total", total).drop("weights")
+    base = F.col("base")
     failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
-    ratio = F.col("__sum") / F.greatest(2 * base["n_words"] - 1, F.lit(1))
-    verdict = F.struct("__base.*", failed.alias("base_failed"), ratio.alias("score"),
+    ratio = F.col("total") / F.greatest(2 * base["n_words"] - 1, F.lit(1))
+    verdict = F.struct("base.*", failed.alias("base_failed"), ratio.alias("score"),
                        (~failed & (ratio >= MIN_SCORE)).alias("kept"))
     # a generator of one row: a filter on the verdict stays above it, and the counts are made once
-    return out.select(*docs.columns, F.explode_outer(F.array(verdict)).alias(_BASE))
+    return out.select("row", F.explode_outer(F.array(verdict)).alias("verdict"))
+
+
+def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
+          evidence: float | None = None) -> DataFrame:
+    """``docs`` with the struct of ``verdicts`` as ``__base`` (beside a column of that name, if there is one)."""
+    return verdicts(docs, labels, text, doc_id, evidence).select("row.*", F.col("verdict").alias("__base"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns that came."""
-    return score(docs, labels, evidence=EVIDENCE).filter("__base.kept").drop(_BASE)
+    return verdicts(docs, labels, evidence=EVIDENCE).filter("verdict.kept").select("row.*")

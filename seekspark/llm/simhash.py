@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_key, written
+from .common import small, text_key, whole_row, written
 from .components import connected
 
 SHINGLE = 3
@@ -130,7 +130,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     found = near_duplicates(docs, text, doc_id)
     stay = written(found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("s"))
                    .select("s.id", "s.key"), "survivors")
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(whole_row(docs))
     rows = rows.select("row", F.col(f"row.{doc_id}").alias("id"), text_key(F.col(f"row.{text}")).alias("key")).alias("r")
     repeated = written(found.groupBy("id", "key").count().filter("count > 1").select("id", "key"), "repeated")
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,12 +40,14 @@ CHUNK = 2048
 LEVEL = 12
 MARGIN, MARGIN_SHARE = 2, 0.01
 UNKNOWN = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")  # marks belong to the letters before them
+_ASCII = re.compile(r"[^a-z]+")
 
 
 def _image(text: str) -> bytes:
     """The words of a text in lower case; digits and signs belong to no language."""
-    return f" {_NO_LETTERS.sub(' ', text.lower()).strip()} ".encode()
+    low = text.lower()
+    return f" {(_ASCII if low.isascii() else _NO_LETTERS).sub(' ', low).strip()} ".encode()
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> list[tuple[str, bytes]]:
@@ -83,7 +86,7 @@ class Compressors:
 
 
 def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
-    """``docs`` with the struct ``__lang`` of ``lang_pred``, ``score`` and ``accepted``."""
+    """``docs`` with the struct ``__lang`` of ``lang_pred``, ``score`` and ``accepted`` (in place of a column of that name)."""
     made: list[Compressors] = []  # once in each worker
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")

@@ -88,7 +88,7 @@ def test_stages_keep_the_columns_and_bear_empty_input(spark, tmpdir_path):
 
 def test_registered():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and "pipeline" not in E.oracle_sql()
 
 

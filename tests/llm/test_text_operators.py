@@ -96,6 +96,19 @@ def test_head_and_embedded_elements_without_a_close():
         assert B.main_text("<html><body>" + story % inside + "<svg><text>x</text></svg>") == "one\ntwo three\nfour", inside
 
 
+def test_marks_stay_with_their_letters():
+    """Scripts that write vowels and tones as marks: the words stay whole, and the languages are told apart."""
+    assert Z._image("हिन्दी 42 भाषा!").decode() == " हिन्दी भाषा "
+    assert Z._image("ภาษาไทย ที่ น้ำ").decode() == " ภาษาไทย ที่ น้ำ "
+    assert Z._image("Crème_brûlée 3x") == " crème brûlée x ".encode()
+    hindi = "यह एक सरल वाक्य है और हम इसे पढ़ते हैं। किताब मेज़ पर रखी हुई है और बच्चे बाहर खेल रहे हैं। "
+    marathi = "हे एक साधे वाक्य आहे आणि आपण ते वाचतो. पुस्तक टेबलावर ठेवले आहे आणि मुले बाहेर खेळत आहेत. "
+    thai = "นี่คือประโยคง่ายๆ และเราอ่านมัน หนังสือวางอยู่บนโต๊ะ และเด็กๆ กำลังเล่นอยู่ข้างนอก "
+    by = Z.Compressors([(k, Z._image(t * 3)) for k, t in (("hi", hindi), ("mr", marathi), ("th", thai))])
+    for lang, t in (("hi", "बच्चे किताब पढ़ते हैं और बाहर खेल रहे हैं"), ("mr", "मुले पुस्तक वाचतो आणि बाहेर खेळत आहेत"), ("th", "เด็กๆ อ่านหนังสือ และเล่นอยู่ข้างนอก")):
+        assert by.predict(t)[0] == lang
+
+
 def test_names_with_a_topic_and_paragraphs_of_links():
     for inside in ('<div class="share-price">%s</div>', '<div class="comments-analysis">%s</div>', '<section class="social-history">%s</section>',
                    '<div id="reply-letters">%s</div>', '<p><a href="/x">%s</a></p>', '<ul><li><a href=x>%s</a></li></ul>', "<pre>%s</pre>"):
