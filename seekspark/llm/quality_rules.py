@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, space_words, whole_row, written
+from .common import let, quoted, space_words, whole_row, written
 
 BUCKETS = 1 << 16
 PRIOR = 16 * BUCKETS
@@ -156,8 +156,9 @@ def verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
           evidence: float | None = None) -> DataFrame:
-    """``docs`` with the struct of ``verdicts`` as ``__base`` (beside a column of that name, if there is one)."""
-    return verdicts(docs, labels, text, doc_id, evidence).select("row.*", F.col("verdict").alias("__base"))
+    """``docs`` with the struct of ``verdicts`` as ``__base`` (in place of a column of that name, if there is one)."""
+    kept = [F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c.lower() != "__base"]
+    return verdicts(docs, labels, text, doc_id, evidence).select(*kept, F.col("verdict").alias("__base"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
