@@ -246,6 +246,57 @@ def q_score_with_time(spark, sf):
     return t.select("ranker", "n", "n_timed", *[F.round(c, 6).alias(c) for c in ("strong", "light", "mean_seconds", "std_seconds")])
 
 
+# --- dumps, tables and logs read from files -------------------------------------------------
+
+def q_dump_articles(spark, sf):
+    """SRC-1 / SRC-2: the pages as dump files in nested folders, read article by article where the marker stands."""
+    from ..operators.ingest import article_fields
+    pages = _page_articles(spark, sf)
+    doc = F.concat(F.lit('<doc id="'), F.col("page_id").cast("string"), F.lit('" url="'), F.col("url"), F.lit('" title="'), F.col("title"),
+                   F.lit('">\n'), F.col("title"), F.lit("\n\n"), F.array_join("lines", "\n"), F.lit("\n</doc>"))
+    folder = _scratch(spark, "dumps")
+    pages.select(F.pmod("page_id", F.lit(3)).alias("folder"), doc.alias("value")).repartition(2).write.partitionBy("folder").text(folder)
+    arts = article_fields(FS.read_dump(spark, folder))
+    return arts.select("url", "title", F.md5(F.rtrim("article", F.lit("\n"))).alias("article_md5"))
+
+
+def q_section_table(spark, sf):
+    """SRC-4 / SNK-3: the section store as headerless CSV with its positional schema, read back whole."""
+    from ..operators.ingest import section_store
+    from .queries import _sections
+    store = section_store(_sections(spark, sf))
+    folder = _scratch(spark, "sections")
+    FS.write_store(store.select("doc_id", F.col("page_id").cast("string").alias("article_id"), "url", "title", "article", "proc_article", "proc_len",
+                                "stem_article"), folder, fmt="csv")
+    back = FS.read_sections_csv(spark, folder)
+    return back.select("doc_id", "article_id", "url", "title", F.md5("article").alias("article_md5"), "proc_len", F.md5("stem_article").alias("stem_md5"))
+
+
+def q_stage_log(spark, sf):
+    """SNK-5 / EVA-9: the events as log lines of stages, with and without a count, metric lines between them; read back and summed up."""
+    from ..operators.evaluate import stage_report
+    ev = S.table(spark, sf, "events")
+    seconds = F.format_string("%.2f.", F.col("value"))
+    line = F.when(F.col("event_id") % 2 == 0, F.concat_ws(" ", "event_type", F.col("user_id").cast("string"), seconds)) \
+        .otherwise(F.concat_ws(" ", "event_type", seconds))
+    folder = _scratch(spark, "log")
+    ev.select(F.explode(F.array(line, F.lit("in_top_5: 0.5"))).alias("value")).write.text(folder)
+    r = stage_report(FS.parse_stage_log(spark.read.text(folder)))
+    return r.select("stage", "n", *[F.round(c, 4).alias(c) for c in ("mean", "min", "max")])
+
+
+def q_pages_without_headings(spark, sf):
+    """FIL-2: a page without a list of headings gives no section; here those with an odd number in their url lose theirs."""
+    from ..operators.ingest import page_lines, sections
+    from .queries import _pages
+    odd = F.regexp_extract("url", r"(\d+)", 1).try_cast("bigint") % 2 == 1
+    pages = _pages(spark, sf).withColumn("html", F.when(F.coalesce(odd, F.lit(False)), F.regexp_replace("html", "(?s)<nav.*?</nav>", ""))
+                                         .otherwise(F.col("html")))
+    heads = pages.select("page_id", T.toc_headings("html").alias("headings")).filter(F.col("headings").isNotNull())
+    secs = sections(page_lines(pages), heads).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_sections"))
+    return pages.select("page_id").join(secs, "page_id", "left").select("page_id", F.coalesce("n_sections", F.lit(0)).alias("n_sections"))
+
+
 # --- text functions on text that reaches them ----------------------------------------------
 
 # Russian words and their stems (fixed values: the published sample of the Snowball stemmer).
@@ -304,6 +355,10 @@ QUERIES = {
     "rows_by_position": q_rows_by_position,
     "generated_questions": q_generated_questions,
     "score_with_time": q_score_with_time,
+    "dump_articles": q_dump_articles,
+    "section_table": q_section_table,
+    "stage_log": q_stage_log,
+    "pages_without_headings": q_pages_without_headings,
     "cyrillic_stems": q_cyrillic_stems,
     "request_texts": q_request_texts,
     "titles_and_bodies": q_titles_and_bodies,

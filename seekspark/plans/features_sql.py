@@ -136,6 +136,18 @@ ORACLE = {
     "score_with_time": ctes(_TIMED) + "\nSELECT g.ranker, count(*) AS n, count(s.spent) AS n_timed, round(avg(m.s), 6) AS strong, round(avg(m.l), 6) AS light, "
                        "round(avg(s.spent), 6) AS mean_seconds, round(stddev_pop(s.spent), 6) AS std_seconds FROM mv m JOIN grid g ON g.config_id = m.config_id "
                        "LEFT JOIN spent s ON s.config_id = m.config_id AND s.query_id = m.query_id WHERE m.metric = 'inv_5' GROUP BY g.ranker",
+    "dump_articles": ctes(PAGES) + "\nSELECT url, title, md5(a) AS article_md5 FROM (SELECT url, title, '<doc id=\"' || page_id || '\" url=\"' || url || "
+                     "'\" title=\"' || title || '\">' || chr(10) || title || chr(10) || chr(10) || array_to_string(lines, chr(10)) || chr(10) || '</doc>' AS a "
+                     "FROM pl) WHERE length(a) >= 499",
+    # the texts have no Cyrillic letter, so stems are the words themselves
+    "section_table": ctes(PAGES) + "\nSELECT row_number() OVER (ORDER BY page_id, section_no) - 1 AS doc_id, page_id::VARCHAR AS article_id, url, title, "
+                     "md5(article) AS article_md5, len(string_split(proc_article, ' '))::INT AS proc_len, md5(proc_article) AS stem_md5 FROM secp",
+    "stage_log": "SELECT event_type AS stage, count(*) AS n, round(avg(v), 4) AS mean, round(min(v), 4) AS min, round(max(v), 4) AS max FROM "
+                 "(SELECT event_type, round(value, 2) AS v FROM events) GROUP BY 1",
+    "pages_without_headings": ctes([("pages_all", "SELECT page_id, url, CASE WHEN coalesce(TRY_CAST(regexp_extract(url, '(\\d+)', 1) AS BIGINT) % 2 = 1, false) "
+                                     "THEN regexp_replace(html, '(?s)<nav.*?</nav>', '', 'g') ELSE html END AS html FROM pages")]
+                                   + [(n, q.replace("FROM pages", "FROM pages_all")) for n, q in PAGES])
+                              + "\nSELECT p.page_id, count(s.page_id) AS n_sections FROM pages p LEFT JOIN sec s ON s.page_id = p.page_id GROUP BY 1",
     "cyrillic_stems": ctes(_TOK_DOCS[:1] + [
         ("golden", "SELECT unnest([" + ", ".join(f"'{w}'" for w in GOLDEN) + "]) AS word, unnest([" + ", ".join(f"'{s}'" for s in GOLDEN.values())
                    + f"]) AS stem, unnest(range(0, {len(GOLDEN)})) AS i"),

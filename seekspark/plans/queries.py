@@ -21,6 +21,7 @@ from . import stores
 
 CAND_K = 50        # candidates per question for the re-rankers
 TOP_K = 10         # length of a published top-k report
+SHORT_BLOCK = 1000 # passages without an inner token that are looked for in one pass over the texts
 QUORUM_T = 0.5     # default quorum threshold of the reference's filter
 
 
@@ -211,11 +212,12 @@ def q_vector_label_precision(spark, sf):
 
 
 def q_self_recall(spark, sf):
-    """EVA-10 over the whole store: is each vector its own nearest neighbour?"""
-    from ..operators.vector import vector_topk
+    """EVA-10 over the whole store: is each vector its own nearest neighbour? Cells beyond a vector's
+    reach are left out where the store is larger than one block of queries."""
+    from ..operators.cells import nearest
     emb = S.vectors(spark, sf)
     q = emb.select(F.col("vec_id").alias("query_id"), "embedding")
-    hits = vector_topk(emb, q, 12, id_col="vec_id")
+    hits = nearest(emb, q, 12, id_col="vec_id")
     self_rank = hits.filter(F.col("query_id") == F.col("vec_id")).select("query_id", "rank")
     per_q = q.select("query_id").join(self_rank, "query_id", "left")
     return per_q.agg(F.count(F.lit(1)).alias("n"),
@@ -514,7 +516,8 @@ def passage_truth(spark, sf) -> DataFrame:
     neighbouring text; every other one stands in the document as it is. So the
     candidates are the documents that hold the rarest inner token, and the
     text decides. A passage without an inner token is looked for in every
-    text: these questions, a stated set, go to each document as one array."""
+    text: these questions, a stated set, go to the documents in blocks of at
+    most ``SHORT_BLOCK``, one pass for each."""
     from ..operators.index import doc_tokens
     idx = _index(spark, sf)
     q = S.questions(spark, sf)
@@ -529,11 +532,18 @@ def passage_truth(spark, sf) -> DataFrame:
     texts = S.table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("page"))
     held = got.join(texts, "doc_id").join(broadcast_if_small(q), "query_id") \
         .filter(F.instr("text", F.col("query")) > 0).select("query_id", "doc_id", "page")
-    short = q.join(toks.filter(F.size("t") == 0).select("query_id"), "query_id", "left_semi")
-    every = short.agg(F.collect_list(F.struct("query_id", "query"))).scalar()
-    found = texts.withColumn("asked", every).select("doc_id", "page", F.explode_outer(
-        F.filter("asked", lambda a: F.contains(F.col("text"), a["query"]))).alias("a"))
-    return materialize(held.unionByName(found.filter("a IS NOT NULL").select("a.query_id", "doc_id", "page")))
+    short = materialize(q.join(toks.filter(F.size("t") == 0).select("query_id"), "query_id", "left_semi"))
+    n_short = short.count()
+    if n_short > SHORT_BLOCK:
+        from ..operators.ingest import dense_ids
+        short = materialize(dense_ids(short, ["query_id"], id_col="n"))
+    for first in range(0, n_short, SHORT_BLOCK):
+        block = short if n_short <= SHORT_BLOCK else short.filter((F.col("n") >= first) & (F.col("n") < first + SHORT_BLOCK))
+        asked = block.agg(F.collect_list(F.struct("query_id", "query"))).scalar()      # at most SHORT_BLOCK of them
+        found = texts.withColumn("asked", asked).select("doc_id", "page", F.explode_outer(
+            F.filter("asked", lambda a: F.contains(F.col("text"), a["query"]))).alias("a"))
+        held = materialize(held.unionByName(found.filter("a IS NOT NULL").select("a.query_id", "doc_id", "page")))
+    return held if n_short else materialize(held)
 
 
 def q_passage_truth(spark, sf):
