@@ -39,7 +39,7 @@ from .common import small, written
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-FLUSH_BYTES = 16 << 20  # ids that a task holds before it hands them on
+FLUSH_BYTES = 4 << 20  # ids that a task holds before it hands them on
 
 
 def encode_pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY,

@@ -20,9 +20,9 @@ from itertools import chain, islice
 
 import numpy as np
 
-MOST_PIECES = 200_000
+MOST_PIECES = 100_000
 MOST_CHARS = 8 << 20  # of the pieces kept
-MOST_WORDS = 100_000  # of pieces that are more than a word
+MOST_WORDS = 30_000  # of pieces that are more than a word
 GROUP_CHARS = 1 << 20  # of texts that are looked up together
 LONGEST = 64  # characters of a word that is kept
 
