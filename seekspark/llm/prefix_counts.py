@@ -40,11 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .tokens import _WORDS, BYTE_SYMBOLS, LATIN_END, MOST_PIECES, MOST_WORDS, WHITE, _Known
+from .tokens import _WORDS, BYTE_SYMBOLS, LATIN_END, WHITE, _Known
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-MOST_PAIRS = 300_000
+MOST_PIECES = 200_000
+MOST_WORDS = MOST_PAIRS = 300_000
 FLUSH_BYTES = 16 << 20
 # Pieces that need the library's own tables, or whose characters aren't one to one with lower case.
 _ODD = re.compile(f"[^\\x00-{chr(LATIN_END - 1)}]|[\u0130{WHITE}]")
