@@ -46,7 +46,7 @@ SCALE = 1024
 BOUND = 1 << 26  # of a component after scaling
 MOST_WIDTH = 256  # components of a part: squared distances then fit 63 bits
 CHUNK = 1 << 16  # vectors that are searched side by side
-STEP = 32  # entries of a list that are measured together
+STEP = 32  # entries of a list that are measured together at first, then twice as many each time
 STARTS = 16  # entries of which the nearest starts a search
 TASK_ROWS = 1 << 14  # vectors that a task has at least
 SALTS = 16
@@ -92,11 +92,13 @@ class Codebook:
             lists, cut = np.unique(best[reading], return_index=True)
             jumped = []
             for entry, rows in zip(lists.tolist(), np.split(reading, cut[1:])):
-                for i in range(0, len(self.entries), STEP):
+                i, step = 0, STEP
+                while i < len(self.entries):
                     rows = rows[self.reach[entry, i] <= dist[rows]]
                     if not len(rows):
                         break
-                    which = np.sort(self.near[entry, i:i + STEP])
+                    which = np.sort(self.near[entry, i:i + step])
+                    i, step = i + step, 2 * step
                     done = seen[rows[:, None], which]
                     open_ = ~done.all(0)
                     if not open_.any():
