@@ -121,14 +121,14 @@ class Vocabulary:
         return found
 
     def _trie(self) -> dict:
-        """Tokens by their characters; under "" the token that is open there and the one that is closed."""
+        """Tokens by their characters: each leads to what may follow, the token that is open there and the one that is closed."""
         root: dict = {}
         for t in self.halves:
-            node = root
-            for c in t.removesuffix(self.end):
-                node = node.setdefault(c, {})
-            at = node.setdefault("", [None, None])
-            at[t.endswith(self.end)] = t
+            body, below = t.removesuffix(self.end), root
+            for c in body:
+                node = below.setdefault(c, [{}, None, None])
+                below = node[0]
+            node[2 if t.endswith(self.end) else 1] = t
         return root
 
     def prefix_counts(self, word: str) -> list[int]:
@@ -140,16 +140,13 @@ class Vocabulary:
         last, count, closed = [None] * (size + 1), [0] * (size + 1), [0] * (size + 1)
         known, get_on, trie = self.pairs, self.get_on, self.trie
         for start in range(size):
-            before, n, node = last[start], count[start] + 1, trie
-            for i in range(start, size):
-                node = node.get(word[i])
+            before, n, below, i = last[start], count[start] + 1, trie, start
+            for c in word[start:]:
+                node = below.get(c)
                 if node is None:
                     break
-                found = node.get("")
-                if found is None:
-                    continue
+                below, t, whole = node
                 i += 1
-                t, whole = found
                 if t is not None and last[i] is None:
                     on = not start or known.get((before, t))
                     if on or on is None and get_on(before, t):
