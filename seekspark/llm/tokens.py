@@ -20,9 +20,9 @@ from itertools import chain, islice
 
 import numpy as np
 
-MOST_PIECES = 100_000
+MOST_PIECES = 130_000
 MOST_CHARS = 8 << 20  # of the pieces kept
-MOST_WORDS = 30_000  # of pieces that are more than a word
+MOST_WORDS = 60_000  # of pieces that are more than a word
 GROUP_CHARS = 1 << 20  # of texts that are looked up together
 LONGEST = 64  # characters of a word that is kept
 
@@ -155,7 +155,12 @@ class Pieces:
         for word in (_WORDS if self.drops_white else _BYTE_WORDS).findall(low):
             found = self.words.get(word)
             if found is None:
-                found = self._word(word)
+                at = self.number.get(word, len(self.size))
+                if at < len(self.size):  # the word is a piece met before
+                    first = self.first[at]
+                    found = self.flat[first:first + self.size[at]].tolist()
+                else:
+                    found = self._word(word)
                 if len(word) <= LONGEST:
                     self.words[word] = found
             out += found
