@@ -9,8 +9,11 @@ r, or its smallest r minus d.
    distance from then on.
 2. It goes on to those blocks only whose bound is not beyond that distance, and the best of all are kept.
 
-Queries meet blocks in a join on the block, so no task holds more than a block and ``QUERY_ROWS`` queries: a block that very
-many queries want is given out in copies. The pivots and one row for each block are all that every task knows.
+Queries meet their own block in a join on it, so no task holds more than a block and ``QUERY_ROWS`` queries: a block that very
+many queries want is given out in copies. They go on in tiles of ``CHUNK_ROWS`` queries that began side by side; a tile meets
+a chunk of neighbouring blocks once, if any of its queries reaches one of them, so what is sent grows with tiles x chunks and not
+with queries x blocks. Where cells can't be told apart every pair is measured; a query keeps what is no farther than its k-th
+best and nothing is sorted whole. The pivots and one row for each block are all that every task knows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..util import materialize, top_k
+from ..util import broadcast_if_small, materialize, top_k
 from .vector import MAX_QUERY_ROWS, ROUND_KEY, vector_topk
 
 PIVOTS = 256
@@ -30,7 +33,9 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 4096        # queries that meet a block at once, on average
 MOST_BLOCKS = 200_000    # blocks get larger beyond
 SHARES = 256             # of a cell by distance, at most
-CHUNK_CELLS = 1 << 22    # bounds that a task holds at once
+CHUNK_ROWS = 32_768      # vectors, and queries, that meet in a task beyond a query's own block
+FIRST_ROWS = 512         # members measured before bounds are known
+CHUNK_CELLS = 1 << 22    # bounds or distances that a task holds at once
 SLACK = 1e-6             # of a distance: bounds are kept a little too wide
 
 
@@ -56,7 +61,8 @@ def _in_cells(vectors: DataFrame, id_col: str, vec_col: str, pivots: np.ndarray)
 
 
 def cells_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", vec_col: str = "embedding",
-               pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, counts: dict | None = None) -> DataFrame:
+               pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, chunk_rows: int = CHUNK_ROWS,
+               counts: dict | None = None) -> DataFrame:
     """The result of ``vector_topk``: ``(query_id, <id_col>, d2, rank)``. ``counts``, if given, receives ``all`` (pairs of query
     and vector) and ``measured`` (those whose distance was taken)."""
     spark = corpus.sparkSession
@@ -104,28 +110,98 @@ def cells_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "doc
         F.col("query_id").alias("id"), F.col("d2").alias("kth"))
     done = materialize(start.select("id", F.col("block").alias("done")).join(kth, "id", "left"))
 
-    def other_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = max(1, CHUNK_CELLS // len(names))
         for whole in batches:
             for first in range(0, len(whole), step):
                 pdf = whole.iloc[first:first + step]
-                d = np.sqrt(_distances(_stack(pdf["vec"]), points))[:, cell]
-                bound = np.maximum(np.maximum(low[None, :] - d, d - high[None, :]), 0.0)
-                reach = np.sqrt(pdf["kth"].fillna(np.inf).to_numpy()) * (1 + SLACK) + SLACK
-                at, b = np.nonzero((bound <= reach[:, None]) & (names[None, :] != pdf["done"].to_numpy(dtype=object)[:, None]))
-                for i in range(0, len(at), 10_000):
-                    rows = pdf.iloc[at[i:i + 10_000]]
-                    yield pd.DataFrame({"id": rows["id"].to_numpy(), "vec": rows["vec"].to_numpy(), "block": names[b[i:i + 10_000]]})
-    more = materialize(asked.select("id", "vec").join(done, "id").mapInPandas(other_blocks, f"id {q_type}, vec array<double>, block string"))
-    found = near.unionByName(_measure(more, blocked, k, id_type, q_type, query_rows))
+                hit = _within_reach(_stack(pdf["vec"]), pdf["kth"], points, cell, low, high)
+                hit &= names[None, :] != pdf["done"].to_numpy(dtype=object)[:, None]
+                for tile, rows in pdf.reset_index(drop=True).groupby("tile").groups.items():
+                    n = np.bincount(chunk_of, weights=hit[np.asarray(rows)].sum(0) * size, minlength=chunk_of[-1] + 1).astype(np.int64)
+                    at = np.flatnonzero(n)
+                    yield pd.DataFrame({"tile": [tile] * len(at), "chunk": at, "pairs": n[at]})
+    # neighbouring blocks make a chunk, the queries that began in a chunk a tile (several, if they are many)
+    chunk_of = np.zeros(len(names), dtype=np.int64)
+    room = 0
+    for i, n in enumerate(size.tolist()):
+        new = i > 0 and room + n > chunk_rows
+        chunk_of[i], room = chunk_of[i - 1] + new if i else 0, n if new else room + n
+    home = F.broadcast(spark.createDataFrame(list(zip(names.tolist(), chunk_of.tolist())), "block string, chunk long"))    # a row for each block
+    begun = start.join(home, "block")
+    tiles = begun.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("copies"))
+    tile = F.concat_ws(":", "chunk", F.pmod(F.xxhash64("id"), F.col("copies")))
+    tiled = materialize(begun.join(F.broadcast(tiles), "chunk").select("id", "vec", tile.alias("tile")).join(done, "id"))
+    wanted = materialize(tiled.mapInPandas(reached, "tile string, chunk long, pairs long").groupBy("tile", "chunk").agg(F.sum("pairs").alias("pairs")))
     if counts is not None:
         n_of = dict(zip(names.tolist(), size.tolist()))
-        per = start.unionByName(more).groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()
-        counts["all"], counts["measured"] = int(size.sum()) * asked.count(), sum(r["n"] * n_of[r["block"]] for r in per)
-    best = top_k(found, ["query_id"], [F.col("d2_key"), F.col("id")], k, "rank")
+        per = start.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()
+        counts["all"] = int(size.sum()) * asked.count()
+        counts["measured"] = sum(r["n"] * n_of[r["block"]] for r in per) + (wanted.agg(F.sum("pairs")).first()[0] or 0)
+
+    number = {n: i for i, n in enumerate(names.tolist())}
+
+    def measure(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        found = _Best(k, q["kth"].fillna(np.inf).to_numpy(dtype=np.float64))
+        if len(q) and len(x):
+            vecs, ended = _stack(q["vec"]), q["done"].to_numpy(dtype=object)
+            for block, rows in x.groupby("block"):
+                b = [number[block]]
+                mine = np.flatnonzero(_within_reach(vecs, q["kth"], points, cell[b], low[b], high[b])[:, 0] & (ended != block))
+                found.add(vecs, mine, _stack(rows["vec"]), rows["id"].to_numpy())
+        return found.table(q["id"].to_numpy())
+    pair = broadcast_if_small(wanted.select("tile", "chunk"))
+    left = tiled.join(pair, "tile")
+    right = blocked.select("id", "vec", "block").join(home, "block").join(pair, "chunk")
+    far = left.groupBy("tile", "chunk").cogroup(right.groupBy("tile", "chunk")).applyInPandas(
+        measure, f"query_id {q_type}, id {id_type}, d2 double, d2_key double")
+    best = top_k(near.unionByName(far), ["query_id"], [F.col("d2_key"), F.col("id")], k, "rank")
     return best.select("query_id", F.col("id").alias(id_col), "d2", "rank")
 
 
+def _within_reach(vecs: np.ndarray, kth: pd.Series, points: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether a block (column) may hold something as near as a query's (row) k-th best."""
+    own, place = np.unique(cell, return_inverse=True)
+    d = np.sqrt(_distances(vecs, points[own]))[:, place]
+    bound = np.maximum(np.maximum(low[None, :] - d, d - high[None, :]), 0.0)
+    reach = np.sqrt(kth.fillna(np.inf).to_numpy(dtype=np.float64)) * (1 + SLACK) + SLACK
+    return bound <= reach[:, None]
+
+
+class _Best:
+    """The ``k`` nearest of some queries: what is farther than a query's k-th best is not kept, so nothing whole is sorted."""
+
+    def __init__(self, k: int, kth: np.ndarray):
+        self.k, self.kth, self.held = k, kth, []
+
+    def add(self, vecs: np.ndarray, mine: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        step = max(1, CHUNK_CELLS // max(1, len(ids)))
+        for first in range(0, len(mine), step):
+            rows = mine[first:first + step]
+            d2 = _distances(vecs[rows], x)
+            at, of = np.nonzero(d2 <= self.kth[rows, None] + 10.0 ** -ROUND_KEY)
+            self.held.append((rows[at], ids[of], d2[at, of]))
+            if sum(len(h[0]) for h in self.held) > CHUNK_CELLS // 4:
+                self._cut()
+
+    def _cut(self) -> None:
+        at, ids, d2 = (np.concatenate([h[i] for h in self.held]) for i in range(3))
+        order = np.lexsort((ids, np.round(d2, ROUND_KEY), at))
+        at, ids, d2 = at[order], ids[order], d2[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        last = nth == self.k - 1
+        self.kth[at[last]] = np.minimum(self.kth[at[last]], d2[last])
+        keep = nth < self.k
+        self.held = [(at[keep], ids[keep], d2[keep])]
+
+    def table(self, qids: np.ndarray) -> pd.DataFrame:
+        if not self.held:
+            return pd.DataFrame({"query_id": [], "id": [], "d2": [], "d2_key": []})
+        self._cut()
+        at, ids, d2 = self.held[0]
+        return pd.DataFrame({"query_id": qids[at], "id": ids, "d2": d2, "d2_key": np.round(d2, ROUND_KEY)})
+
+
 def _measure(asked: DataFrame, blocked: DataFrame, k: int, id_type: str, q_type: str, query_rows: int) -> DataFrame:
     """``(query_id, id, d2, d2_key)``: the ``k`` nearest members of the block each row of ``asked (id, vec, block)`` names."""
     wanted = materialize(asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("copies")))
@@ -134,13 +210,15 @@ def _measure(asked: DataFrame, blocked: DataFrame, k: int, id_type: str, q_type:
         .select("id", "vec", "block", "copy")
 
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "id": [], "d2": [], "d2_key": []})
-        d2, ids = _distances(_stack(q["vec"]), _stack(x["vec"])), x["id"].to_numpy()
-        key = np.round(d2, ROUND_KEY)
-        order = np.lexsort((np.broadcast_to(ids, d2.shape), key), axis=1)[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(q["id"].to_numpy(), order.shape[1]), "id": ids[order].reshape(-1),
-                             "d2": np.take_along_axis(d2, order, 1).reshape(-1), "d2_key": np.take_along_axis(key, order, 1).reshape(-1)})
+        found = _Best(k, np.full(len(q), np.inf))
+        if len(q) and len(x):
+            vecs = _stack(q["vec"])
+            for first in range(0, len(x), FIRST_ROWS):      # the first few give bounds for the rest
+                part = x.iloc[first:first + FIRST_ROWS]
+                found.add(vecs, np.arange(len(q)), _stack(part["vec"]), part["id"].to_numpy())
+                if found.held:
+                    found._cut()
+        return found.table(q["id"].to_numpy())
     return left.groupBy("block", "copy").cogroup(right.groupBy("block", "copy")).applyInPandas(
         run, f"query_id {q_type}, id {id_type}, d2 double, d2_key double")
 
