@@ -3,9 +3,10 @@
 The tokenizers used here treat the parts of a text between white space
 independently, and in them the words that their pre-tokenizer finds. So the ids
 of a text are those of its words in a row. Each worker numbers the pieces it
-meets and keeps their ids, up to the bounds below (then it starts anew), and
-asks the library only for others. A text that holds a special token's string
-goes to the library whole.
+meets and keeps their ids, up to the bounds below (then it starts anew). New
+pieces of Latin characters are cut into words and merged all together
+(``word_merges``); for others the library is asked. A text that holds a special
+token's string goes to the library whole.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from itertools import chain, islice
 
 import numpy as np
 
+from .word_merges import WordMerges
+
 MOST_PIECES = 130_000
 MOST_CHARS = 8 << 20  # of the pieces kept
 MOST_WORDS = 60_000  # of pieces that are more than a word
 GROUP_CHARS = 1 << 20  # of texts that are looked up together
 LONGEST = 64  # characters of a word that is kept
+LEARN_PIECES = 1 << 16  # merged together, at most
 
 # White space as the pre-tokenizers see it (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -55,6 +59,24 @@ _BYTE_WORDS = re.compile(f"{_SUFFIX}| ?[{_L}]+| ?[{_N}]+| ?[^{WHITE}{_L}{_N}]+|[
 # Pieces with their blank; of a longer run of white space the last blank goes to the word.
 _BYTE_PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _WIDE_WHITE = re.compile(f"[{WHITE.replace('\\t-\\r ', '')}]")
+# Classes of characters; of the last kind are those whose words need the patterns or the library.
+_WHITE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """Class of every code point below ``LATIN_END``, and of all others at that place."""
+    major = {"L": _LETTER, "N": _DIGIT}
+    kinds = [major.get(unicodedata.category(chr(i))[0], _SIGN) for i in range(LATIN_END)]
+    for i in (*range(9, 14), 32, 0x85, 0xa0):
+        kinds[i] = _WHITE
+    kinds[ord("'")] = _ODD
+    return np.array([*kinds, _ODD], np.uint8)
+
+
+_KIND = _kinds()
+# Lower case, by code point; a character for which it isn't one Latin character again is odd.
+_LOWER = np.array([ord(c) if len(c) == 1 and ord(c) < LATIN_END else LATIN_END for c in (chr(i).lower() for i in range(LATIN_END))]
+                  + [LATIN_END], np.uint32)
 _UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x01")
 
 
@@ -109,6 +131,7 @@ class Pieces:
         # One vocabulary drops white space and case, the other keeps both.
         self.drops_white = not self.tokenizer.encode(" ", add_special_tokens=False).ids
         self.model = self.tokenizer.model
+        self.merges = WordMerges(path, BYTE_SYMBOLS)
         self.words: dict[str, list[int]] = {}
         self._forget()
 
@@ -143,7 +166,7 @@ class Pieces:
     def _find(self, piece: str) -> list[int]:
         """Ids of a piece. One of letters alone, with or without its blank, is a word."""
         low = piece.lower() if self.drops_white else piece
-        if not low.isascii() and _OTHER.search(piece):
+        if not low.isascii() and (_OTHER.search(piece) or _OTHER.search(low)):
             return self.tokenizer.encode(piece, add_special_tokens=False).ids
         letters = low[1:] if low[:1] == " " else low
         if letters.isalpha():
@@ -185,32 +208,75 @@ class Pieces:
         parts = self.parts(text)
         return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
 
+    def _merged(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in a row and how many each has, -1 for those that are not merged here:
+        the long ones and those with a character of ``_ODD`` or with white space but for a blank before a word."""
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        points = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)
+        points = np.minimum(points, LATIN_END)
+        if self.drops_white:
+            points = _LOWER[points]
+        kind = _KIND[points]
+        full = np.flatnonzero(size)
+        starts = (np.cumsum(size) - size)[full]
+        if not self.drops_white:
+            blank = starts[(points[starts] == 32) & (size[full] > 1)]
+            kind[blank] = kind[blank + 1]  # it goes to the word
+        odd = np.add.reduceat((kind == _WHITE) | (kind == _ODD), starts, dtype=np.int64) if len(full) else starts
+        plain = np.zeros(len(new), bool)
+        plain[full] = (odd == 0) & (size[full] <= LONGEST)
+        cut = np.ones(len(points), bool)
+        cut[1:] = kind[1:] != kind[:-1]
+        if self.drops_white:
+            cut |= kind == _DIGIT  # a word each
+        cut[starts] = True
+        cut = np.flatnonzero(cut & np.repeat(plain, size))
+        mine = points[np.repeat(plain, size)]
+        piece = np.repeat(np.arange(len(new)), size)[cut]
+        # what is not plain is left out: places among the plain characters, then in their bytes
+        place = np.cumsum(np.repeat(plain, size)) - 1
+        wide = np.cumsum(mine >= 0x80) - (mine >= 0x80)
+        first = place[cut]
+        first += wide[first]
+        flat = np.frombuffer(mine.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+        ids, count = self.merges.ids(flat, first, np.diff(first, append=len(flat)))
+        return ids, np.where(plain, np.bincount(piece, count, len(new)).astype(np.int64), -1)
+
     def _learn(self) -> None:
         """Ids of the pieces that were numbered last."""
-        new = list(islice(self.number, len(self.size), None))
-        found = list(map(self._find, new))
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.first = np.append(self.first, len(self.flat) + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
-        self.uses = np.append(self.uses, np.zeros_like(size))
-        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
-        self.chars += sum(map(len, new))
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
+        while new := list(islice(self.number, len(self.size), len(self.size) + LEARN_PIECES)):
+            ids, size = self._merged(new)
+            left = np.flatnonzero(size < 0).tolist()
+            found = [self._find(new[i]) for i in left]
+            own = np.fromiter(map(len, found), np.int64, len(found))
+            # the ids of the others stand behind those of the merged ones
+            first = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+            first[left], size[left] = len(ids) + np.cumsum(own) - own, own
+            self.first = np.append(self.first, len(self.flat) + first)
+            self.size = np.append(self.size, size)
+            self.uses = np.append(self.uses, np.zeros_like(size))
+            self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(found), np.uint32, int(own.sum()))])
+            self.chars += sum(map(len, new))
+            if len(self.words) > MOST_WORDS:
+                self.words.clear()
 
     def _flush(self, group: list) -> list[bytes]:
         self._learn()
         numbered = [g for g in group if not isinstance(g, bytes)]
         if numbered:
-            self.uses += np.bincount(np.concatenate(numbered), minlength=len(self.uses))
-        out = []
-        for ids in group:
-            if not isinstance(ids, bytes):
-                n = self.size[ids]
-                ends = np.cumsum(n)
-                at = np.repeat(self.first[ids] - (ends - n), n) + np.arange(ends[-1])
-                ids = self.flat[at].astype("<u4", copy=False).tobytes()
-            out.append(ids)
+            numbers = np.concatenate(numbered)
+            self.uses += np.bincount(numbers, minlength=len(self.uses))
+            n = self.size[numbers]
+            ends = np.cumsum(n)
+            at = np.repeat(self.first[numbers] - (ends - n), n) + np.arange(ends[-1])
+            ids = self.flat[at].astype("<u4", copy=False).tobytes()
+            cuts = iter((ends[np.cumsum([len(g) for g in numbered]) - 1] * 4).tolist())
+        out, at = [], 0
+        for found in group:
+            if not isinstance(found, bytes):
+                to = next(cuts)
+                found, at = ids[at:to], to
+            out.append(found)
         if len(self.number) > MOST_PIECES or self.chars > MOST_CHARS:
             self._trim()
         return out

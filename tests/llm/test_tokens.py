@@ -137,3 +137,31 @@ def test_characters_within_the_limit(spark):
             cut += 1
             assert n == C.LIMIT and len(library.encode(text[:r.chars_within_limit + 1], add_special_tokens=False).ids) > C.LIMIT
     assert cut > 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_latin_pieces_are_merged_together(name, monkeypatch):
+    """No new piece of Latin characters goes to the library by itself."""
+    own = tokens.Pieces(tokens.vocabulary(name))
+    alphabet = "aabbcdeéßÀZ019.,-(ªñþ²"
+    texts = [" ".join("".join(alphabet[(i * 7 + j * j * 3 + i // 5) % len(alphabet)] for j in range(i % 19 + 1)) for i in range(k, k + 400))
+             for k in range(0, 4000, 400)]
+    monkeypatch.setattr(own, "_find", lambda piece: pytest.fail(f"asked for {piece!r} alone"))
+    assert list(own.all_ids(texts)) == [own.of(t) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_lower_case_beyond_latin_and_odd_pieces(name, monkeypatch):
+    """Pieces with a lower case elsewhere, apostrophes, white space or no character, beside merged ones and over several rounds."""
+    own = tokens.Pieces(tokens.vocabulary(name))
+    monkeypatch.setattr(tokens, "LEARN_PIECES", 3)
+    texts = ["aȺb Ⱦa İx", "don't 'RE we're' 5's", "a  b \n\n c\td\x85e\xa0f ", "x" * 70 + " " + "é" * 64 + " 12 345", "K Å ẞ a", " ", "\x00 \x1c\x7f"]
+    assert list(own.all_ids(texts)) == [own.of(t) for t in texts]
+
+
+def test_merges_of_no_words_and_of_single_bytes():
+    merges = tokens.pieces(tokens.vocabulary("byte_bpe_50k.json")).merges
+    none = np.zeros(0, np.int64)
+    assert [x.tolist() for x in merges.ids(np.zeros(0, np.uint8), none, none)] == [[], []]
+    ids, count = merges.ids(np.arange(256, dtype=np.uint8), np.arange(256), np.ones(256, np.int64))
+    assert ids.tolist() == merges.inner.tolist() and set(count) == {1}
