@@ -60,7 +60,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if it has at most ``rows`` rows, else ``df`` for a shuffle join.
 
     ``df`` should be a written table: the count then reads no data column."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return joined_as(df, df.count() <= rows)
+
+
+def joined_as(df: DataFrame, few: bool) -> DataFrame:
+    """``broadcast(df)`` if it has few rows, else ``df`` marked for a shuffle join: Spark's estimate goes by
+    compressed files and takes no account of exploded rows, so left to itself it may send millions of them through the driver."""
+    return F.broadcast(df) if few else df.hint("merge")
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

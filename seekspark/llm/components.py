@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, joined_as, written
 
 
 def _least(pairs: DataFrame, rows: int) -> DataFrame:
     """Least ``v`` of each ``u``; at most one row for each edge, hence broadcast if these are few."""
-    out = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return F.broadcast(out) if rows <= BROADCAST_ROWS else out
+    return joined_as(pairs.groupBy("u").agg(F.min("v").alias("m")), rows <= BROADCAST_ROWS)
 
 
 def _stars(edges: DataFrame, rows: int) -> DataFrame:

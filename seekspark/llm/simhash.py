@@ -31,12 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_key, whole_row, written
+from .common import BROADCAST_ROWS, joined_as, small, text_key, whole_row, written
 from .components import connected
 
 SHINGLE = 3
 MAX_BITS = 2  # the grids above hold for this distance
 SEED = 42
+FINE_CELLS = 65  # of a fingerprint: itself and one for each bit
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -103,7 +104,8 @@ def links(fps: DataFrame) -> DataFrame:
                       "crowded")
     fine = crowded.select("fp", F.explode(fine_cells(F.col("fp"))).alias("cell"))
     centres = fine.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("u")).filter("n > 1").select("cell", "u")
-    stars = fine.join(centres, "cell").select("u", F.col("fp").alias("v")).filter(close & (F.col("u") != F.col("v")))
+    few = FINE_CELLS * crowded.count() <= BROADCAST_ROWS
+    stars = fine.join(joined_as(centres, few), "cell").select("u", F.col("fp").alias("v")).filter(close & (F.col("u") != F.col("v")))
     return twos.unionByName(stars).distinct()
 
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from seekspark.llm import components, simhash
+from seekspark.llm import common, components, simhash
 from tests.llm import cases
 
 
@@ -96,3 +96,27 @@ def test_components_of_a_long_path_and_a_star(spark):
     star = [(1000, 1000 + i) for i in range(1, 50)]
     out = {r.node: r.root for r in components.connected(spark.createDataFrame(path + star, "u long, v long")).collect()}
     assert out == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(50)}}
+
+
+def test_exploded_cells_are_not_broadcast(spark, monkeypatch):
+    """Spark takes an exploded table for as small as its file; a side that is not counted as small must be shuffled."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 10, raising=False)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 10)
+    rng = random.Random(6)
+    centre = rng.getrandbits(62)
+    prints = {centre ^ (1 << a) ^ (1 << b) for a in range(6) for b in range(20)}
+    fps = spark.createDataFrame([(p,) for p in prints], "fp long")
+    found = simhash.links(fps)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    stars = components._stars(found, 11)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in stars and "Broadcast" not in stars
+    assert {r.root for r in components.connected(found).collect()} == {min(prints)}
+
+
+def test_a_side_with_too_many_rows_is_shuffled(spark):
+    few = common.written(spark.range(5).toDF("k"), "few")
+    assert "BroadcastHashJoin" in spark.range(100).toDF("k").join(common.small(few, 5), "k")._jdf.queryExecution().executedPlan().toString()
+    joined = spark.range(100).toDF("k").join(common.small(few, 4), "k")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 5
